@@ -1,0 +1,40 @@
+"""Connected components of a distributed edge table, by repeated least-label hooking and pointer jumping.
+
+Labels stay in tables of the shared folder; the driver sees counts only.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from canopyflow.session import materialise
+
+
+def components(edges: DataFrame, path: str, rounds: int = 60) -> DataFrame:
+    """(node, component) for every node of edges (a, b): component is the least node that is reachable.
+
+    Each round replaces every edge's ends by the ends' current labels, drops what has become a loop,
+    and hooks each label to the least label beside it; the labels are then jumped once. The number of
+    rounds grows with the logarithm of the longest path, not with the number of nodes.
+    """
+    both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    label = materialise(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.col("node")).alias("component")), f"{path}/label0")
+    for k in range(1, rounds):
+        at = label.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+        to = label.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+        open_edges = edges.join(at, "a").join(to, "b").where("ca <> cb").select("ca", "cb")
+        hooks = (
+            open_edges.select(F.greatest("ca", "cb").alias("r"), F.least("ca", "cb").alias("to"))
+            .groupBy("r")
+            .agg(F.min("to").alias("to"))
+        )
+        hooks = materialise(hooks, f"{path}/hook{k}")
+        if hooks.isEmpty():
+            return label
+        # follow hooks twice: a label that is hooked to a hooked label goes on at once
+        far = hooks.select(F.col("r").alias("to"), F.col("to").alias("far"))
+        jump = hooks.join(far, "to", "left").select("r", F.coalesce("far", "to").alias("new"))
+        label = label.join(jump, label.component == jump.r, "left").select("node", F.coalesce("new", "component").alias("component"))
+        label = materialise(label, f"{path}/label{k}")
+    raise RuntimeError("components did not settle")

@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyflow.llm import language_id, quality
+from canopyflow.llm import language_id, near_dedup, quality
 from canopyflow.llm.folds import fold
 from canopyflow.session import table
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(fold("doc_id", 4) != 2))
@@ -25,7 +29,7 @@ def op9_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-_QUERIES = {f.__name__: f for f in (op5_language_id, op9_quality_pu)}
+_QUERIES = {f.__name__: f for f in (op1_near_dedup, op5_language_id, op9_quality_pu)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

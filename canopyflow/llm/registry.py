@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyflow.llm import language_id, near_dedup, quality
+from canopyflow.llm import language_id, mixing, near_dedup, quality, quality_rules, sharding
 from canopyflow.llm.folds import fold
 from canopyflow.session import table
 
@@ -16,12 +16,26 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), entropy_share=0.97, max_repeats=4.0, carry=False)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(fold("doc_id", 4) != 2))
     return language_id.score(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules.cascade(table(spark, sf_dir, "documents"))
+    base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+    return out.select("doc_id", *quality_rules.MEASURES, base_failed.alias("base_failed"), "kept")
+
+
+def op8_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
+
+
 def op9_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where((fold("doc_id", 5) != 0) & (F.col("quality") == 1))
@@ -29,7 +43,7 @@ def op9_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-_QUERIES = {f.__name__: f for f in (op1_near_dedup, op5_language_id, op9_quality_pu)}
+_QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_temperature_mix, op5_language_id, op6_rule_cascade, op8_hash_ring, op9_quality_pu)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -37,4 +51,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_rule_cascade": quality_rules.ORACLE}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyflow.llm import language_id, mixing, near_dedup, quality, quality_rules, sharding
+from canopyflow.llm import byte_bpe, language_id, mixing, near_dedup, prefix_forest, quality, quality_rules, sharding
 from canopyflow.llm.folds import fold
 from canopyflow.session import table
 
@@ -20,6 +20,10 @@ def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), entropy_share=0.97, max_repeats=4.0, carry=False)
 
 
+def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_forest.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.train(docs.where(fold("doc_id", 4) != 2))
@@ -43,7 +47,15 @@ def op9_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted")
 
 
-_QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_temperature_mix, op5_language_id, op6_rule_cascade, op8_hash_ring, op9_quality_pu)}
+def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    codec = byte_bpe.train_free_codec(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return codec.digests(docs)
+
+
+_QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_temperature_mix, op4_prefix_forest, op5_language_id, op6_rule_cascade, op8_hash_ring, op9_quality_pu, op10_byte_bpe)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyflow.llm import byte_bpe, language_id, mixing, near_dedup, prefix_forest, quality, quality_rules, sharding
+from canopyflow.llm import byte_bpe, interpolated_lm, language_id, mixing, near_dedup, prefix_forest, quality, quality_rules, sharding
 from canopyflow.llm.folds import fold
 from canopyflow.session import table
 
@@ -20,6 +20,11 @@ def op2_temperature_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), entropy_share=0.97, max_repeats=4.0, carry=False)
 
 
+def op3_interpolated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = interpolated_lm.score(table(spark, sf_dir, "documents"), fold("doc_id", 5) != 1)
+    return scored.select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_forest.nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
@@ -55,7 +60,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.digests(docs)
 
 
-_QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_temperature_mix, op4_prefix_forest, op5_language_id, op6_rule_cascade, op8_hash_ring, op9_quality_pu, op10_byte_bpe)}
+_QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_temperature_mix, op3_interpolated_lm, op4_prefix_forest, op5_language_id, op6_rule_cascade, op8_hash_ring, op9_quality_pu, op10_byte_bpe)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyflow.llm import byte_bpe, interpolated_lm, language_id, mixing, near_dedup, prefix_forest, quality, quality_rules, sharding
+from canopyflow.llm import byte_bpe, html_extract, interpolated_lm, language_id, mixing, near_dedup, prefix_forest, quality, quality_rules, sharding
 from canopyflow.llm.folds import fold
 from canopyflow.session import table
 
@@ -41,6 +41,10 @@ def op6_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *quality_rules.MEASURES, base_failed.alias("base_failed"), "kept")
 
 
+def op7_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"), html_extract.trained())
+
+
 def op8_hash_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=16)
 
@@ -60,7 +64,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.digests(docs)
 
 
-_QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_temperature_mix, op3_interpolated_lm, op4_prefix_forest, op5_language_id, op6_rule_cascade, op8_hash_ring, op9_quality_pu, op10_byte_bpe)}
+_QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_temperature_mix, op3_interpolated_lm, op4_prefix_forest, op5_language_id, op6_rule_cascade, op7_html_crf, op8_hash_ring, op9_quality_pu, op10_byte_bpe)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

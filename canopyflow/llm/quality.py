@@ -150,10 +150,11 @@ def estimate_prior(sp: np.ndarray, su: np.ndarray) -> float:
     return float(np.clip(best, 0.05, 0.99))
 
 
-def fit_arrays(xp: np.ndarray, xu: np.ndarray, prior: float | None = None, steps: int = 400, rate: float = 0.05, l2: float = 1e-3) -> QualityModel:
-    """Fit on feature rows of positives and of unlabelled texts."""
+def fit_arrays(xp: np.ndarray, xu: np.ndarray, prior: float | None = None, steps: int = 400, rate: float = 0.05, l2: float = 1e-2, pair_weight: float = 0.1) -> QualityModel:
+    """Fit on feature rows of positives and of unlabelled texts. pair_weight: scale of the byte pairs beside the statistics."""
     both = np.concatenate([xp, xu]).astype(np.float64)
     mean, scale = both.mean(0), both.std(0) + 1e-3
+    scale[STATS:] /= pair_weight
     zp, zu = (np.clip((x - mean) / scale, -8, 8) for x in (xp.astype(np.float64), xu.astype(np.float64)))
     if prior is None:
         w, b = _descend(zp, zu, 0.5, steps // 2, rate, l2)

@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 from canopyflow.llm import byte_bpe, language_id, mixing, near_dedup, quality
 from canopyflow.session import materialise, shared_dir, table
 
-#: Least posterior of the predicted language; least quality score. A low bar keeps clean documents.
-LEAST_LANGUAGE, LEAST_QUALITY = 0.5, 0.1
+#: Least posterior of the predicted language; least quality score.
+LEAST_LANGUAGE, LEAST_QUALITY = 0.5, 0.3
 #: Ids up to which a list of removed documents is broadcast; a longer one is joined by a shuffle.
 SMALL_IDS = 4_000_000
 

@@ -24,9 +24,16 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return put
 
 
+def _load() -> None:
+    """The query modules register themselves when they are imported."""
+    from canopyflow.plans import geometry_queries, label_queries, series_queries, table_queries  # noqa: F401
+
+
 def queries() -> dict[str, Query]:
+    _load()
     return {k: f for k, (f, _) in _QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return {k: s for k, (_, s) in _QUERIES.items() if s}

@@ -4,14 +4,14 @@
    order-free 128-bit fingerprint of the set, bands x rows MinHash samples folded into band keys, and
    an odd sketch: every sample flips one bit of a parity bitmap. Equal sets collapse to their least id.
 2. Documents that share a band key are candidates. In every bucket each member is paired with the
-   bucket's hubs (the members of least priority, the same few in all buckets of a group), so a bucket of
-   n members gives about hubs * n pairs and never n * n.
+   bucket's hubs (its most central members, the same few in all buckets of a group), so a bucket of n members gives about hubs * n pairs and never n * n.
 3. The XOR population count of two odd sketches estimates the similarity; pairs clearly below the
    threshold are dropped, the others wait as candidate links.
 4. Links are confirmed on full sets, the likeliest first, and only between documents that confirmed
-   links do not connect already, in rounds that test 1, 4, and then all remaining candidates of a component.
-5. Buckets that still hold several components are compared in full, in blocks: members outside the
-   bucket's largest component against all members, sketches only. What passes is confirmed as in 4.
+   links do not connect already: one candidate of each component, then four.
+5. In buckets that still hold several components, members outside the bucket's largest component meet all
+   members, sketches only and in blocks; the likeliest eight of each are confirmed as in 4, and then, for
+   what is still apart, every candidate.
 
 With the default 48 bands of 6 rows a pair at similarity 0.8 shares no band with probability 5e-7, and
 the sketch test drops it with probability under 1e-6 (five standard deviations).
@@ -175,11 +175,13 @@ def _untested(pairs: DataFrame, tested: list[DataFrame]) -> DataFrame:
     return pairs
 
 
-def _residual(members: DataFrame, label: DataFrame | None, sketches: DataFrame, most_bits: int, block: int = 1024) -> DataFrame:
+def _residual(members: DataFrame, label: DataFrame | None, sketches: DataFrame, most_bits: int, top: int | None, small: int = 32, block: int = 2048) -> DataFrame:
     """Candidate pairs (a, b, bits) between different components of one bucket, over all buckets.
 
-    Only members outside the bucket's largest component meet all members, in blocks of about `block`
-    rows a side; a group of rows that one worker holds is one pair of blocks.
+    Only members outside the bucket's largest component meet the bucket's members. Buckets of up to `small`
+    members are joined; in larger ones blocks of about `block` rows a side meet in numpy, and what one worker
+    holds is one pair of blocks. There each outside member gives its `top` likeliest candidates of a block,
+    or, with top None, all of them.
     """
     if label is None:
         at = members.select("key", "sid", F.col("sid").alias("c"))
@@ -187,26 +189,34 @@ def _residual(members: DataFrame, label: DataFrame | None, sketches: DataFrame,
         at = members.join(label, members.sid == label.node, "left").select("key", "sid", F.coalesce("component", "sid").alias("c"))
     sizes = at.groupBy("key", "c").agg(F.count("*").alias("n"))
     buckets = sizes.groupBy("key").agg(F.sum("n").alias("total"), F.max(F.struct("n", F.col("c"))).alias("top"), F.count("*").alias("kinds")).where("kinds > 1")
-    rest = F.col("total") - F.col("top.n")
     buckets = buckets.select(
-        "key", F.col("top.c").alias("main"),
-        F.ceil(F.col("total") / block).cast("int").alias("wide"), F.ceil(rest / block).cast("int").alias("tall"),
+        "key", "total", F.col("top.c").alias("main"),
+        F.ceil(F.col("total") / block).cast("int").alias("wide"), F.ceil((F.col("total") - F.col("top.n")) / block).cast("int").alias("tall"),
     )
-    rows = at.join(buckets, "key").join(sketches, "sid").select("key", "sid", "c", "sketch", "main", "wide", "tall")
-    minor = rows.where("c <> main").select(F.col("key").alias("of"), F.col("sid").alias("few_sid"), F.col("c").alias("few_c"), F.col("sketch").alias("few_sketch"), F.pmod(F.xxhash64("sid"), "tall").alias("y"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"))
-    every = rows.select("key", "sid", "c", "sketch", F.pmod(F.xxhash64("sid"), "wide").alias("x"), F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("y"))
-
-    def meet(few: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+    rows = at.join(buckets, "key").join(sketches, "sid")
+    part = lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")
+    few = [F.col("key").alias("of"), F.col("sid").alias("few_sid"), F.col("c").alias("few_c"), F.col("sketch").alias("few_sketch")]
+    low = rows.where(F.col("total") <= small)
+    joined = low.where("c <> main").select(*few).join(low.select("key", "sid", "c", "sketch"), F.col("of") == F.col("key")).where(F.col("few_c") != F.col("c"))
+    joined = joined.withColumn("bits", _xor_bits("few_sketch", "sketch").cast("long")).where(F.col("bits") <= most_bits)
+    high = rows.where(F.col("total") > small)
+    minor = high.where("c <> main").select(*few, part("tall").alias("y"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"))
+    every = high.select("key", "sid", "c", "sketch", part("wide").alias("x"), F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("y"))
+
+    def meet(one: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(few) and len(many):
+        if len(one) and len(many):
             sm, cm, im = np.stack(many["sketch"].to_numpy()).view(np.uint64), many["c"].to_numpy(), many["sid"].to_numpy()
-            for s, c, i in zip(np.stack(few["few_sketch"].to_numpy()).view(np.uint64), few["few_c"].to_numpy(), few["few_sid"].to_numpy()):
-                bits = np.bitwise_count(sm ^ s).sum(1)
-                for q in np.flatnonzero((bits <= most_bits) & (cm != c)):
-                    out.append((min(i, im[q]), max(i, im[q]), int(bits[q])))
+            for s, c, i in zip(np.stack(one["few_sketch"].to_numpy()).view(np.uint64), one["few_c"].to_numpy(), one["few_sid"].to_numpy()):
+                bits = np.bitwise_count(sm ^ s).sum(1).astype(np.int64)
+                found = np.flatnonzero((bits <= most_bits) & (cm != c))
+                if top is not None and len(found) > top:
+                    found = found[np.lexsort((im[found], bits[found]))[:top]]
+                out += [(min(i, q), max(i, q), int(n)) for q, n in zip(im[found], bits[found])]
         return pd.DataFrame(out, columns=["a", "b", "bits"]).astype("int64")
 
-    return minor.groupBy("of", "x", "y").cogroup(every.groupBy("key", "x", "y")).applyInPandas(meet, "a long, b long, bits long").distinct()
+    met = minor.groupBy("of", "x", "y").cogroup(every.groupBy("key", "x", "y")).applyInPandas(meet, "a long, b long, bits long")
+    return joined.select(F.least("few_sid", "sid").alias("a"), F.greatest("few_sid", "sid").alias("b"), "bits").union(met).distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, hubs: int = 2, margin: float = 0.15, path: str | None = None) -> DataFrame:
@@ -225,14 +235,22 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     several = reps.groupBy("sid").agg(F.count("*").alias("sets"), F.min(F.struct("s1", "s2")).alias("least")).where("sets > 1")
     reps = reps.join(several, "sid", "left").where("sets is null or struct(s1, s2) = least").drop("sets", "least") if not several.isEmpty() else reps
     # buckets of at least two members; a key already holds its band's number
-    banded = reps.select(F.explode("bands").alias("key"), "sid", F.struct(F.xxhash64("sid").alias("p"), F.col("sid").alias("s")).alias("rank"))
-    first = banded.groupBy("key").agg(F.count("*").alias("size"), F.min("rank").alias("h0")).where("size > 1")
-    members = materialise(banded.join(first, "key").select("key", "sid", F.col("h0.s").alias("h0")), f"{path}/members")
-    stars = [members.where("sid <> h0").select("h0", "sid")]
-    if hubs > 1:
-        second = members.where("sid <> h0").groupBy("key").agg(F.count("*").alias("others"), F.min(F.struct(F.xxhash64("sid").alias("p"), F.col("sid").alias("s"))).alias("h1")).where("others > 1")
-        stars.append(members.where("sid <> h0").join(second, "key").where(F.col("sid") != F.col("h1.s")).select(F.col("h1.s").alias("h0"), "sid"))
-    pairs = stars[0] if len(stars) == 1 else stars[0].union(stars[1])
+    banded = reps.select(F.explode("bands").alias("key"), "sid")
+    first = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    members = materialise(banded.join(first, "key").select("key", "sid", "size"), f"{path}/members")
+    # hubs are the most central members: those whose buckets are the largest, the same few in all buckets of a group
+    central = members.groupBy("sid").agg((-F.sum("size")).alias("d"))
+    ranked = members.join(central, "sid").select("key", "sid", F.struct("d", F.xxhash64("sid").alias("p"), F.col("sid").alias("s")).alias("rank"))
+    h0 = ranked.groupBy("key").agg(F.min("rank").alias("h"))
+    stars, rest = [], ranked
+    for _ in range(hubs):
+        rest = materialise(rest.join(h0.select("key", F.col("h.s").alias("hub")), "key").where("sid <> hub").select("key", "sid", "rank", "hub"), f"{path}/stars{len(stars)}")
+        stars.append(rest.select(F.col("hub").alias("h0"), "sid"))
+        rest = rest.drop("hub")
+        h0 = rest.groupBy("key").agg(F.min("rank").alias("h"), F.count("*").alias("n")).where("n > 1")
+    pairs = stars[0]
+    for more in stars[1:]:
+        pairs = pairs.union(more)
     pairs = pairs.select(F.least("h0", "sid").alias("a"), F.greatest("h0", "sid").alias("b")).distinct()
     sketches = reps.select("sid", "sketch")
     rated = pairs.join(sketches.select(F.col("sid").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("sid").alias("b"), F.col("sketch").alias("y")), "b")
@@ -242,9 +260,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     wanted = members.select("sid").distinct().join(reps.select("sid", "s1"), "sid")
     sets = materialise(_sets(docs, wanted, k), f"{path}/sets")
     links, label, tested = None, None, []
-    for step, tests in enumerate((1, 4, None)):
-        if tests is None:
-            waiting = _untested(waiting.union(_residual(members, label, sketches, most_bits)), tested)
+    for step, tests in enumerate((1, 4, 8, None)):
+        if step > 1:
+            waiting = _untested(waiting.union(_residual(members, label, sketches, most_bits, tests)).distinct(), tested)
+            waiting = materialise(waiting, f"{path}/waiting{step}")
         open_pairs = _labelled(waiting, label).where("ca <> cb")
         if tests:
             ends = open_pairs.select("a", "b", "bits", F.explode(F.array("ca", "cb")).alias("c"))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import BooleanType, DoubleType
 
 from canopyflow.functions import geometry as G
 
@@ -19,7 +20,7 @@ from canopyflow.functions import geometry as G
 def with_measures(crowns: DataFrame, ring: str = "ring") -> DataFrame:
     """C1-C4 of every crown: x, y, area, perimeter, compactness, aspect_ratio, and eccentricity by an Arrow function."""
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def eccentricity(rings: pd.Series) -> pd.Series:
         return rings.map(lambda r: G.eccentricity(G.as_points(r)) if r is not None else None)
 
@@ -51,13 +52,13 @@ def box_intersection(a: Column, b: Column) -> Column:
     return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def ring_intersection(a: pd.Series, b: pd.Series) -> pd.Series:
     """Area shared by two rings."""
     return pd.Series([G.intersection_area(G.as_points(p), G.as_points(q)) for p, q in zip(a, b)], dtype="float64")
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def ring_covers(outer: pd.Series, inner: pd.Series) -> pd.Series:
     """The first ring holds the second."""
     return pd.Series([G.covered_within(G.as_points(q), G.as_points(p)) for p, q in zip(outer, inner)], dtype="bool")

@@ -13,6 +13,7 @@ from canopyflow.operators import tracking_graph as X
 from canopyflow.operators.alignment import centroid_shifts, cumulative_shifts
 from canopyflow.operators.consensus import consensus_polygons
 from canopyflow.functions.geometry import translate
+from canopyflow.session import materialise, shared_dir
 
 
 def default_cases() -> list[M.CaseConfig]:
@@ -49,11 +50,17 @@ def aligned(crowns: DataFrame, config: TrackingConfig) -> tuple[DataFrame, DataF
 
 
 def track(crowns: DataFrame, flights: int, config: TrackingConfig | None = None) -> dict[str, DataFrame]:
-    """nodes, edges, chains, categories, consensus, report and shifts of crowns (om_id, crown_idx, ring)."""
+    """nodes, edges, chains, categories, consensus, report and shifts of crowns (om_id, crown_idx, ring).
+
+    Measures, edges and chains are written below the shared folder once, so no result computes them again.
+    """
     config = config or TrackingConfig()
+    path = shared_dir(crowns.sparkSession)
     rows, out = M.with_measures(crowns.select("om_id", "crown_idx", "ring")), {}
     if config.align:
-        rows, out["shifts"] = aligned(rows, config)
+        rows, shifts = aligned(materialise(rows, f"{path}/measures"), config)
+        out["shifts"] = shifts
+    rows = materialise(rows, f"{path}/crowns")
     pairs = M.near_pairs(rows, rows, config.base_max_dist, F.col("om_id_b") == F.col("om_id") + 1)
     contains = (M.ring_covers("ring", "ring_b"), M.ring_covers("ring_b", "ring"))
     measured = M.pair_measures(pairs, M.ring_intersection("ring", "ring_b"), config.base_max_dist, contains=contains)
@@ -62,8 +69,9 @@ def track(crowns: DataFrame, flights: int, config: TrackingConfig | None = None)
     chosen = M.greedy_select(M.scored_candidates(cased, config.cases, config.min_base_similarity), config.cases, ["om_id", "om_id_b"], "crown_idx", "crown_idx_b")
     node = lambda s: F.struct(F.col("om_id" + s).alias("om_id"), F.col("crown_idx" + s).alias("crown_idx"))
     edges = chosen.select(node("").alias("prev"), node("_b").alias("curr"), F.col("score").alias("similarity"), "case", "iou", "distance")
+    edges = materialise(edges, f"{path}/edges")
     nodes = rows.select(node("").alias("node"))
-    chains = X.chains(nodes, edges, flights)
+    chains = materialise(X.chains(nodes, edges, flights), f"{path}/chains")
     categories = X.categories(chains, X.degrees(nodes, edges), flights)
     sources = X.consensus_sources(categories, X.one_to_one_ratio(chains, edges), True, config.min_partial_len, config.min_ratio)
     members = chains.join(sources.select("start"), "start", "left_semi").join(rows.select(node("").alias("node"), "om_id", "ring"), "node").withColumnRenamed("start", "chain_id")

@@ -233,7 +233,7 @@ def _mapped(docs: DataFrame, source: str, keep: tuple[str, ...], run, made: str,
     return rows.mapInArrow(run, ", ".join([*kinds, made]))
 
 
-def train_free_codec(docs: DataFrame, ranks_path: str, pattern: str, table_pieces: int = 200_000, fold_bytes: int = 32, text: str = "text", path: str | None = None) -> Codec:
+def train_free_codec(docs: DataFrame, ranks_path: str, pattern: str, table_pieces: int = 100_000, fold_bytes: int = 32, text: str = "text", path: str | None = None) -> Codec:
     """A codec whose table holds the table_pieces most frequent pieces of docs with at most fold_bytes bytes."""
     spark = docs.sparkSession
     ranks = load_ranks(ranks_path)

@@ -10,8 +10,8 @@
 4. Links are confirmed on full sets, the likeliest first, and only between documents that confirmed
    links do not connect already: one candidate of each component, then four.
 5. In buckets that still hold several components, members outside the bucket's largest component meet all
-   members, sketches only and in blocks; the likeliest eight of each are confirmed as in 4, and then, for
-   what is still apart, every candidate.
+   members in blocks; the likeliest eight of each are confirmed as in 4, and then, for what is still apart,
+   every candidate is confirmed in the block where it is met.
 
 With the default 48 bands of 6 rows a pair at similarity 0.8 shares no band with probability 5e-7, and
 the sketch test drops it with probability under 1e-6 (five standard deviations).
@@ -138,6 +138,12 @@ def _xor_bits(a: str, b: str) -> F.Column:
     return sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(1, SKETCH_WORDS)), F.bit_count(F.col(a)[0].bitwiseXOR(F.col(b)[0])))
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """100 * intersection >= percent * union of two sorted sets, neither empty."""
+    common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
@@ -153,8 +159,7 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         keep = []
         for a, b, m in zip(many["a"], many["b"], many["mb"]):
             x, y = held[a], np.frombuffer(m, dtype=np.uint64)
-            common = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-            if 100 * common >= percent * (len(x) + len(y) - common):
+            if _linked(x, y, percent):
                 keep.append((a, b))
         return pd.DataFrame(keep, columns=["a", "b"]).astype("int64")
 
@@ -175,14 +180,16 @@ def _untested(pairs: DataFrame, tested: list[DataFrame]) -> DataFrame:
     return pairs
 
 
-def _residual(members: DataFrame, label: DataFrame | None, sketches: DataFrame, most_bits: int, top: int | None, small: int = 32, block: int = 2048) -> DataFrame:
-    """Candidate pairs (a, b, bits) between different components of one bucket, over all buckets.
+def _residual(members: DataFrame, label: DataFrame | None, sketches: DataFrame, most_bits: int, top: int, small: int = 32, block: int = 2048, exact: tuple[DataFrame, DataFrame, int] | None = None) -> tuple[DataFrame, DataFrame | None]:
+    """Candidate pairs (a, b, bits) between different components of one bucket, over all buckets, and links.
 
     Only members outside the bucket's largest component meet the bucket's members. Buckets of up to `small`
     members are joined; in larger ones blocks of about `block` rows a side meet in numpy, and what one worker
-    holds is one pair of blocks. There each outside member gives its `top` likeliest candidates of a block,
-    or, with top None, all of them.
+    holds is one pair of blocks. There each outside member gives its `top` likeliest candidates of a block; or,
+    with exact (full sets, bands, percent), every candidate is confirmed where it is met, in the first bucket
+    that the pair shares, and only links (a, b) leave the worker.
     """
+    block = 512 if exact else block
     if label is None:
         at = members.select("key", "sid", F.col("sid").alias("c"))
     else:
@@ -200,8 +207,12 @@ def _residual(members: DataFrame, label: DataFrame | None, sketches: DataFrame,
     joined = low.where("c <> main").select(*few).join(low.select("key", "sid", "c", "sketch"), F.col("of") == F.col("key")).where(F.col("few_c") != F.col("c"))
     joined = joined.withColumn("bits", _xor_bits("few_sketch", "sketch").cast("long")).where(F.col("bits") <= most_bits)
     high = rows.where(F.col("total") > small)
+    if exact:
+        high = high.join(exact[0], "sid").join(exact[1], "sid")
+        few += [F.col("members").alias("few_members"), F.col("bands").alias("few_bands")]
+    own = ["members", "bands"] if exact else []
     minor = high.where("c <> main").select(*few, part("tall").alias("y"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"))
-    every = high.select("key", "sid", "c", "sketch", part("wide").alias("x"), F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("y"))
+    every = high.select("key", "sid", "c", "sketch", *own, part("wide").alias("x"), F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("y"))
 
     def meet(one: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -210,13 +221,30 @@ def _residual(members: DataFrame, label: DataFrame | None, sketches: DataFrame,
             for s, c, i in zip(np.stack(one["few_sketch"].to_numpy()).view(np.uint64), one["few_c"].to_numpy(), one["few_sid"].to_numpy()):
                 bits = np.bitwise_count(sm ^ s).sum(1).astype(np.int64)
                 found = np.flatnonzero((bits <= most_bits) & (cm != c))
-                if top is not None and len(found) > top:
+                if len(found) > top:
                     found = found[np.lexsort((im[found], bits[found]))[:top]]
                 out += [(min(i, q), max(i, q), int(n)) for q, n in zip(im[found], bits[found])]
         return pd.DataFrame(out, columns=["a", "b", "bits"]).astype("int64")
 
-    met = minor.groupBy("of", "x", "y").cogroup(every.groupBy("key", "x", "y")).applyInPandas(meet, "a long, b long, bits long")
-    return joined.select(F.least("few_sid", "sid").alias("a"), F.greatest("few_sid", "sid").alias("b"), "bits").union(met).distinct()
+    def link(one: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(one) and len(many):
+            key, percent = one["of"].iloc[0], exact_percent
+            sm, cm, im = np.stack(many["sketch"].to_numpy()).view(np.uint64), many["c"].to_numpy(), many["sid"].to_numpy()
+            bm, full = np.stack(many["bands"].to_numpy()), many["members"].to_numpy()
+            for s, c, i, b, m in zip(np.stack(one["few_sketch"].to_numpy()).view(np.uint64), one["few_c"].to_numpy(), one["few_sid"].to_numpy(), one["few_bands"], one["few_members"]):
+                found = np.flatnonzero((np.bitwise_count(sm ^ s).sum(1) <= most_bits) & (cm != c))
+                found = found[(bm[found] == b).argmax(1) == int(np.flatnonzero(b == key)[0])]
+                x = np.frombuffer(m, dtype=np.uint64)
+                out += [(min(i, im[q]), max(i, im[q])) for q in found if _linked(x, np.frombuffer(full[q], dtype=np.uint64), percent)]
+        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+
+    exact_percent = exact[2] if exact else 0
+    sides = minor.groupBy("of", "x", "y").cogroup(every.groupBy("key", "x", "y"))
+    pairs = joined.select(F.least("few_sid", "sid").alias("a"), F.greatest("few_sid", "sid").alias("b"), "bits")
+    if exact:
+        return pairs.distinct(), sides.applyInPandas(link, "a long, b long")
+    return pairs.union(sides.applyInPandas(meet, "a long, b long, bits long")).distinct(), None
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, hubs: int = 2, margin: float = 0.15, path: str | None = None) -> DataFrame:
@@ -261,9 +289,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     sets = materialise(_sets(docs, wanted, k), f"{path}/sets")
     links, label, tested = None, None, []
     for step, tests in enumerate((1, 4, 8, None)):
+        direct = None
         if step > 1:
-            waiting = _untested(waiting.union(_residual(members, label, sketches, most_bits, tests)).distinct(), tested)
-            waiting = materialise(waiting, f"{path}/waiting{step}")
+            exact = (sets, reps.select("sid", "bands"), percent) if tests is None else None
+            more, direct = _residual(members, label, sketches, most_bits, tests or 0, exact=exact)
+            waiting = materialise(_untested(waiting.union(more).distinct(), tested), f"{path}/waiting{step}")
         open_pairs = _labelled(waiting, label).where("ca <> cb")
         if tests:
             ends = open_pairs.select("a", "b", "bits", F.explode(F.array("ca", "cb")).alias("c"))
@@ -272,9 +302,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
         else:
             chosen = open_pairs.select("a", "b").distinct()
         chosen = materialise(chosen, f"{path}/chosen{step}")
-        if chosen.isEmpty():
+        passed = _confirm(chosen, sets, percent)
+        passed = materialise(passed.union(direct) if direct is not None else passed, f"{path}/passed{step}")
+        if passed.isEmpty():
+            tested.append(chosen)
             continue
-        passed = materialise(_confirm(chosen, sets, percent), f"{path}/passed{step}")
         tested.append(chosen)
         waiting = _untested(waiting, [chosen])
         links = passed if links is None else links.union(passed)

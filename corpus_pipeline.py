@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopyflow.llm import byte_bpe, language_id, mixing, near_dedup, quality
-from canopyflow.session import materialise, shared_dir, table
+from canopyflow.session import materialise, shared_dir, ship, table
 
 #: Least posterior of the predicted language; least quality score.
 LEAST_LANGUAGE, LEAST_QUALITY = 0.5, 0.3
@@ -24,6 +24,7 @@ SMALL_IDS = 4_000_000
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents with a language: not `und`, and posterior at least LEAST_LANGUAGE."""
+    ship(spark)
     numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
     judged = language_id.score(numbered, language_id.train(docs), keep=("row",))
     return judged.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_LANGUAGE)).select("row.*")
@@ -39,6 +40,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of least doc_id, of each near-duplicate group; of a repeated doc_id one row."""
+    ship(spark)
     own = docs.columns
     found = near_dedup.near_duplicates(docs, k=5, percent=80)
     found = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or("kept").alias("kept")), f"{shared_dir(spark)}/kept")
@@ -52,11 +54,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the temperature mix uses it; the budget is the least that drops none."""
+    ship(spark)
     return mixing.mix(docs, entropy_share=0.97, max_repeats=4.0).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row: doc_id, source, n_tokens, ids_sha256, decoded_sha256."""
+    ship(spark)
     import public_tokenizers
 
     codec = byte_bpe.train_free_codec(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

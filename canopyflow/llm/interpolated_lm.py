@@ -46,11 +46,26 @@ GRID = 160
 BUCKETS = 40
 
 
+def pack(x: np.ndarray, rising: bool = False) -> bytes:
+    """x (of rising numbers: their differences) as byte planes, compressed: the planes of high bytes are mostly zero."""
+    if rising and len(x):
+        x = np.concatenate([x[:1], np.diff(x)])
+    return pa.compress(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.dtype.itemsize).T.tobytes(), "zstd", asbytes=True)
+
+
+def unpack(blob: bytes, n: int, kind: type, rising: bool = False) -> np.ndarray:
+    """The n numbers that pack() was given."""
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(blob, n * size, "zstd", asbytes=True), np.uint8).reshape(size, n)
+    x = np.ascontiguousarray(planes.T).reshape(-1).view(kind)
+    return np.cumsum(x, dtype=kind) if rising else x
+
+
 def pair_keys(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return T.splitmix(left * _LEFT + T.splitmix(right * _RIGHT))
 
 
-def chunks(docs: DataFrame, training: Column, chunk_bytes: int = 6 << 20) -> DataFrame:
+def chunks(docs: DataFrame, training: Column, chunk_bytes: int = 2 << 20) -> DataFrame:
     """One row a chunk: chunk string, ids (nullable longs), train flags, token counts, vocabulary and token positions, each packed."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -76,21 +91,21 @@ def chunks(docs: DataFrame, training: Column, chunk_bytes: int = 6 << 20) -> Dat
                     sizes.append(n + 1)
                 tokens, size = np.concatenate(hashes), np.concatenate(sizes).astype(np.int32)
                 vocabulary, position = np.unique(tokens, return_inverse=True)
-                row = [uuid.uuid4().hex, ids[i:j].tobytes(), known[i:j].tobytes(), train[i:j].tobytes(), size.tobytes(), vocabulary.tobytes(), position.astype(np.uint32).tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["chunk", "ids", "known", "train", "size", "vocabulary", "position"])
+                row = [uuid.uuid4().hex, ids[i:j].tobytes(), known[i:j].tobytes(), train[i:j].tobytes(), size.tobytes(), pack(vocabulary, True), pack(position.astype(np.uint32)), len(vocabulary), len(tokens)]
+                yield pa.RecordBatch.from_arrays([pa.array([x]) for x in row], names=["chunk", "ids", "known", "train", "size", "vocabulary", "position", "words", "tokens"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(training, F.lit(False)))
-    return rows.mapInArrow(cut, "chunk string, ids binary, known binary, train binary, size binary, vocabulary binary, position binary")
+    return rows.mapInArrow(cut, "chunk string, ids binary, known binary, train binary, size binary, vocabulary binary, position binary, words long, tokens long")
 
 
 class Chunk:
     """The unpacked arrays of a chunk."""
 
-    def __init__(self, train: bytes, size: bytes, vocabulary: bytes, position: bytes):
-        self.train = np.frombuffer(train, np.uint8).astype(bool)
-        self.size = np.frombuffer(size, np.int32).astype(np.int64)
-        self.vocabulary = np.frombuffer(vocabulary, np.uint64)
-        self.position = np.frombuffer(position, np.uint32).astype(np.int64)
+    def __init__(self, r):
+        self.train = np.frombuffer(r["train"], np.uint8).astype(bool)
+        self.size = np.frombuffer(r["size"], np.int32).astype(np.int64)
+        self.vocabulary = unpack(r["vocabulary"], r["words"], np.uint64, True)
+        self.position = unpack(r["position"], r["tokens"], np.uint32).astype(np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.size)])
         self.train_token = np.repeat(self.train, self.size)
 
@@ -114,20 +129,16 @@ def _requests(table: DataFrame, parts: int, pairs: bool) -> DataFrame:
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
-                c = Chunk(r["train"], r["size"], r["vocabulary"], r["position"])
+                c = Chunk(r)
                 keys, at = c.pairs() if pairs else (c.vocabulary, c.position)
                 own = np.bincount(at[c.train_token], minlength=len(keys)).astype(np.uint32)
                 cut = np.concatenate([[0], np.searchsorted(keys, edges), [len(keys)]])
                 for p in range(parts):
                     a, b = cut[p], cut[p + 1]
                     if b > a:
-                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([r["chunk"]]), pa.array([keys[a:b].tobytes()], pa.binary()), pa.array([pa.compress(own[a:b].tobytes(), "zstd", asbytes=True)], pa.binary()), pa.array([b - a], pa.int64())], names=["part", "chunk", "keys", "counts", "n"])
-
-    return table.select("chunk", "train", "size", "vocabulary", "position").mapInArrow(ask, "part int, chunk string, keys binary, counts binary, n long")
-
+                        yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([r["chunk"]]), pa.array([pack(keys[a:b], True)], pa.binary()), pa.array([pack(own[a:b])], pa.binary()), pa.array([b - a], pa.int64())], names=["part", "chunk", "keys", "counts", "n"])
 
-def _numbers(blob: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(pa.decompress(blob, n * 4, "zstd", asbytes=True), np.uint32)
+    return table.select("chunk", "train", "size", "vocabulary", "position", "words", "tokens").mapInArrow(ask, "part int, chunk string, keys binary, counts binary, n long")
 
 
 def _answers(requests: DataFrame) -> DataFrame:
@@ -137,13 +148,13 @@ def _answers(requests: DataFrame) -> DataFrame:
     """
 
     def add(group: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(k, np.uint64) for k in group["keys"]]
-        counts = [_numbers(c, n) for c, n in zip(group["counts"], group["n"])]
+        keys = [unpack(k, n, np.uint64, True) for k, n in zip(group["keys"], group["n"])]
+        counts = [unpack(c, n, np.uint32) for c, n in zip(group["counts"], group["n"])]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         total = np.bincount(at, weights=np.concatenate(counts), minlength=len(every)).astype(np.uint32)
         cut = np.cumsum([0, *map(len, keys)])
         out = pd.DataFrame({"chunk": group["chunk"], "part": group["part"], "n": group["n"]})
-        out["totals"] = [pa.compress(total[at[a:b]].tobytes(), "zstd", asbytes=True) for a, b in zip(cut[:-1], cut[1:])]
+        out["totals"] = [pack(total[at[a:b]]) for a, b in zip(cut[:-1], cut[1:])]
         out["kinds"], out["tokens"] = 0, 0
         out.iloc[0, out.columns.get_loc("kinds")] = int((total > 0).sum())
         out.iloc[0, out.columns.get_loc("tokens")] = int(total.sum(dtype=np.int64))
@@ -154,7 +165,7 @@ def _answers(requests: DataFrame) -> DataFrame:
 
 def _gathered(group: pd.DataFrame) -> np.ndarray:
     group = group.sort_values("part")
-    return np.concatenate([_numbers(t, n) for t, n in zip(group["totals"], group["n"])]).astype(np.float64)
+    return np.concatenate([unpack(t, n, np.uint32) for t, n in zip(group["totals"], group["n"])]).astype(np.float64)
 
 
 class Estimates:
@@ -202,7 +213,7 @@ def _centre(b: np.ndarray) -> np.ndarray:
     return np.where(b > 0, (b - GRID / 4 + 0.5) / 4, -np.inf)
 
 
-def score(docs: DataFrame, training: Column, chunk_bytes: int = 6 << 20, path: str | None = None) -> DataFrame:
+def score(docs: DataFrame, training: Column, chunk_bytes: int = 2 << 20, path: str | None = None) -> DataFrame:
     """Per row of docs: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     training: Boolean column over docs, the rows to learn from. chunk_bytes: text that one chunk holds.
@@ -210,10 +221,10 @@ def score(docs: DataFrame, training: Column, chunk_bytes: int = 6 << 20, path: s
     spark = docs.sparkSession
     path = path or shared_dir(spark)
     table = materialise(chunks(docs, training, chunk_bytes), f"{path}/chunks")
-    size = table.agg(F.count("*").alias("chunks"), F.coalesce(F.sum(F.octet_length("vocabulary")), F.lit(0)).alias("words"), F.coalesce(F.sum(F.octet_length("position")), F.lit(0)).alias("tokens")).first()
+    size = table.agg(F.count("*").alias("chunks"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
     # a part of the requests holds at most about 8 MB of fingerprints
-    words = materialise(_answers(_requests(table, max(4, size["words"] >> 23), False)), f"{path}/words")
-    pairs = materialise(_answers(_requests(table, max(8, size["tokens"] * 2 >> 23), True)), f"{path}/pairs")
+    words = materialise(_answers(_requests(table, max(4, size["words"] >> 20), False)), f"{path}/words")
+    pairs = materialise(_answers(_requests(table, max(8, size["tokens"] >> 20), True)), f"{path}/pairs")
     release_shuffles(spark)
     sums = words.agg(F.coalesce(F.sum("kinds"), F.lit(0)).alias("kinds"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
     kinds, total = int(sums["kinds"]), int(sums["tokens"])
@@ -223,7 +234,7 @@ def score(docs: DataFrame, training: Column, chunk_bytes: int = 6 << 20, path: s
     def joined(body, schema: str) -> DataFrame:
         def run(one: pd.DataFrame, got: pd.DataFrame) -> pd.DataFrame:
             r = one.iloc[0]
-            c = Chunk(r["train"], r["size"], r["vocabulary"], r["position"])
+            c = Chunk(r)
             return body(r, c, _gathered(got[got["order"] == 1]), _gathered(got[got["order"] == 2]))
 
         return table.groupBy("chunk").cogroup(answers.withColumnRenamed("chunk", "of").groupBy("of")).applyInPandas(run, schema)

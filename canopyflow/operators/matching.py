@@ -192,25 +192,30 @@ def mutual_best(pairs: DataFrame, prev: list[str], curr: list[str], score: str =
     return pairs.withColumns({"__p": best(prev, curr), "__c": best(curr, prev)}).where("__p = 1 and __c = 1").drop("__p", "__c")
 
 
-def greedy_one_to_one(pairs: DataFrame, left: str, right: str, order: list[tuple[str, bool]], rounds: int = 100, path: str | None = None) -> DataFrame:
+def greedy_one_to_one(pairs: DataFrame, left: str, right: str, order: list[tuple[str, bool]], path: str | None = None) -> DataFrame:
     """Pairs taken best first, each side once: rounds of pairs that are the best of both their ends.
 
     order: (column, descending). The result equals the sequential greedy choice; a round drops the pairs whose
-    end is taken. Intermediate tables go below the session's shared folder.
+    end is taken, and rounds go on until no pair is open. Every round takes the best open pair at least, so they
+    end; a chain of ties needs a round for each of its pairs. Of repeated pairs the best one counts.
+    Intermediate tables go below the session's shared folder.
     """
     from canopyflow.session import materialise, shared_dir
 
-    path = path or shared_dir(pairs.sparkSession)
+    spark, path = pairs.sparkSession, path or shared_dir(pairs.sparkSession)
     keys = [F.desc(c) if d else F.asc(c) for c, d in order] + [F.asc(left), F.asc(right)]
-    open_pairs, taken = materialise(pairs, f"{path}/open0"), None
-    for k in range(1, rounds + 1):
+    once = F.row_number().over(W.partitionBy(left, right).orderBy(*keys))
+    open_pairs, taken = materialise(pairs.withColumn("__n", once).where("__n = 1").drop("__n"), f"{path}/open0"), []
+    while not open_pairs.isEmpty():
+        k = len(taken) + 1
         ranked = open_pairs.withColumns({"__l": F.row_number().over(W.partitionBy(left).orderBy(*keys)), "__r": F.row_number().over(W.partitionBy(right).orderBy(*keys))})
         won = materialise(ranked.where("__l = 1 and __r = 1").drop("__l", "__r"), f"{path}/won{k}")
-        if won.isEmpty():
-            break
-        taken = won if taken is None else taken.unionByName(won)
-        open_pairs = materialise(open_pairs.join(won.select(left), left, "left_anti").join(won.select(right), right, "left_anti"), f"{path}/open{k}")
-    return taken if taken is not None else pairs.limit(0)
+        taken.append(f"{path}/won{k}")
+        for c in (left, right):
+            ends = won.select(F.col(c).alias("__end"))
+            open_pairs = open_pairs.join(ends, F.col(c).eqNullSafe(F.col("__end")), "left_anti")
+        open_pairs = materialise(open_pairs, f"{path}/open{k}")
+    return spark.read.schema(open_pairs.schema).parquet(*taken) if taken else pairs.limit(0)
 
 
 def hungarian(cost) -> list[tuple[int, int]]:

@@ -74,6 +74,13 @@ def test_greedy_one_to_one_equals_the_sequence(spark):
     assert {(x["l"], x["r"]) for x in got.collect()} == want
 
 
+def test_greedy_one_to_one_of_a_long_tied_chain(spark):
+    n = 104
+    pairs = [(i, j, 0.5) for i in range(n) for j in (i, i + 1)] + [(0, 0, 0.5)]
+    got = M.greedy_one_to_one(spark.createDataFrame(pairs, "l long, r long, s double").coalesce(1), "l", "r", [("s", True)])
+    assert sorted((x["l"], x["r"]) for x in got.collect()) == [(i, i) for i in range(n)]
+
+
 def test_layer_tracks(spark):
     rows = [(1, 10, 20, 0.9), (1, 11, 20, 0.5), (2, 20, 30, 0.8), (2, 21, 31, 0.7)]
     got = layer_tracks(spark.createDataFrame(rows, "om_id int, prev long, curr long, iou double"), [1, 2, 3]).collect()

@@ -2,7 +2,8 @@
 
 Each tree is a sorted array of long hash strings (one bit per random hyperplane). A query descends
 in every tree to its longest-prefix matches; then all trees ascend together, one symbol at a time,
-until the matching ranges hold enough candidates. Candidates are scored by the exact inner product in
+until the matching ranges hold enough different rows besides the query's own, at least k of them, or
+the whole shard. Candidates are scored by the exact inner product in
 double precision.
 
 For inner products of vectors of any length, an index vector x of a shard with greatest norm M is hashed
@@ -61,36 +62,48 @@ class Forest:
             first[t], last[t] = np.searchsorted(short, want, "left"), np.searchsorted(short, want, "right")
         return first, last
 
+    def union(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Positions of the different rows in one query's ranges."""
+        found = np.zeros(len(self.x), dtype=bool)
+        for t in range(self.trees):
+            found[self.order[t, first[t] : last[t]]] = True
+        return np.flatnonzero(found)
+
     def search(self, q_ids: np.ndarray, q: np.ndarray, k: int, candidates: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
-        """(query position, ids, scores) of up to k nearest found; the trees ascend until the ranges hold `candidates` rows."""
+        """(query position, ids, scores) of up to k nearest found.
+
+        A query ascends until its ranges hold max(k, candidates) different rows of other ids, or to the whole shard.
+        """
         codes = hash_strings(np.column_stack([q, np.zeros(len(q))]), self.trees, self.bits, self.seed)
-        first, last = np.zeros(codes.shape, np.int64), np.full(codes.shape, len(self.x), np.int64)
-        waiting = np.arange(len(q))
+        waiting, need, out = np.arange(len(q)), max(k, candidates), []
         for depth in range(self.bits, 0, -1):
             if not len(waiting):
                 break
             a, b = self.ranges(codes[:, waiting], depth)
-            enough = (b - a).sum(0) >= candidates
-            first[:, waiting[enough]], last[:, waiting[enough]] = a[:, enough], b[:, enough]
-            waiting = waiting[~enough]
-        out = []
-        for i in range(len(q)):
-            found = np.zeros(len(self.x), dtype=bool)
-            for t in range(self.trees):
-                found[self.order[t, first[t, i] : last[t, i]]] = True
-            at = np.flatnonzero(found)
-            at = at[self.ids[at] != q_ids[i]]
-            if not len(at):
-                continue
-            rough = self.single[at] @ q[i].astype(np.float32)
-            if len(at) > k:  # single precision only discards what is clearly below the k-th
-                least = np.partition(rough, len(rough) - k)[len(rough) - k]
-                at = at[rough >= least - 1e-4 * max(1.0, float(np.abs(rough).max()))]
-            exact = (self.x[at] * q[i]).sum(1)
-            top = np.lexsort((self.ids[at], -exact))[:k]
-            out.append((i, self.ids[at][top], exact[top]))
+            done = np.zeros(len(waiting), dtype=bool)
+            for j in np.flatnonzero((b - a).sum(0) >= need):  # a row counts once a tree here, so fewer cannot hold enough
+                at = self.union(a[:, j], b[:, j])
+                at = at[self.ids[at] != q_ids[waiting[j]]]
+                if len(at) >= need:
+                    done[j] = True
+                    out.append(self.best(waiting[j], at, q[waiting[j]], k))
+            waiting = waiting[~done]
+        for i in waiting:
+            at = np.flatnonzero(self.ids != q_ids[i])
+            if len(at):
+                out.append(self.best(i, at, q[i], k))
         return out
 
+    def best(self, i: int, at: np.ndarray, v: np.ndarray, k: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """(i, ids, scores) of the k rows of `at` with the largest inner product."""
+        rough = self.single[at] @ v.astype(np.float32)
+        if len(at) > k:  # single precision only discards what is clearly below the k-th
+            least = np.partition(rough, len(rough) - k)[len(rough) - k]
+            at = at[rough >= least - 1e-4 * max(1.0, float(np.abs(rough).max()))]
+        exact = (self.x[at] * v).sum(1)
+        top = np.lexsort((self.ids[at], -exact))[:k]
+        return i, self.ids[at][top], exact[top]
+
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(vec_id, v array<double>) of the vectors that take part."""
@@ -106,8 +119,8 @@ def nearest(
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found for each row whose id is divisible by `every`.
 
-    candidate_factor: the ascent ends when the trees' ranges hold this many times the shard's rows (a row
-    counts once a tree). path: where the cleaned vectors go; by default below the shared folder.
+    candidate_factor: the ascent ends when the trees' ranges hold this share of the shard's rows, each counted
+    once, and at least k of them besides the query's own. path: where the cleaned vectors go; by default below the shared folder.
     """
     rows = materialise(usable(vectors, vec_id, embedding), f"{path or shared_dir(vectors.sparkSession)}/vectors")
     total = rows.count()
@@ -129,7 +142,7 @@ def nearest(
             x, q = np.stack(some["v"].to_numpy()), np.stack(asked["q"].to_numpy())
             q_ids = asked["query_id"].to_numpy()
             forest = Forest(some["vec_id"].to_numpy(), x, trees, bits, seed)
-            for i, ids, scores in forest.search(q_ids, q, k, int(candidate_factor * len(x)) + trees):
+            for i, ids, scores in forest.search(q_ids, q, k, int(candidate_factor * len(x))):
                 parts.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": ids, "score": scores}))
         return pd.concat(parts) if parts else pd.DataFrame({"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)})
 

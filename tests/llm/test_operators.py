@@ -218,6 +218,20 @@ def test_prefix_forest_recall_and_rows(spark):
     assert hit / (75 * 20) >= 0.9 and set(got) == set(range(0, 1500, 20))
 
 
+def test_forest_goes_on_past_a_few_copies(spark):
+    r = np.random.default_rng(8)
+    for n, copies in ((15, 1), (500, 3), (500, 19), (2000, 9)):
+        x = r.standard_normal((n, 16))
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        x[1:copies] = x[0]
+        d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = sorted((y["rank"], y["vec_id"]) for y in prefix_forest.nearest(d).where("query_id = 0").collect())
+        want = [int(i) for i in np.lexsort((np.arange(n), -np.round(x @ x[0], 9))) if i != 0][:20]
+        assert [k for k, _ in got] == list(range(1, len(want) + 1))
+        found = [v for _, v in got]
+        assert set(range(1, copies)) <= set(found) and len(set(found) & set(want)) >= 0.9 * len(want)
+
+
 def test_language_id(spark, docs, empty):
     r = random.Random(1)
     alphabets = {"xx": "aeioubdg", "yy": "öäüßstrn", "zz": "жшюяклмн"}

@@ -15,7 +15,8 @@ SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"
 
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|template|noscript|iframe|svg|title|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"|<svg(?=[\s/>])(?>\"[^\"]*\"|'[^']*'|[^\"'>])*+(?<=/)>"
+    r"|<(script|style|template|noscript|iframe|svg|title|object)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<[!?][^>]*>"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^\"'>])*+)>"
     r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -69,7 +70,8 @@ def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order. Null or empty: none. Text of scripts, styles, titles and the like is no block.
 
     Unclosed and misnested elements are handled as browsers do in the common cases: a block element ends an
-    open paragraph, list items, cells and options end their like, an end tag closes up to its start tag.
+    open paragraph, list items, cells and options end their like, an end tag closes up to its start tag. A start
+    tag of svg that ends in /> is closed; custom elements such as title-bar are elements like any other.
     """
     out: list[Block] = []
     if not page:

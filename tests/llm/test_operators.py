@@ -285,6 +285,18 @@ def test_html_field(spark):
     assert [(r["page_id"], r["text"], r["n_chars"]) for r in out] == [(1, "A & b First one. Second é two.", 30), (2, "", 0), (3, "", 0), (None, "A & b First one. Second é two.", 30)]
 
 
+def test_closed_svg_and_custom_elements_swallow_nothing():
+    from canopyflow.llm.html_blocks import blocks
+
+    article = "<article><p>The text of the page.</p></article>"
+    for before in ("<svg/>", "<svg class='i' />", '<svg aria-label="a > b" width="1"/>', "<title-bar>", "<object-card x=1>", "<svg-icon></svg-icon>", "<TEMPLATE-x/>"):
+        for after in ("", "<svg><text>no</text></svg>", "<title>no</title>"):
+            assert [b.text for b in blocks(before + article + after)] == ["The text of the page."]
+    for hidden in ("<svg viewBox='0'><path/><text>no</text></svg>", "<script src=a/>no</script>", "<title\n>no</title >", "<object>no</object>"):
+        assert [b.text for b in blocks(hidden + article)] == ["The text of the page."]
+    assert [b.text for b in blocks("<p>a <svg/>b</p>")] == ["a b"]
+
+
 def test_field_decodes_the_best_path():
     import itertools
 

@@ -336,6 +336,24 @@ def test_sharding(spark, docs, empty):
     assert sum(grown[i] != before[i] and grown[i] != 16 for i in grown) < 0.15 * len(grown)
 
 
+def test_hash_ring_splits_a_hot_key(spark):
+    r = random.Random(6)
+    rows = [(i, "a" * r.randint(1, 300)) for i in range(4000)]
+    hot = [(None, f"text {i} " * 8) for i in range(900)] + [(None, "the same text again")] * 4000 + [(7, "b" * 100)] * 900
+    d = spark.createDataFrame(rows + hot, "doc_id long, text string")
+    out = sharding.shard(d).collect()
+    load, slots = collections.Counter(), collections.defaultdict(list)
+    for x in out:
+        load[x["shard"]] += x["size"]
+        slots[x["shard"]].append(x["slot"])
+    mean = sum(load.values()) / 16
+    assert max(load.values()) <= (1.002 + 2 / sharding.HOT) * mean and len(load) == 16
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    same = lambda got: collections.Counter((x["doc_id"], x["size"], x["text_crc32"], x["shard"]) for x in got)
+    assert collections.Counter(x["doc_id"] for x in out) == collections.Counter(i for i, _ in rows + hot)
+    assert same(out) == same(sharding.shard(d.orderBy(F.rand(3)).repartition(7)).collect())
+
+
 def test_ring_assignment_against_a_walk():
     points = sharding.ring(4, 8)
     rng = random.Random(4)

@@ -124,9 +124,11 @@ def m1(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("m2_random_forest")
 def m2(spark: SparkSession, sf: str) -> DataFrame:
-    x = table(spark, sf, "embeddings").where("label < 2").select("vec_id", F.col("label").cast("double").alias("label"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
+    e = table(spark, sf, "embeddings")
+    n = e.agg(F.max(F.size("embedding"))).first()[0]
+    x = e.where("label is not null").select("vec_id", (F.col("label") < 5).cast("double").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(n)])
     split = E.stratified_split(x, "vec_id", "label")
-    model = E.random_forest(split.where("not is_test"), [f"e{i}" for i in range(8)], "label", trees=20, depth=5)
+    model = E.random_forest(split.where("not is_test"), [f"e{i}" for i in range(n)], "label")
     return model.transform(split.where("is_test")).select("vec_id", "label", "prediction")
 
 

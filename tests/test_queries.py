@@ -46,6 +46,21 @@ def test_runs(spark, name):
     assert catalog.queries()[name](spark, SF).columns
 
 
+def test_label_queries_take_all_rows(spark, monkeypatch):
+    from canopyflow.operators import evaluation as E
+
+    seen, plain = {}, E.random_forest
+    # the forest's own size is looked at here and fitted small
+    monkeypatch.setattr(E, "random_forest", lambda train, features, label, **own: seen.update(n=len(features), own=own) or plain(train, features, label, **(own | {"trees": 3, "depth": 3})))
+    e = spark.read.parquet(f"{SF}/embeddings.parquet")
+    got = catalog.queries()["m2_random_forest"](spark, SF)
+    assert {r["label"] for r in got.select("label").distinct().collect()} == {0.0, 1.0}
+    assert got.join(e.select("vec_id", e.label.alias("of")), "vec_id").select("of").distinct().count() == e.select("label").distinct().count()
+    assert seen == {"n": len(e.first()["embedding"]), "own": {}}
+    spread = catalog.queries()["x21_label_spreading"](spark, SF)
+    assert spread.count() == e.count()
+
+
 def test_entry(spark):
     import __spark_entry__
 

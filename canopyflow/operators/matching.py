@@ -137,10 +137,38 @@ class CaseConfig:
     allow_multiple: bool = False
 
 
+def ultra_relaxed_cases() -> list[CaseConfig]:
+    """The tracker's own cases, in order of priority."""
+    return [
+        CaseConfig("one_to_one", 0.25, {"base": 0.60, "iou": 0.10, "overlap_prev": 0.05, "overlap_curr": 0.05, "centroid": 0.20}, {"spatial": 0.50, "area": 0.15, "shape": 0.05, "iou": 0.30}, 50.0, 0.01, 0.10, 0.10, 3, 3, True),
+        CaseConfig("containment", 0.25, {"base": 0.40, "overlap_prev": 0.30, "overlap_curr": 0.30}, {"spatial": 0.50, "area": 0.20, "shape": 0.10, "iou": 0.20}, 150.0, 0.0, 0.25, 0.25, 2, 2, True),
+        CaseConfig("nearby", 0.20, {"base": 0.70, "centroid": 0.30}, {"spatial": 0.85, "area": 0.10, "shape": 0.03, "iou": 0.02}, 200.0, 0.0, 0.05, 0.05, 2, 2, True),
+    ]
+
+
+def strict_aligned_cases() -> list[CaseConfig]:
+    """The cases for aligned flights, in order of priority."""
+    return [
+        CaseConfig("one_to_one", 0.40, {"base": 0.40, "iou": 0.30, "overlap_prev": 0.10, "overlap_curr": 0.10, "centroid": 0.10}, {"iou": 0.45, "spatial": 0.35, "area": 0.15, "shape": 0.05}, 10.0, 0.30, 0.20, 0.20, 2, 2, True),
+        CaseConfig("containment", 0.35, {"base": 0.30, "overlap_prev": 0.35, "overlap_curr": 0.35}, {"iou": 0.40, "spatial": 0.35, "area": 0.20, "shape": 0.05}, 15.0, 0.30, 0.30, 0.30, 2, 2, True),
+        CaseConfig("nearby", 0.30, {"base": 0.60, "centroid": 0.40}, {"iou": 0.35, "spatial": 0.45, "area": 0.15, "shape": 0.05}, 20.0, 0.10, 0.10, 0.10, 2, 2, True),
+    ]
+
+
+def case_base(config: CaseConfig) -> Column:
+    """The similarity by the case's own weights; without any, base_similarity as it is."""
+    if not config.base_weights:
+        return F.col("base_similarity")
+    out = F.lit(0.0)
+    for name, w in config.base_weights.items():
+        out = out + w * F.col("iou" if name == "iou" else f"{name}_similarity")
+    return out
+
+
 def case_score(config: CaseConfig) -> Column:
     """Weighted sum of the components that the config names."""
     parts = {
-        "base": F.col("base_similarity"), "spatial": F.col("spatial_similarity"), "area": F.col("area_similarity"), "shape": F.col("shape_similarity"), "iou": F.col("iou"),
+        "base": case_base(config), "spatial": F.col("spatial_similarity"), "area": F.col("area_similarity"), "shape": F.col("shape_similarity"), "iou": F.col("iou"),
         "overlap_prev": F.col("overlap_prev"), "overlap_curr": F.col("overlap_curr"), "area_balance": F.col("balanced_area_ratio"),
         "centroid": F.greatest(F.lit(0.0), 1.0 - F.least(F.lit(1.0), F.col("distance") / (F.col("mean_radius") * 3.0))),
     }
@@ -151,15 +179,16 @@ def case_score(config: CaseConfig) -> Column:
 
 
 def scored_candidates(pairs: DataFrame, configs: list[CaseConfig], min_base: float = 0.0) -> DataFrame:
-    """Pairs that pass their case's limits, with score and priority (the case's place in configs)."""
-    score, priority = F.when(F.lit(False), F.lit(None).cast("double")), F.when(F.lit(False), F.lit(None).cast("int"))
+    """Pairs that pass their case's limits, with score, priority (the case's place in configs) and the case's base_similarity."""
+    base, score, priority = F.col("base_similarity"), F.when(F.lit(False), F.lit(None).cast("double")), F.when(F.lit(False), F.lit(None).cast("int"))
     for k, c in enumerate(configs):
-        ok = (F.col("case") == c.name) & (F.col("iou") >= c.min_iou) & (F.col("overlap_prev") >= c.min_overlap_prev) & (F.col("overlap_curr") >= c.min_overlap_curr) & (F.col("base_similarity") >= min_base)
+        ok = (F.col("case") == c.name) & (F.col("iou") >= c.min_iou) & (F.col("overlap_prev") >= c.min_overlap_prev) & (F.col("overlap_curr") >= c.min_overlap_curr) & (case_base(c) >= min_base)
         if c.max_centroid_dist is not None:
             ok = ok & (F.col("distance") <= c.max_centroid_dist)
         ok = ok & (case_score(c) >= c.similarity_threshold)
         score, priority = score.when(ok, case_score(c)), priority.when(ok, k)
-    return pairs.withColumns({"score": score, "priority": priority}).where(F.col("priority").isNotNull())
+        base = F.when(F.col("case") == c.name, case_base(c)).otherwise(base) if c.base_weights else base
+    return pairs.withColumns({"base_similarity": base, "score": score, "priority": priority}).where(F.col("priority").isNotNull())
 
 
 def greedy_select(pairs: DataFrame, configs: list[CaseConfig], group: list[str], prev: str, curr: str) -> DataFrame:

@@ -16,18 +16,9 @@ from canopyflow.functions.geometry import translate
 from canopyflow.session import materialise, shared_dir
 
 
-def default_cases() -> list[M.CaseConfig]:
-    """Cases in order of priority."""
-    return [
-        M.CaseConfig("one_to_one", 0.30, {"base": 0.5, "iou": 0.3, "centroid": 0.2}, max_per_prev=1, max_per_curr=1),
-        M.CaseConfig("containment", 0.20, {"base": 0.4, "overlap_prev": 0.3, "overlap_curr": 0.3}, max_per_prev=2, max_per_curr=2, allow_multiple=True),
-        M.CaseConfig("nearby", 0.20, {"base": 0.6, "centroid": 0.4}, max_per_prev=1, max_per_curr=1),
-    ]
-
-
 @dataclass(frozen=True)
 class TrackingConfig:
-    """The defaults of a tracking run."""
+    """The defaults of a tracking run, whose flights are aligned; M.ultra_relaxed_cases() are for others."""
 
     base_max_dist: float = 30.0
     overlap_gate: float = 0.10
@@ -39,7 +30,7 @@ class TrackingConfig:
     min_partial_len: int = 5
     min_ratio: float = 0.9
     consensus: str = "intersection"
-    cases: list[M.CaseConfig] = field(default_factory=default_cases)
+    cases: list[M.CaseConfig] = field(default_factory=M.strict_aligned_cases)
 
 
 def aligned(crowns: DataFrame, config: TrackingConfig) -> tuple[DataFrame, DataFrame]:

@@ -74,6 +74,25 @@ def test_greedy_one_to_one_equals_the_sequence(spark):
     assert {(x["l"], x["r"]) for x in got.collect()} == want
 
 
+def test_case_presets_apply_their_own_weights(spark):
+    names = "case spatial_similarity area_similarity shape_similarity iou base_similarity overlap_prev overlap_curr balanced_area_ratio distance mean_radius".split()
+    rows = [(case, 0.9, 0.8, 0.7, iou, 0.5, 0.6, 0.7, 0.8, 3.0, 4.0) for case in ("one_to_one", "containment", "nearby") for iou in (0.05, 0.4)]
+    d = spark.createDataFrame(rows, names)
+
+    def scores(cases):
+        return {(r["case"], r["iou"]): (round(r["base_similarity"], 9), round(r["score"], 9)) for r in M.scored_candidates(d, cases).collect()}
+
+    relaxed, strict = scores(M.ultra_relaxed_cases()), scores(M.strict_aligned_cases())
+    assert len(relaxed) == 6 and sorted(strict) == [("containment", 0.4), ("nearby", 0.4), ("one_to_one", 0.4)]
+    base = 0.35 * 0.4 + 0.45 * 0.9 + 0.15 * 0.8 + 0.05 * 0.7
+    assert strict["nearby", 0.4] == (pytest.approx(base), pytest.approx(0.6 * base + 0.4 * 0.75))
+    base = 0.5 * 0.9 + 0.15 * 0.8 + 0.05 * 0.7 + 0.3 * 0.05
+    assert relaxed["one_to_one", 0.05] == (pytest.approx(base), pytest.approx(0.6 * base + 0.1 * 0.05 + 0.05 * 0.6 + 0.05 * 0.7 + 0.2 * 0.75))
+    several = spark.createDataFrame([(1, 2, 5, b, "one_to_one", 0, 0.9 - b / 10) for b in range(4)], "om_id int, om_id_b int, prev int, curr int, case string, priority int, score double")
+    assert M.greedy_select(several, M.ultra_relaxed_cases(), ["om_id", "om_id_b"], "prev", "curr").count() == 3
+    assert M.greedy_select(several, M.strict_aligned_cases(), ["om_id", "om_id_b"], "prev", "curr").count() == 2
+
+
 def test_greedy_one_to_one_of_a_long_tied_chain(spark):
     n = 104
     pairs = [(i, j, 0.5) for i in range(n) for j in (i, i + 1)] + [(0, 0, 0.5)]

@@ -1,24 +1,29 @@
 """Byte-level BPE encoding and decoding by a given rank file.
 
-Encoding splits a text by the tokenizer's pattern and merges each piece's bytes by rank.
-The table of pieces is built in Spark: all pieces of all texts are counted, and the most frequent ones
-(a bound on their number, a parameter) are merged by higher-order functions that fold ranked merges over
-arrays of byte strings; ranks come from one literal map, hashed into buckets so that a lookup does not
-scan the vocabulary. Texts are then encoded by lookup in that table, which is broadcast (its size is
-bounded). A piece that is not in the table, or has more bytes than the fold takes, is merged where it
-occurs, by the same rule; so no text depends on the table for its result, and nothing is cut.
-Decoding concatenates the byte strings of the ids.
+Encoding splits a text by the tokenizer's pattern and folds ranked merges over the bytes of each distinct
+piece: a Spark higher-order function keeps the parts of a piece and the ranks of its adjacent pairs, joins the
+pair of least rank (leftmost first) and looks up the two ranks that have changed. Ranks come from one literal:
+an array of small maps, addressed by a checksum, so that a lookup does not scan the vocabulary.
+
+All pieces take that one path; only its place differs. Frequent pieces of the whole corpus are folded once and
+their ids are broadcast (a bound on their number and length, both parameters); each text's other distinct pieces
+are folded in the text's own row, so nothing but the counts is shuffled and no text is moved. A piece of more
+than `fold_bytes` bytes, for which the fold's copying would grow with the square of its length, is merged by a heap.
+
+Decoding looks each id's bytes up in a literal and concatenates them (as hexadecimal digits, in linear time).
 
 Defined results: null and empty text give no ids and decode to the empty string; special tokens are
-ordinary text; repeated rows are encoded alike; an unknown id makes decoding raise; an empty table
-gives no rows; further columns are ignored.
+ordinary text; repeated rows are encoded alike; an unknown or null id makes decoding raise, null ids decode to
+null; an empty table gives no rows; further columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
+import json
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -27,9 +32,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopyflow.llm import textnp as T
 from canopyflow.session import materialise, shared_dir
 
-RANK_BUCKETS = 1 << 12
+RANK_BUCKETS = 1 << 14
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -72,47 +78,59 @@ def merge(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
 def rank_literal(ranks: dict[bytes, int]) -> Column:
     """The vocabulary as one constant: an array of RANK_BUCKETS small maps from hexadecimal byte string to rank.
 
-    The parts are constant expressions, which the optimizer evaluates once for a query.
+    The optimizer parses the string once for a query and keeps the result as a literal.
     """
-    import zlib
-
-    buckets: list[list[tuple[str, int]]] = [[] for _ in range(RANK_BUCKETS)]
+    buckets: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
     for p, r in ranks.items():
-        buckets[zlib.crc32(p) % RANK_BUCKETS].append((p.hex().upper(), r))
-    maps = [f"map_from_arrays(split('{' '.join(p for p, _ in b)}', ' '), cast(split('{' '.join(str(r) for _, r in b)}', ' ') as array<int>))" if b else "cast(map() as map<string, int>)" for b in buckets]
-    return F.expr(f"array({', '.join(maps)})")
+        key = p.hex().upper()
+        buckets[zlib.crc32(key.encode()) % RANK_BUCKETS][key] = r
+    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold_merges(piece: Column, ranks: Column) -> Column:
-    """array<int> of ids of a binary column, by higher-order functions. ranks: rank_literal()."""
+def fold_merges(piece: Column, table: Column) -> Column:
+    """array<int> of ids of a binary column, by higher-order functions. table: a column of rank_literal()."""
+    rank = lambda h: F.try_element_at(F.get(table, F.pmod(F.crc32(h.cast("binary")), F.lit(RANK_BUCKETS)).cast("int")), h)
+    none = F.array().cast("array<int>")
 
-    def let(value: Column, body) -> Column:
-        return F.element_at(F.transform(F.array(value), body), 1)
+    def step(state: Column, _: Column) -> Column:
+        parts, pairs = state["parts"], state["pairs"]
 
-    def encode(table: Column) -> Column:
-        rank = lambda p: F.try_element_at(F.get(table, F.pmod(F.crc32(p), F.lit(RANK_BUCKETS)).cast("int")), F.hex(p))
+        def join(at: Column) -> Column:  # at: place of the pair of least rank, from 1
+            left, right = F.get(parts, at - 2), F.get(parts, at + 1)
 
-        def step(state: Column, _: Column) -> Column:
-            parts = state["parts"]
-            n = F.size(parts)
-            pairs = F.transform(F.sequence(F.lit(0), n - 2), lambda i: rank(F.concat(F.get(parts, i), F.get(parts, i + 1))))
+            def put(new: Column) -> Column:
+                return F.struct(
+                    F.concat(F.slice(parts, 1, at - 1), F.array(new), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
+                    F.concat(
+                        F.slice(pairs, 1, F.greatest(at - 2, F.lit(0))),
+                        F.when(at > 1, F.array(rank(F.concat(left, new)))).otherwise(none),
+                        F.when(at < F.size(pairs), F.array(rank(F.concat(new, right)))).otherwise(none),
+                        F.slice(pairs, at + 2, F.size(pairs)),
+                    ).alias("pairs"),
+                )
 
-            def join(found: Column) -> Column:
-                at = F.array_position(found, F.array_min(found)).cast("int")
-                joined = F.concat(F.slice(parts, 1, at - 1), F.array(F.concat(F.get(parts, at - 1), F.get(parts, at))), F.slice(parts, at + 2, n))
-                return F.when(F.array_min(found).isNull(), F.struct(parts.alias("parts"), F.lit(True).alias("done"))).otherwise(F.struct(joined.alias("parts"), F.lit(False).alias("done")))
+            return _let(F.concat(F.get(parts, at - 1), F.get(parts, at)), put)
 
-            return F.when(state["done"] | (n < 2), state).otherwise(let(pairs, join))
+        least = F.array_min(pairs)
+        return F.when(least.isNull(), state).otherwise(_let(F.array_position(pairs, least).cast("int"), join))
 
-        size = F.octet_length(piece)
-        single = F.transform(F.sequence(F.lit(1), size), lambda i: F.substring(piece, i, 1))
-        folded = F.aggregate(F.sequence(F.lit(1), size), F.struct(single.alias("parts"), F.lit(False).alias("done")), step, lambda s: F.transform(s["parts"], rank))
-        return F.when(rank(piece).isNotNull(), F.array(rank(piece))).when(size == 0, F.array().cast("array<int>")).otherwise(folded)
+    size = F.octet_length(piece)
+    single = F.transform(F.sequence(F.lit(1), size), lambda i: F.hex(F.substring(piece, i, 1)))
 
-    return let(ranks, encode)
+    def fold(parts: Column) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.concat(F.get(parts, i - 1), F.get(parts, i))))
+        return F.aggregate(F.sequence(F.lit(2), size), F.struct(parts.alias("parts"), pairs.alias("pairs")), step, lambda s: F.transform(s["parts"], rank))
 
+    whole = lambda r: F.when(r.isNotNull(), F.array(r)).when(size < 2, none).otherwise(_let(single, fold))
+    return F.when(size == 0, none).otherwise(_let(rank(F.hex(piece)), whole))
 
-def pieces(docs: DataFrame, pattern: str, text: str = "text", kept: int = 1 << 16) -> DataFrame:
+
+def pieces(docs: DataFrame, pattern: str, text: str = "text", kept: int = 1 << 18) -> DataFrame:
     """(piece string, n long): every piece of all texts with its number of occurrences.
 
     Each task sums its own pieces up; it passes on what it holds when that exceeds `kept` pieces.
@@ -132,7 +150,7 @@ def pieces(docs: DataFrame, pattern: str, text: str = "text", kept: int = 1 << 1
                 t = t.as_py()
                 if t:
                     seen.update(find(t))
-                    if len(seen) > 4 * kept:
+                    if len(seen) > kept:
                         yield out()
                         seen.clear()
         yield out()
@@ -140,107 +158,160 @@ def pieces(docs: DataFrame, pattern: str, text: str = "text", kept: int = 1 << 1
     return docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-class Encoder(dict):
-    """piece -> ids as little-endian unsigned 32-bit integers; a piece that is missing is merged in place.
-
-    Up to `room` pieces that were missing are remembered.
-    """
+class Splitter(dict):
+    """piece -> its ids as little-endian 32-bit integers. A piece without ids gets a negative number, as a reference
+    to its place in `words` (-1 is the first), until forget()."""
 
-    def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int], room: int = 200_000):
+    def __init__(self, known: dict[str, bytes], ranks: dict[bytes, int], fold_bytes: int):
         super().__init__(known)
-        self.ranks, self.left = ranks, room
+        self.words: list[bytes] = []
+        self.ranks, self.fold_bytes, self.new = ranks, fold_bytes, []
 
     def __missing__(self, piece: str) -> bytes:
-        ids = np.array(merge(piece.encode("utf-8", "surrogatepass"), self.ranks), dtype="<u4").tobytes()
-        if self.left > 0 and len(piece) < 256:
-            self.left -= 1
-            self[piece] = ids
-        return ids
-
+        raw = piece.encode("utf-8")
+        if len(raw) > self.fold_bytes:
+            return np.array(merge(raw, self.ranks), dtype="<i4").tobytes()
+        self.words.append(raw)
+        self.new.append(piece)
+        self[piece] = made = np.array([-len(self.words)], dtype="<i4").tobytes()
+        return made
 
-class Codec:
-    """A vocabulary with its table of frequent pieces, broadcast to the workers."""
-
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str, known: dict[str, bytes] | None = None):
-        self.pattern = pattern
-        self.held = spark.sparkContext.broadcast((ranks, known or {}))
-
-    def tools(self):
-        """encode(text) -> bytes of ids, decode(bytes of ids) -> bytes; made once in a worker process."""
-        import regex
-
-        ranks, known = self.held.value
-        find, encoder = regex.compile(self.pattern).findall, Encoder(known, ranks)
-        byte_strings = [b""] * (max(ranks.values(), default=-1) + 1)
-        for p, r in ranks.items():
-            byte_strings[r] = p
+    def forget(self) -> list[bytes]:
+        """The words that were missing since the last call."""
+        words, self.words = self.words, []
+        for p in self.new:
+            del self[p]
+        self.new.clear()
+        return words
 
-        def encode(text: str | None) -> bytes:
-            return b"".join(map(encoder.__getitem__, find(text))) if text else b""
-
-        def decode(ids: bytes) -> bytes:
-            return b"".join(map(byte_strings.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
-
-        return encode, decode
-
-    def encode(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-        """The keep columns with ids array<int>."""
-        codec = self
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encode, _ = codec.tools()
-            for batch in batches:
-                made = [encode(t.as_py()) for t in batch.column(batch.num_columns - 1)]
-                off = np.concatenate([[0], np.cumsum([len(m) // 4 for m in made])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(pa.array(off), pa.array(np.frombuffer(b"".join(made), dtype="<i4")))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], ids], names=[*batch.schema.names[:-1], "ids"])
+#: The last codec's tools in this worker process, by the codec's name.
+_splitters: dict[str, tuple] = {}
 
-        return _mapped(docs, text, keep, run, "ids array<int>")
 
-    def decode(self, encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-        """The keep columns with bytes binary; null ids give null."""
+class Codec:
+    """A vocabulary with the ids of frequent pieces, broadcast to the workers as one Arrow table."""
+
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str, known: pa.Table | None = None, fold_bytes: int = 1024):
+        self.ranks, self.pattern, self.fold_bytes = ranks, pattern, fold_bytes
+        self.name, self.literal = uuid.uuid4().hex, rank_literal(ranks)
+        known = known if known is not None else pa.table({"piece": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, known.schema) as out:
+            out.write_table(known)
+        self.held = spark.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks))
+
+    def __getstate__(self) -> dict:  # what the workers need
+        return {"name": self.name, "held": self.held, "pattern": self.pattern, "fold_bytes": self.fold_bytes}
+
+    def _tools(self) -> tuple:
+        """(find, Splitter), made once in a worker process."""
+        if self.name not in _splitters:
+            import regex
+
+            stream, ranks = self.held.value
+            table = pa.ipc.open_stream(stream).read_all().combine_chunks()
+            words = table.column("piece").to_pylist()
+            known: dict[str, bytes] = {}
+            if words:
+                lists = table.column("ids").chunk(0)
+                flat, off = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), lists.offsets.to_numpy() * 4
+                known = {w: flat[a:b] for w, a, b in zip(words, off[:-1].tolist(), off[1:].tolist())}
+            _splitters.clear()
+            _splitters[self.name] = (regex.compile(self.pattern).findall, Splitter(known, ranks, self.fold_bytes))
+        return _splitters[self.name]
+
+    def _split(self, docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+        """The keep columns with runs array<array<int>> (runs of ids, or one negative reference) and words array<binary>."""
         codec = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            _, decode = codec.tools()
+            find, splitter = codec._tools()
             for batch in batches:
-                made = [None if x.as_py() is None else decode(np.array(x.as_py(), dtype="<u4").tobytes()) for x in batch.column(batch.num_columns - 1)]
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(made, pa.binary())], names=[*batch.schema.names[:-1], "bytes"])
+                texts = batch.column(batch.num_columns - 1)
+                _, offsets = T.buffers(texts)
+                for i, j in T.slices(offsets):
+                    flat, cuts, first, words, word_first = [], [np.zeros(1, np.int64)], [0], [], [0]
+                    at = runs = 0
+                    for t in texts.slice(i, j - i):
+                        t = t.as_py()
+                        if t:
+                            codes = np.frombuffer(b"".join(map(splitter.__getitem__, find(t))), dtype="<i4")
+                            gap = np.flatnonzero(codes < 0)
+                            edges = np.unique(np.concatenate([gap, gap + 1, [len(codes)]]))
+                            edges = edges[edges > 0]
+                            flat.append(codes)
+                            cuts.append(edges + at)
+                            at, runs = at + len(codes), runs + len(edges)
+                            words += splitter.forget()
+                        first.append(runs)
+                        word_first.append(len(words))
+                    values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
+                    inner = pa.ListArray.from_arrays(pa.array(np.concatenate(cuts), pa.int32()), values)
+                    made = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), inner), pa.ListArray.from_arrays(pa.array(word_first, pa.int32()), pa.array(words, pa.binary()))]
+                    yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), *made], names=[*batch.schema.names[:-1], "__runs", "__words"])
+
+        rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__in"))
+        kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
+        return rows.mapInArrow(run, ", ".join([*kinds, "__runs array<array<int>>", "__words array<binary>"]))
 
-        return _mapped(encoded, ids, keep, run, "bytes binary", "array<int>")
+    def encode(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """The keep columns with ids array<int>."""
+        words = _let(self.literal, lambda table: F.transform("__words", lambda w: fold_merges(w, table)))
 
-    def digests(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-        """The keep columns with n_tokens, ids_sha256 and decoded_sha256: a round trip without moving the ids."""
-        codec = self
+        def joined(folded: Column) -> Column:
+            return F.flatten(F.transform("__runs", lambda r: F.when(F.get(r, F.lit(0)) < 0, F.get(folded, -F.get(r, F.lit(0)) - 1)).otherwise(r)))
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            encode, decode = codec.tools()
-            for batch in batches:
-                n, a, b = [], [], []
-                for t in batch.column(batch.num_columns - 1):
-                    ids = encode(t.as_py())
-                    n.append(len(ids) // 4)
-                    a.append(hashlib.sha256(ids).hexdigest())
-                    b.append(hashlib.sha256(decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=[*batch.schema.names[:-1], "n_tokens", "ids_sha256", "decoded_sha256"])
+        return self._split(docs, text, keep).select(*[F.col(f"`{c}`") for c in keep], _let(words, joined).alias("ids"))
 
-        return _mapped(docs, text, keep, run, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    def _digits(self, ids: Column, digits: list[str]) -> Column:
+        """binary: the hexadecimal digits of each id, one after another."""
+        table = F.split(F.lit(" ".join(digits)), " ")
+        digit = lambda t, i: F.coalesce(F.nullif(F.get(t, i), F.lit("?")), F.raise_error(F.lit("an id is not in the vocabulary")))
+        return _let(table, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: digit(t, i)), "")))
 
+    def bytes_of(self, ids: Column) -> Column:
+        """binary: the bytes that array<int> ids stand for."""
+        digits = ["?"] * (max(self.ranks.values(), default=0) + 1)
+        for p, r in self.ranks.items():
+            digits[r] = p.hex()
+        return self._digits(ids, digits)
 
-def _mapped(docs: DataFrame, source: str, keep: tuple[str, ...], run, made: str, kind: str = "string") -> DataFrame:
-    rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{source}`").cast(kind).alias("__in"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, made]))
+    def words_of(self, ids: Column) -> Column:
+        """binary: array<int> ids as little-endian unsigned 32-bit integers."""
+        return self._digits(ids, [r.to_bytes(4, "little").hex() for r in range(max(self.ranks.values(), default=0) + 1)])
 
+    def decode(self, encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """The keep columns with bytes binary; null ids give null."""
+        return encoded.select(*[F.col(f"`{c}`") for c in keep], self.bytes_of(F.col(f"`{ids}`").cast("array<int>")).alias("bytes"))
 
-def train_free_codec(docs: DataFrame, ranks_path: str, pattern: str, table_pieces: int = 100_000, fold_bytes: int = 32, text: str = "text", path: str | None = None) -> Codec:
-    """A codec whose table holds the table_pieces most frequent pieces of docs with at most fold_bytes bytes."""
+    def digests(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """The keep columns with n_tokens, ids_sha256 and decoded_sha256: a round trip without moving the ids."""
+        own = [F.col(f"`{c}`") for c in keep]
+        encoded = self.encode(docs, text, keep)
+        return encoded.select(*own, F.size("ids").cast("long").alias("n_tokens"), F.sha2(self.words_of(F.col("ids")), 256).alias("ids_sha256"), F.sha2(self.bytes_of(F.col("ids")), 256).alias("decoded_sha256"))
+
+
+def frequent(counted: DataFrame, most: int) -> DataFrame:
+    """(piece): the pieces whose class of frequency (16 to a doubling) holds, with all higher ones, at most `most` pieces."""
+    level = F.floor(F.log2("n") * 16).cast("int")
+    classes = sorted(counted.groupBy(level.alias("level")).agg(F.count("*").alias("pieces")).collect(), reverse=True)
+    least, room = None, most
+    for c in classes:
+        room -= c["pieces"]
+        if room < 0:
+            break
+        least = c["level"]
+    return counted.where(level >= F.lit(least) if least is not None else F.lit(False)).select("piece")
+
+
+def train_free_codec(docs: DataFrame, ranks_path: str, pattern: str, cached_pieces: int = 250_000, cached_bytes: int = 64, fold_bytes: int = 1024, text: str = "text", path: str | None = None) -> Codec:
+    """A codec whose broadcast holds the ids of up to cached_pieces frequent pieces of docs, each of up to cached_bytes bytes."""
     spark = docs.sparkSession
-    ranks = load_ranks(ranks_path)
-    base = path or shared_dir(spark)
-    top = pieces(docs, pattern, text).where(F.octet_length("piece") <= fold_bytes).orderBy(F.desc("n"), "piece").limit(table_pieces).select("piece")
-    top = materialise(top, f"{base}/pieces").repartition(spark.sparkContext.defaultParallelism * 2)
-    folded = top.select("piece", fold_merges(F.col("piece").cast("binary"), rank_literal(ranks)).alias("ids"))
-    table = folded.toPandas()
-    known = {p: np.asarray(ids, dtype="<u4").tobytes() for p, ids in zip(table["piece"], table["ids"])}
-    return Codec(spark, ranks, pattern, known)
+    codec = Codec(spark, load_ranks(ranks_path), pattern, fold_bytes=fold_bytes)
+    counted = pieces(docs, pattern, text).where((F.col("n") > 1) & (F.octet_length("piece") <= cached_bytes))
+    counted = materialise(counted, f"{path or shared_dir(spark)}/pieces")
+    top = frequent(counted, cached_pieces).repartition(2 * spark.sparkContext.defaultParallelism)
+    folded = top.select("piece", _let(codec.literal, lambda table: fold_merges(F.col("piece").cast("binary"), table)).alias("ids"))
+    known = folded.toArrow()
+    return Codec(spark, codec.ranks, pattern, known, fold_bytes)

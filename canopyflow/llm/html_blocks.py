@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 # Element names of HTML, by how they bound text.
@@ -13,20 +14,21 @@ ENDS_P = set("address article aside blockquote center details dialog dir div dl
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
 SCOPES = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 
-_MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    r"|<svg(?=[\s/>])(?>\"[^\"]*\"|'[^']*'|[^\"'>])*+(?<=/)>"
-    r"|<(script|style|template|noscript|iframe|svg|title|object)(?=[\s/>])[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<[!?][^>]*>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?>\"[^\"]*\"|'[^']*'|[^\"'>])*+)>"
-    r"|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
-    re.S | re.I,
-)
+#: Elements whose content is no text of the page.
+RAW = set("script style template noscript iframe svg title object".split())
+
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"""[^"'>]*+(?:"[^"]*+"[^"'>]*+|'[^']*+'[^"'>]*+)*+>""")
+_LONG_REFERENCE = re.compile(r"&#([0-9]{8,}|[xX][0-9a-fA-F]{7,});?")
 _NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=[\s=/]|$)|aria-hidden\s*=\s*"?true|style\s*=\s*"[^"]*display\s*:\s*none)""", re.I)
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 
 
+#: Names of ancestors that a block's features hold at most; those further in are left out.
+MOST_NAMES = 256
+
+
 @dataclass
 class Block:
     """A leaf block: its text with white space folded, and the names of its features."""
@@ -66,80 +68,145 @@ def _text_features(text: str, linked: int) -> list[str]:
     return out
 
 
+def _reference(m: re.Match) -> str:
+    """A numeric reference of many digits: without its leading zeros, or U+FFFD where no code point is so large."""
+    digits = m[1].lstrip("xX").lstrip("0") or "0"
+    return "\ufffd" if len(digits) > 7 else f"&#{'x' if m[1][0] in 'xX' else ''}{digits};"
+
+
+def unescape(raw: str) -> str:
+    """Character references decoded."""
+    return html.unescape(_LONG_REFERENCE.sub(_reference, raw) if "&#" in raw else raw) if "&" in raw else raw
+
+
+def _markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, kind, lower-case name, attributes) of the markup of a page, in linear time.
+
+    kind: "start", "end", "raw" (an element with its content that is no text) or "" (comments, declarations). A "<"
+    that begins no markup, or after which no ">" follows, is text. A ">" in a quoted attribute does not end a tag; when
+    a quote is left open up to the end of the page, quotes no longer count.
+    """
+    n, at, quotes = len(page), 0, True
+    last = page.rfind(">")
+    while (i := page.find("<", at)) >= 0:
+        at = i + 1
+        if page.startswith("<!--", i):
+            end = page.find("-->", i + 4)
+            at = end + 3 if end >= 0 else n
+            yield i, at, "", "", ""
+            continue
+        if i > last:
+            return
+        if page.startswith(("<!", "<?"), i):
+            at = page.index(">", i) + 1
+            yield i, at, "", "", ""
+            continue
+        m = _NAME.match(page, i)
+        if not m:
+            continue
+        rest = _REST.match(page, m.end()) if quotes else None
+        if rest:
+            at = rest.end()
+        else:
+            quotes = False
+            at = page.find(">", m.end()) + 1
+            if not at:
+                return
+        name, attributes = m[2].lower(), page[m.end() : at - 1]
+        if m[1]:
+            yield i, at, "end", name, attributes
+        elif name in RAW and not (name == "svg" and attributes.endswith("/")):
+            close = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = close.end() if close else n
+            yield i, at, "raw", name, attributes
+        else:
+            yield i, at, "" if name in RAW else "start", name, attributes
+
+
+class _Stack:
+    """Open elements with their features, and where each name is open, so that closing needs no search."""
+
+    def __init__(self):
+        self.names: list[str] = [""]
+        self.known: list[frozenset[str]] = [frozenset()]
+        self.places: dict[str, list[int]] = {}
+
+    def push(self, tag: str, features: tuple[str, ...]) -> None:
+        known = self.known[-1]
+        if len(known) < MOST_NAMES and not known.issuperset(features):
+            known = known | frozenset(features[: MOST_NAMES - len(known)])
+        self.places.setdefault(tag, []).append(len(self.names))
+        self.names.append(tag)
+        self.known.append(known)
+
+    def close(self, names: set[str], scope: set[str] = frozenset()) -> None:
+        """Closes up to the innermost open element of names, unless one of scope lies further in."""
+        inner = lambda of: max((p[-1] for t in of if (p := self.places.get(t))), default=0)
+        k = inner(names)
+        if k and k > inner(scope - names):
+            for tag in self.names[k:]:
+                self.places[tag].pop()
+            del self.names[k:], self.known[k:]
+
+
 def blocks(page: str | None) -> list[Block]:
     """Leaf blocks in page order. Null or empty: none. Text of scripts, styles, titles and the like is no block.
 
     Unclosed and misnested elements are handled as browsers do in the common cases: a block element ends an
     open paragraph, list items, cells and options end their like, an end tag closes up to its start tag. A start
-    tag of svg that ends in /> is closed; custom elements such as title-bar are elements like any other.
+    tag of svg that ends in /> is closed; custom elements such as title-bar are elements like any other. The time
+    grows with the page's length, whatever it holds.
     """
     out: list[Block] = []
     if not page:
         return out
-    stack: list[tuple[str, frozenset[str]]] = [("", frozenset())]
+    stack = _Stack()
     text: list[str] = []
-    linked, in_link, i = 0, 0, 0
+    linked, in_link, at = 0, 0, 0
 
     def end_block() -> None:
         nonlocal linked
         if text:
             clean = " ".join("".join(text).split())
             if clean:
-                tag, known = stack[-1]
-                out.append(Block(clean, [*known, f"leaf:{tag}", *_text_features(clean, linked)]))
+                out.append(Block(clean, [*stack.known[-1], f"leaf:{stack.names[-1]}", *_text_features(clean, linked)]))
             text.clear()
         linked = 0
 
     def add(raw: str) -> None:
         nonlocal linked
         if raw:
-            raw = html.unescape(raw) if "&" in raw else raw
+            raw = unescape(raw)
             text.append(raw)
             if in_link:
                 linked += len(raw.strip())
 
-    def close(names: set[str], scope: set[str] = frozenset()) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k][0] in names:
-                del stack[k:]
-                return
-            if stack[k][0] in scope:
-                return
-
-    for m in _MARKUP.finditer(page):
-        add(page[i : m.start()])
-        i = m.end()
-        if m[1]:
-            if m[1].lower() != "svg":
+    for start, end, kind, tag, attributes in _markup(page):
+        add(page[at:start])
+        at = end
+        if kind == "raw":
+            if tag != "svg":
                 end_block()
-            continue
-        name = m[3] or m[6]
-        if not name:
-            continue
-        closing, attributes, tag = m[2] or m[5], m[4] or m[7] or "", name.lower()
-        if tag in INLINE:
+        elif kind == "" or tag in ("wbr", "img"):
+            pass
+        elif tag in INLINE:
             if tag == "a":
-                in_link = 0 if closing else 1
-            continue
-        if tag == "wbr":
-            continue
-        if tag == "br":
+                in_link = 1 if kind == "start" else 0
+        elif tag == "br":
             text.append(" ")
-            continue
-        if tag == "img":
-            continue
-        end_block()
-        in_link = 0
-        if closing:
-            close({tag})
-            continue
-        if tag in ENDS_P:
-            close({"p"}, {"td", "th", "li", "div", "section", "article", "body", "blockquote", "form"})
-        if tag in SIBLINGS:
-            close(SIBLINGS[tag], SCOPES.get(tag, {"body"}))
-        if tag not in VOID and not attributes.rstrip().endswith("/"):
-            stack.append((tag, stack[-1][1] | frozenset(_element_features(tag, attributes))))
-    add(page[i:])
+        else:
+            end_block()
+            in_link = 0
+            if kind == "end":
+                stack.close({tag})
+                continue
+            if tag in ENDS_P:
+                stack.close({"p"}, {"td", "th", "li", "div", "section", "article", "body", "blockquote", "form"})
+            if tag in SIBLINGS:
+                stack.close(SIBLINGS[tag], SCOPES.get(tag, {"body"}))
+            if tag not in VOID and not attributes.rstrip().endswith("/"):
+                stack.push(tag, _element_features(tag, attributes))
+    add(page[at:])
     end_block()
     n = len(out)
     for k, b in enumerate(out):

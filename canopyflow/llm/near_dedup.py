@@ -6,12 +6,12 @@
 2. Documents that share a band key are candidates. In every bucket each member is paired with the
    bucket's hubs (its most central members, the same few in all buckets of a group), so a bucket of n members gives about hubs * n pairs and never n * n.
 3. The XOR population count of two odd sketches estimates the similarity; pairs clearly below the
-   threshold are dropped, the others wait as candidate links.
-4. Links are confirmed on full sets, the likeliest first, and only between documents that confirmed
-   links do not connect already: one candidate of each component, then four.
+   threshold are dropped, the others are candidate links.
+4. Candidates are confirmed on full sets, the likeliest first, and only between documents that confirmed
+   links do not connect already: the likeliest of each component, then its likeliest five.
 5. In buckets that still hold several components, members outside the bucket's largest component meet all
-   members in blocks; the likeliest eight of each are confirmed as in 4, and then, for what is still apart,
-   every candidate is confirmed in the block where it is met.
+   members: first the likeliest eight of each are confirmed as in 4; then, for what is still apart, every candidate is
+   confirmed where it is met, in the first bucket that the pair shares, and only links leave the worker.
 
 With the default 48 bands of 6 rows a pair at similarity 0.8 shares no band with probability 5e-7, and
 the sketch test drops it with probability under 1e-6 (five standard deviations).
@@ -27,7 +27,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,8 +34,8 @@ from pyspark.sql import types as S
 from pyspark.sql import Window as W
 
 from canopyflow.llm import textnp as T
-from canopyflow.llm.components import components
-from canopyflow.session import materialise, release_shuffles, shared_dir
+from canopyflow.operators.components import components
+from canopyflow.session import materialise, shared_dir
 
 SKETCH_WORDS = 8
 _SKETCH_BITS = 64 * SKETCH_WORDS
@@ -144,26 +143,58 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(x) + len(y) - common)
 
 
+def _spread_join(rows: DataFrame, table: DataFrame, on: list[str], weight: str, least: int) -> DataFrame:
+    """rows join table, inner, where table has one row for each key and `weight` is the number of rows with it.
+
+    Keys of more than `least` rows are joined by broadcast; with `least` a thousandth of all rows there are at most 1,000.
+    """
+    own, more = rows.columns, [c for c in table.columns if c not in on]
+    hot = table.where(F.col(weight) > least).withColumn("__hot", F.lit(True))
+    met = rows.join(F.broadcast(hot), on, "left")
+    cold = met.where("__hot is null").select(*own).join(table.where(F.col(weight) <= least), on).select(*own, *more)
+    return met.where("__hot").select(*own, *more).unionByName(cold)
+
+
+class _Sets:
+    """Sorted uint64 sets in a binary Arrow column."""
+
+    def __init__(self, column: pa.ChunkedArray | pa.Array):
+        self.data, self.at = T.buffers(column)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.data[self.at[i] : self.at[i + 1]].view(np.uint64)
+
+
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
-    Pairs of one a go to the workers in blocks of hashed b, so a hub with many partners is spread.
+    The set of a comes before the sets of its partners, once for each block of about 64 of them, so a
+    hub with many partners is spread. A worker holds one hub's set and one batch.
     """
-    block = F.pmod(F.xxhash64("b"), F.greatest(F.lit(1), (F.count("*").over(W.partitionBy("a")) / 64).cast("int")))
-    blocked = pairs.select("a", "b", block.alias("block"))
-    left = blocked.select("a", "block").distinct().join(sets.select(F.col("sid").alias("a"), F.col("members").alias("ma")), "a").select(F.col("a").alias("hub"), F.col("block").alias("part"), "ma")
-    right = blocked.join(sets.select(F.col("sid").alias("b"), F.col("members").alias("mb")), "b")
+    wide = pairs.groupBy("a").agg(F.count("*").alias("n")).where("n > 64").select("a", F.ceil(F.col("n") / 64).cast("int").alias("wide"))
+    blocked = pairs.select("a", "b").join(wide, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("wide", F.lit(1))).cast("int").alias("block"))
+    left = blocked.select("a", "block").distinct().join(sets.withColumnRenamed("sid", "a"), "a").select("a", "block", F.lit(None).cast("long").alias("b"), "members")
+    right = blocked.join(sets.withColumnRenamed("sid", "b"), "b").select("a", "block", "b", "members")
+
+    def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hub = np.zeros(0, np.uint64)
+        for batch in batches:
+            a, b, full = batch.column(0).to_pylist(), batch.column(2).to_pylist(), _Sets(batch.column(3))
+            out = []
+            for i, other in enumerate(b):
+                if other is None:
+                    hub = full[i]
+                elif _linked(hub, full[i], percent):
+                    out.append((a[i], other))
+            hub = hub.copy()
+            yield _pair_batch(out)
+
+    return left.union(right).repartition("a", "block").sortWithinPartitions("a", "block", F.col("b").asc_nulls_first()).mapInArrow(test, "a long, b long")
 
-    def test(one: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
-        held = {a: np.frombuffer(m, dtype=np.uint64) for a, m in zip(one["hub"], one["ma"])}
-        keep = []
-        for a, b, m in zip(many["a"], many["b"], many["mb"]):
-            x, y = held[a], np.frombuffer(m, dtype=np.uint64)
-            if _linked(x, y, percent):
-                keep.append((a, b))
-        return pd.DataFrame(keep, columns=["a", "b"]).astype("int64")
 
-    return left.groupBy("hub", "part").cogroup(right.groupBy("a", "block")).applyInPandas(test, "a long, b long")
+def _pair_batch(pairs: list[tuple]) -> pa.RecordBatch:
+    x = np.array(pairs, dtype=np.int64).reshape(-1, 2)
+    return pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], names=["a", "b"])
 
 
 def _labelled(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
@@ -174,22 +205,52 @@ def _labelled(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
     return pairs.join(la, "a", "left").join(lb, "b", "left").withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")})
 
 
-def _untested(pairs: DataFrame, tested: list[DataFrame]) -> DataFrame:
-    for done in tested:
-        pairs = pairs.join(done, ["a", "b"], "left_anti")
-    return pairs
+class _Rows:
+    """Members of buckets as arrays: key, sid, component, whether outside the main component, sketch; bands and sets if there."""
+
+    def __init__(self, table: pa.Table, start: int = 0, stop: int | None = None):
+        t = table.slice(start, None if stop is None else stop - start).combine_chunks()
+        number = lambda c: t.column(c).to_numpy()
+        lists = lambda c: pa.concat_arrays(t.column(c).chunks).flatten().to_numpy().reshape(t.num_rows, -1) if t.num_rows else np.zeros((0, 1), np.int64)
+        self.key, self.sid, self.c, self.minor = number("key"), number("sid"), number("c"), number("minor")
+        self.sketch = lists("sketch").view(np.uint64)
+        if "bands" in t.column_names:
+            self.bands, self.sets = lists("bands"), _Sets(t.column("members"))
 
 
-def _residual(members: DataFrame, label: DataFrame | None, sketches: DataFrame, most_bits: int, top: int, small: int = 32, block: int = 2048, exact: tuple[DataFrame, DataFrame, int] | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """Candidate pairs (a, b, bits) between different components of one bucket, over all buckets, and links.
+def _meet(x: _Rows, y: _Rows, i: np.ndarray, j: np.ndarray, most_bits: int, top: int, percent: int) -> np.ndarray:
+    """Pairs (a, b, bits) among rows x[i] and y[j] of one bucket each and of different components.
 
-    Only members outside the bucket's largest component meet the bucket's members. Buckets of up to `small`
-    members are joined; in larger ones blocks of about `block` rows a side meet in numpy, and what one worker
-    holds is one pair of blocks. There each outside member gives its `top` likeliest candidates of a block; or,
-    with exact (full sets, bands, percent), every candidate is confirmed where it is met, in the first bucket
-    that the pair shares, and only links (a, b) leave the worker.
+    top: only the likeliest of each x[i]. Without it, the pairs that are linked by their full sets, each in the first
+    bucket that it shares.
+    """
+    bits = np.bitwise_count(x.sketch[i] ^ y.sketch[j]).sum(1).astype(np.int64)
+    ok = (bits <= most_bits) & (x.c[i] != y.c[j]) & (~y.minor[j] | (x.sid[i] < y.sid[j]) | (top > 0))
+    i, j, bits = i[ok], j[ok], bits[ok]
+    if top:
+        order = np.lexsort((y.sid[j], bits, i))
+        i, j, bits = i[order], j[order], bits[order]
+        begins = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
+        rank = np.arange(len(i)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(i)]])))
+        keep = rank < top
+    elif len(i):
+        first = (x.bands[i] == y.bands[j]).argmax(1)
+        keep = x.bands[i, first] == x.key[i]
+        keep[keep] = [_linked(x.sets[p], y.sets[q], percent) for p, q in zip(i[keep], j[keep])]
+    else:
+        keep = ok[:0]
+    i, j = x.sid[i[keep]], y.sid[j[keep]]
+    return np.stack([np.minimum(i, j), np.maximum(i, j), bits[keep]], 1)
+
+
+def _residual(members: DataFrame, label: DataFrame | None, reps: DataFrame, most_bits: int, top: int, percent: int, sets: DataFrame | None = None, block: int = 512) -> DataFrame:
+    """Candidate pairs (a, b, bits) between different components of one bucket, over all buckets.
+
+    Members outside a bucket's largest component meet the bucket's members. Buckets of up to `block` members
+    pass through a worker sorted by key; of larger ones, blocks of about `block` rows a side meet in one
+    group. With top, each outside member gives its likeliest candidates of a block; with sets, every candidate is
+    confirmed where it is met, and only links leave the worker.
     """
-    block = 512 if exact else block
     if label is None:
         at = members.select("key", "sid", F.col("sid").alias("c"))
     else:
@@ -199,52 +260,59 @@ def _residual(members: DataFrame, label: DataFrame | None, sketches: DataFrame,
     buckets = buckets.select(
         "key", "total", F.col("top.c").alias("main"),
         F.ceil(F.col("total") / block).cast("int").alias("wide"), F.ceil((F.col("total") - F.col("top.n")) / block).cast("int").alias("tall"),
-    )
-    rows = at.join(buckets, "key").join(sketches, "sid")
+    )
+    held = reps.select("sid", "sketch") if sets is None else reps.select("sid", "sketch", "bands").join(sets, "sid")
+    rows = at.join(buckets, "key").join(held, "sid").withColumn("minor", F.col("c") != F.col("main"))
+    own = ["key", "sid", "c", "minor", "sketch"] + ([] if sets is None else ["bands", "members"])
     part = lambda n: F.pmod(F.xxhash64("sid"), n).cast("int")
-    few = [F.col("key").alias("of"), F.col("sid").alias("few_sid"), F.col("c").alias("few_c"), F.col("sketch").alias("few_sketch")]
-    low = rows.where(F.col("total") <= small)
-    joined = low.where("c <> main").select(*few).join(low.select("key", "sid", "c", "sketch"), F.col("of") == F.col("key")).where(F.col("few_c") != F.col("c"))
-    joined = joined.withColumn("bits", _xor_bits("few_sketch", "sketch").cast("long")).where(F.col("bits") <= most_bits)
-    high = rows.where(F.col("total") > small)
-    if exact:
-        high = high.join(exact[0], "sid").join(exact[1], "sid")
-        few += [F.col("members").alias("few_members"), F.col("bands").alias("few_bands")]
-    own = ["members", "bands"] if exact else []
-    minor = high.where("c <> main").select(*few, part("tall").alias("y"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("x"))
-    every = high.select("key", "sid", "c", "sketch", *own, part("wide").alias("x"), F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("y"))
-
-    def meet(one: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(one) and len(many):
-            sm, cm, im = np.stack(many["sketch"].to_numpy()).view(np.uint64), many["c"].to_numpy(), many["sid"].to_numpy()
-            for s, c, i in zip(np.stack(one["few_sketch"].to_numpy()).view(np.uint64), one["few_c"].to_numpy(), one["few_sid"].to_numpy()):
-                bits = np.bitwise_count(sm ^ s).sum(1).astype(np.int64)
-                found = np.flatnonzero((bits <= most_bits) & (cm != c))
-                if len(found) > top:
-                    found = found[np.lexsort((im[found], bits[found]))[:top]]
-                out += [(min(i, q), max(i, q), int(n)) for q, n in zip(im[found], bits[found])]
-        return pd.DataFrame(out, columns=["a", "b", "bits"]).astype("int64")
-
-    def link(one: pd.DataFrame, many: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(one) and len(many):
-            key, percent = one["of"].iloc[0], exact_percent
-            sm, cm, im = np.stack(many["sketch"].to_numpy()).view(np.uint64), many["c"].to_numpy(), many["sid"].to_numpy()
-            bm, full = np.stack(many["bands"].to_numpy()), many["members"].to_numpy()
-            for s, c, i, b, m in zip(np.stack(one["few_sketch"].to_numpy()).view(np.uint64), one["few_c"].to_numpy(), one["few_sid"].to_numpy(), one["few_bands"], one["few_members"]):
-                found = np.flatnonzero((np.bitwise_count(sm ^ s).sum(1) <= most_bits) & (cm != c))
-                found = found[(bm[found] == b).argmax(1) == int(np.flatnonzero(b == key)[0])]
-                x = np.frombuffer(m, dtype=np.uint64)
-                out += [(min(i, im[q]), max(i, im[q])) for q in found if _linked(x, np.frombuffer(full[q], dtype=np.uint64), percent)]
-        return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
-
-    exact_percent = exact[2] if exact else 0
-    sides = minor.groupBy("of", "x", "y").cogroup(every.groupBy("key", "x", "y"))
-    pairs = joined.select(F.least("few_sid", "sid").alias("a"), F.greatest("few_sid", "sid").alias("b"), "bits")
-    if exact:
-        return pairs.distinct(), sides.applyInPandas(link, "a long, b long")
-    return pairs.union(sides.applyInPandas(meet, "a long, b long, bits long")).distinct(), None
+    step = 1 << 17
+
+    def out(found: list[np.ndarray]) -> list[pa.Array]:
+        x = np.concatenate(found) if found else np.zeros((0, 3), np.int64)
+        return [pa.array(np.ascontiguousarray(x[:, c])) for c in range(3)]
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def whole(t: pa.Table) -> pa.RecordBatch:
+            x, found = _Rows(t), []
+            begins = np.flatnonzero(np.concatenate([[True], x.key[1:] != x.key[:-1]]))
+            size = np.diff(np.concatenate([begins, [len(x.key)]]))
+            begin, size = np.repeat(begins, size), np.repeat(size, size)
+            left = np.flatnonzero(x.minor)
+            for some in np.array_split(left, int(size[left].sum() // step) + 1):
+                n = size[some]
+                i = np.repeat(some, n)
+                j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[some], n)
+                found.append(_meet(x, x, i, j, most_bits, top, percent))
+            return pa.RecordBatch.from_arrays(out(found), names=["a", "b", "bits"])
+
+        rest: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = t if rest is None else pa.concat_tables([rest, t])
+            last = t.column("key")[-1] if t.num_rows else None
+            cut = int(np.searchsorted(t.column("key").to_numpy(), last.as_py())) if t.num_rows else 0
+            if cut:
+                yield whole(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield whole(rest)
+
+    def large(one: pa.Table, many: pa.Table) -> pa.Table:
+        found = []
+        if one.num_rows and many.num_rows:
+            x, y = _Rows(one.rename_columns([c.removeprefix("few_") for c in one.column_names])), _Rows(many)
+            for some in np.array_split(np.arange(one.num_rows), one.num_rows * many.num_rows // step + 1):
+                found.append(_meet(x, y, np.repeat(some, many.num_rows), np.tile(np.arange(many.num_rows), len(some)), most_bits, top, percent))
+        return pa.Table.from_arrays(out(found), names=["a", "b", "bits"])
+
+    made = "a long, b long, bits long"
+    low = rows.where(F.col("total") <= block).select(*own).repartition("key").sortWithinPartitions("key").mapInArrow(small, made)
+    high = rows.where(F.col("total") > block)
+    few = [F.col(c).alias(f"few_{c}") for c in own]
+    minor = high.where("minor").select(*few, part("tall").alias("few_y"), F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("few_x"))
+    every = high.select(*own, part("wide").alias("x"), F.explode(F.sequence(F.lit(0), F.col("tall") - 1)).alias("y"))
+    met = minor.groupBy("few_key", "few_x", "few_y").cogroup(every.groupBy("key", "x", "y")).applyInArrow(large, made)
+    return low.union(met)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int = 48, rows: int = 6, hubs: int = 2, margin: float = 0.15, path: str | None = None) -> DataFrame:
@@ -258,65 +326,55 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     samples = bands * rows
     most_bits = differing_bits(max(0.0, percent / 100 - margin), samples)
     feats = materialise(features(docs, k, bands, rows), f"{path}/features")
-    one = feats.where("doc_id is not null").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("sid"), F.min_by("sketch", "doc_id").alias("sketch"), F.min_by("bands", "doc_id").alias("bands"))
+    one = feats.where("doc_id is not null").groupBy("s1", "s2", "n").agg(F.count("*").alias("rows"), F.min("doc_id").alias("sid"), F.min_by("sketch", "doc_id").alias("sketch"), F.min_by("bands", "doc_id").alias("bands"))
     reps = materialise(one.where("n > 0"), f"{path}/reps")
     several = reps.groupBy("sid").agg(F.count("*").alias("sets"), F.min(F.struct("s1", "s2")).alias("least")).where("sets > 1")
     reps = reps.join(several, "sid", "left").where("sets is null or struct(s1, s2) = least").drop("sets", "least") if not several.isEmpty() else reps
     # buckets of at least two members; a key already holds its band's number
     banded = reps.select(F.explode("bands").alias("key"), "sid")
     first = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    members = materialise(banded.join(first, "key").select("key", "sid", "size"), f"{path}/members")
+    hot = max(1000, feats.count() // 1000)
+    members = materialise(_spread_join(banded, first, ["key"], "size", hot), f"{path}/members")
     # hubs are the most central members: those whose buckets are the largest, the same few in all buckets of a group
     central = members.groupBy("sid").agg((-F.sum("size")).alias("d"))
-    ranked = members.join(central, "sid").select("key", "sid", F.struct("d", F.xxhash64("sid").alias("p"), F.col("sid").alias("s")).alias("rank"))
-    h0 = ranked.groupBy("key").agg(F.min("rank").alias("h"))
-    stars, rest = [], ranked
+    rest = members.join(central, "sid").select("key", "sid", F.struct("d", F.xxhash64("sid").alias("p"), F.col("sid").alias("s")).alias("rank"))
+    stars = []
     for _ in range(hubs):
-        rest = materialise(rest.join(h0.select("key", F.col("h.s").alias("hub")), "key").where("sid <> hub").select("key", "sid", "rank", "hub"), f"{path}/stars{len(stars)}")
-        stars.append(rest.select(F.col("hub").alias("h0"), "sid"))
+        best = rest.groupBy("key").agg(F.min("rank").alias("h"), F.count("*").alias("n")).where("n > 1").select("key", F.col("h.s").alias("hub"), "n")
+        rest = materialise(_spread_join(rest, best, ["key"], "n", hot).where("sid <> hub").select("key", "sid", "rank", "hub"), f"{path}/stars{len(stars)}")
+        stars.append(rest.select(F.least("hub", "sid").alias("a"), F.greatest("hub", "sid").alias("b")).distinct())
         rest = rest.drop("hub")
-        h0 = rest.groupBy("key").agg(F.min("rank").alias("h"), F.count("*").alias("n")).where("n > 1")
     pairs = stars[0]
     for more in stars[1:]:
         pairs = pairs.union(more)
-    pairs = pairs.select(F.least("h0", "sid").alias("a"), F.greatest("h0", "sid").alias("b")).distinct()
     sketches = reps.select("sid", "sketch")
-    rated = pairs.join(sketches.select(F.col("sid").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("sid").alias("b"), F.col("sketch").alias("y")), "b")
+    rated = pairs.distinct().join(sketches.select(F.col("sid").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("sid").alias("b"), F.col("sketch").alias("y")), "b")
     waiting = materialise(rated.select("a", "b", _xor_bits("x", "y").cast("long").alias("bits")).where(F.col("bits") <= most_bits), f"{path}/waiting")
-    release_shuffles(spark)
     # full sets, of the documents that are in some bucket
     wanted = members.select("sid").distinct().join(reps.select("sid", "s1"), "sid")
     sets = materialise(_sets(docs, wanted, k), f"{path}/sets")
-    links, label, tested = None, None, []
-    for step, tests in enumerate((1, 4, 8, None)):
-        direct = None
-        if step > 1:
-            exact = (sets, reps.select("sid", "bands"), percent) if tests is None else None
-            more, direct = _residual(members, label, sketches, most_bits, tests or 0, exact=exact)
-            waiting = materialise(_untested(waiting.union(more).distinct(), tested), f"{path}/waiting{step}")
-        open_pairs = _labelled(waiting, label).where("ca <> cb")
+    links, label = None, None
+    for step, tests in enumerate((1, 5, 8, None)):
         if tests:
-            ends = open_pairs.select("a", "b", "bits", F.explode(F.array("ca", "cb")).alias("c"))
+            if step == 2:
+                waiting = _residual(members, label, reps, most_bits, tests, percent)
+            ends = _labelled(waiting, label).where("ca <> cb").select("a", "b", "bits", F.explode(F.array("ca", "cb")).alias("c"))
             best = W.partitionBy("c").orderBy("bits", F.xxhash64("a", "b"), "a", "b")
             chosen = ends.select("a", "b", F.row_number().over(best).alias("r")).where(F.col("r") <= tests).select("a", "b").distinct()
+            passed = _confirm(materialise(chosen, f"{path}/chosen{step}"), sets, percent)
         else:
-            chosen = open_pairs.select("a", "b").distinct()
-        chosen = materialise(chosen, f"{path}/chosen{step}")
-        passed = _confirm(chosen, sets, percent)
-        passed = materialise(passed.union(direct) if direct is not None else passed, f"{path}/passed{step}")
+            passed = _residual(members, label, reps, most_bits, 0, percent, sets).select("a", "b")
+        passed = materialise(passed, f"{path}/passed{step}")
         if passed.isEmpty():
-            tested.append(chosen)
             continue
-        tested.append(chosen)
-        waiting = _untested(waiting, [chosen])
         links = passed if links is None else links.union(passed)
         label = components(links, f"{path}/components{step}")
-        release_shuffles(spark)
-    found = one.select("s1", "s2", "n", "sid") if label is None else one.select("s1", "s2", "n", "sid").join(label, one.sid == label.node, "left").select("s1", "s2", "n", F.coalesce("component", "sid").alias("sid"))
-    owner = found.where("n > 0").select("s1", "s2", F.col("n").alias("m"), F.col("sid").alias("c"))
-    out = feats.select("doc_id", "n", "s1", "s2").join(owner, (feats.s1 == owner.s1) & (feats.s2 == owner.s2) & (feats.n == owner.m), "left")
-    component = F.coalesce("c", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    found = one.select("s1", "s2", "n", "rows", "sid") if label is None else one.select("s1", "s2", "n", "rows", "sid").join(label, one.sid == label.node, "left").select("s1", "s2", "n", "rows", F.coalesce("component", "sid").alias("sid"))
+    owner = found.where("n > 0").select("s1", "s2", "n", "rows", F.col("sid").alias("c"))
+    known = feats.select("doc_id", "n", "s1", "s2").where("n > 0 and doc_id is not null")
+    out = _spread_join(known, owner, ["s1", "s2", "n"], "rows", hot).select("doc_id", "n", "c")
+    out = out.union(feats.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("c")))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("c"), F.lit(True)).alias("kept"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:

@@ -103,6 +103,27 @@ def test_near_duplicates_of_a_hot_group(spark):
     assert {x["doc_id"]: x["component_id"] for x in near_dedup.near_duplicates(d, k=4).collect()} == {i: root(i) for i in sets}
 
 
+def test_near_duplicates_follow_a_chain_of_revisions(spark):
+    r = random.Random(8)
+    words = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):  # each version is 0.8-like to its neighbours only
+        rows.append((i, " ".join(words)))
+        at = r.randrange(20, 100)
+        words = words[:at] + [f"v{i}a", f"v{i}b", f"v{i}c"] + words[at + 3 :]
+    rows += [(1000 + i, None) for i in range(3)] + [(None, "alone")]
+    got = {x["doc_id"]: x for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=4).collect()}
+    assert {got[i]["component_id"] for i in range(150)} == {0} and got[0]["kept"] and not got[149]["kept"]
+    assert all(got[1000 + i]["component_id"] == 1000 + i and got[1000 + i]["n_shingles"] == 0 for i in range(3))
+    assert got[None]["component_id"] is None and got[None]["kept"]
+
+
+def test_near_duplicates_of_nothing(spark, empty):
+    assert near_dedup.near_duplicates(empty, k=4).collect() == []
+    nulls = spark.createDataFrame([(1, None), (2, None), (2, "")], "doc_id long, text string")
+    assert sorted((x["doc_id"], x["component_id"], x["kept"]) for x in near_dedup.near_duplicates(nulls, k=4).collect()) == [(1, 1, True), (2, 2, True), (2, 2, True)]
+
+
 def test_odd_sketches_estimate():
     rng = np.random.default_rng(1)
     for share in (0.6, 0.8, 0.95):

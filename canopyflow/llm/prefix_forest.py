@@ -14,7 +14,8 @@ searched by every block of queries, and a query's nearest over all shards are ke
 only the `k + 1` least ids are indexed, which is exact, because ties go to the lesser id.
 
 Defined results: vectors that are null, empty, zero, or hold null or non-finite components take no part;
-vectors meet only vectors of their own length; a query without any candidate has no rows; rows with a
+vectors meet only vectors of their own length;
+a product beyond the range of doubles has the score that double arithmetic gives it (infinite, or NaN as the last); a query without any candidate has no rows; rows with a
 null id take no part; a repeated id counts as another row but never as its own neighbour; further columns
 are ignored. Measured recall is in the README.
 """
@@ -41,14 +42,20 @@ def hash_strings(x: np.ndarray, trees: int, bits: int, seed: int) -> np.ndarray:
     return out
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """x by a power of two, its largest component then in [0.5, 1): products neither overflow nor lose digits of large ones."""
+    return np.ldexp(x, -int(np.frexp(np.abs(x).max(initial=0.0))[1]))
+
+
 class Forest:
     """Sorted arrays over one shard."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, trees: int, bits: int, seed: int):
         self.ids, self.x, self.trees, self.bits, self.seed = ids, x, trees, bits, seed
-        self.single = x.astype(np.float32)
-        norms = (x * x).sum(1)
-        lifted = np.column_stack([x, np.sqrt(np.maximum(norms.max() - norms, 0))])
+        self.scaled = scaled(x)
+        norms = (self.scaled * self.scaled).sum(1)
+        self.longest = float(np.sqrt(norms.max()))
+        lifted = np.column_stack([self.scaled, np.sqrt(np.maximum(norms.max() - norms, 0))])
         codes = hash_strings(lifted, trees, bits, seed)
         self.order = np.argsort(codes, axis=1, kind="stable")
         self.codes = np.take_along_axis(codes, self.order, 1)
@@ -74,7 +81,7 @@ class Forest:
 
         A query ascends until its ranges hold max(k, candidates) different rows of other ids, or to the whole shard.
         """
-        codes = hash_strings(np.column_stack([q, np.zeros(len(q))]), self.trees, self.bits, self.seed)
+        codes = hash_strings(np.column_stack([[scaled(v) for v in q], np.zeros(len(q))]), self.trees, self.bits, self.seed)
         waiting, need, out = np.arange(len(q)), max(k, candidates), []
         for depth in range(self.bits, 0, -1):
             if not len(waiting):
@@ -96,11 +103,13 @@ class Forest:
 
     def best(self, i: int, at: np.ndarray, v: np.ndarray, k: int) -> tuple[int, np.ndarray, np.ndarray]:
         """(i, ids, scores) of the k rows of `at` with the largest inner product."""
-        rough = self.single[at] @ v.astype(np.float32)
-        if len(at) > k:  # single precision only discards what is clearly below the k-th
-            least = np.partition(rough, len(rough) - k)[len(rough) - k]
-            at = at[rough >= least - 1e-4 * max(1.0, float(np.abs(rough).max()))]
-        exact = (self.x[at] * v).sum(1)
+        if len(at) > k:  # a product by another order of sums discards what is below the k-th by more than rounding explains
+            v1 = scaled(v)
+            rough = self.scaled[at] @ v1
+            slack = 4 * (len(v) + 2) * np.finfo(float).eps * self.longest * float(np.sqrt(v1 @ v1)) + 1e-300
+            at = at[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - slack]
+        with np.errstate(over="ignore", invalid="ignore"):
+            exact = (self.x[at] * v).sum(1)
         top = np.lexsort((self.ids[at], -exact))[:k]
         return i, self.ids[at][top], exact[top]
 

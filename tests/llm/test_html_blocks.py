@@ -39,7 +39,7 @@ def test_awkward_markup():
     assert text("<p>one<!-- never closed <p>two") == ["one"]
     assert text('<p title="a > b">c</p>') == ["c"]
     assert text("<p title='a > b>c</p>d") == ["b>c", "d"]
-    assert text("<p>a<script>if (a < b) '</p>'</script>b<p>c</script>d") == ["a", "b", "cd"]
+    assert text("<p>a<script>if (a < b) '</p>'</script>b<p>c</script>d") == ["a", "b", "c", "d"]
     assert text("<SCRIPT>x</ScRiPt >y") == ["y"]
     assert text("<ul><li>a<li>b<ul><li>c</ul></ul>d") == ["a", "b", "c", "d"]
     assert text("<p>a<br>b<img src=x>c<wbr>d<b>e</b>f") == ["a bcdef"]

@@ -253,6 +253,24 @@ def test_forest_goes_on_past_a_few_copies(spark):
         assert set(range(1, copies)) <= set(found) and len(set(found) & set(want)) >= 0.9 * len(want)
 
 
+def test_forest_of_huge_and_tiny_vectors(spark):
+    r = np.random.default_rng(3)
+    for scale in (1e20, 1e-30, 1e150):
+        x = r.standard_normal((200, 8)) * scale
+        d = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = prefix_forest.nearest(d, k=20).collect()
+        assert len(got) == 10 * 20
+        want = {(q, i) for q in range(0, 200, 20) for i in sorted((i for i in range(200) if i != q), key=lambda i: (-(x[i] * x[q]).sum(), i))[:20]}
+        assert len(want & {(g["query_id"], g["vec_id"]) for g in got}) >= 0.9 * len(want)
+        assert all(g["score"] == (x[g["vec_id"]] * x[g["query_id"]]).sum() for g in got)
+
+
+def test_forest_of_nothing(spark):
+    d = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert prefix_forest.nearest(d, k=20).collect() == []
+    assert prefix_forest.nearest(spark.createDataFrame([(i, [1.0 + i, 2.0]) for i in range(1, 19)], d.schema), k=20).collect() == []
+
+
 def test_language_id(spark, docs, empty):
     r = random.Random(1)
     alphabets = {"xx": "aeioubdg", "yy": "öäüßstrn", "zz": "жшюяклмн"}

@@ -23,7 +23,6 @@ import base64
 import heapq
 import json
 import uuid
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -35,7 +34,7 @@ from pyspark.sql import functions as F
 from canopyflow.llm import textnp as T
 from canopyflow.session import materialise, shared_dir
 
-RANK_BUCKETS = 1 << 14
+RANK_BUCKETS = 1 << 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -80,10 +79,12 @@ def rank_literal(ranks: dict[bytes, int]) -> Column:
 
     The optimizer parses the string once for a query and keeps the result as a literal.
     """
+    import xxhash
+
     buckets: list[dict[str, int]] = [{} for _ in range(RANK_BUCKETS)]
     for p, r in ranks.items():
         key = p.hex().upper()
-        buckets[zlib.crc32(key.encode()) % RANK_BUCKETS][key] = r
+        buckets[xxhash.xxh64_intdigest(key, 42) % RANK_BUCKETS][key] = r
     return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
 
 
@@ -94,7 +95,7 @@ def _let(value: Column, body) -> Column:
 
 def fold_merges(piece: Column, table: Column) -> Column:
     """array<int> of ids of a binary column, by higher-order functions. table: a column of rank_literal()."""
-    rank = lambda h: F.try_element_at(F.get(table, F.pmod(F.crc32(h.cast("binary")), F.lit(RANK_BUCKETS)).cast("int")), h)
+    rank = lambda h: F.try_element_at(F.get(table, F.xxhash64(h).bitwiseAND(RANK_BUCKETS - 1).cast("int")), h)
     none = F.array().cast("array<int>")
 
     def step(state: Column, _: Column) -> Column:
@@ -265,10 +266,10 @@ class Codec:
         return self._split(docs, text, keep).select(*[F.col(f"`{c}`") for c in keep], _let(words, joined).alias("ids"))
 
     def _digits(self, ids: Column, digits: list[str]) -> Column:
-        """binary: the hexadecimal digits of each id, one after another."""
+        """binary: the hexadecimal digits of each id, one after another; a question mark, which is no digit, for what is unknown."""
         table = F.split(F.lit(" ".join(digits)), " ")
-        digit = lambda t, i: F.coalesce(F.nullif(F.get(t, i), F.lit("?")), F.raise_error(F.lit("an id is not in the vocabulary")))
-        return _let(table, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: digit(t, i)), "")))
+        made = _let(table, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t, i)), "", "?")))
+        return F.when(ids.isNotNull(), F.coalesce(made, F.raise_error(F.lit("an id is not in the vocabulary")).cast("binary")))
 
     def bytes_of(self, ids: Column) -> Column:
         """binary: the bytes that array<int> ids stand for."""
@@ -305,7 +306,7 @@ def frequent(counted: DataFrame, most: int) -> DataFrame:
     return counted.where(level >= F.lit(least) if least is not None else F.lit(False)).select("piece")
 
 
-def train_free_codec(docs: DataFrame, ranks_path: str, pattern: str, cached_pieces: int = 250_000, cached_bytes: int = 64, fold_bytes: int = 1024, text: str = "text", path: str | None = None) -> Codec:
+def train_free_codec(docs: DataFrame, ranks_path: str, pattern: str, cached_pieces: int = 600_000, cached_bytes: int = 64, fold_bytes: int = 1024, text: str = "text", path: str | None = None) -> Codec:
     """A codec whose broadcast holds the ids of up to cached_pieces frequent pieces of docs, each of up to cached_bytes bytes."""
     spark = docs.sparkSession
     codec = Codec(spark, load_ranks(ranks_path), pattern, fold_bytes=fold_bytes)

@@ -442,7 +442,7 @@ def test_bpe_against_the_library(spark, docs, empty, vocabulary):
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
     extra = spark.createDataFrame([(900, "Hello  world,\n\n it's 12345 ünïcödé!! 😀😀 <|endoftext|>  x"), (901, "a" * 3000), (902, "\t \n")], "doc_id long, text string")
     d = docs.select("doc_id", "text").unionByName(extra)
-    codec = byte_bpe.train_free_codec(d, path, pattern, table_pieces=150)
+    codec = byte_bpe.train_free_codec(d, path, pattern, cached_pieces=150)
     want = {}
     for r in d.collect():
         ids = library.encode_ordinary(r["text"] or "")

@@ -121,6 +121,12 @@ def expanded(box: Column, pad: float = 0.25) -> Column:
     return F.struct((box["minx"] - m).alias("minx"), (box["miny"] - m).alias("miny"), (box["maxx"] + m).alias("maxx"), (box["maxy"] + m).alias("maxy"))
 
 
+def is_polygon(ring: Column) -> Column:
+    """Not null and with at least three vertices that differ from the one before."""
+    moved = F.zip_with(ring, _rotated(ring), lambda p, q: (p["x"] != q["x"]) | (p["y"] != q["y"]))
+    return F.coalesce(F.size(F.filter(moved, lambda m: m)) >= 3, F.lit(False))
+
+
 def geometry_key(ring: Column, digits: int = 9) -> Column:
     """Equal for equal rings, whatever vertex or direction they begin with.
 

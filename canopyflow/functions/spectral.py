@@ -113,6 +113,16 @@ def season(month: Column, seasons: dict[str, list[int]] = SEASONS) -> Column:
     return out.otherwise(rest[0])
 
 
+def in_window(day: Column, year: int, months: dict[str, int] | None = None) -> Column:
+    """Array of the names of a year's windows that hold the day: its season, whose winter begins in the December
+    before, and its month for January to May. Windows are half open."""
+    own = {"jan": 1, "feb": 2, "mar": 3, "apr": 4, "may": 5} if months is None else months
+    date = F.to_date(day)
+    seasonal = F.when(season_year(date) == year, season(F.month(date)))
+    monthly = [F.when((F.year(date) == year) & (F.month(date) == m), F.lit(name)) for name, m in own.items()]
+    return F.array_compact(F.array(seasonal, *monthly))
+
+
 def season_year(day: Column) -> Column:
     """Q22: the year of a season; December counts to the next year's winter."""
     return F.year(day) + F.when(F.month(day) == 12, 1).otherwise(0)

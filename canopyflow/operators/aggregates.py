@@ -280,6 +280,11 @@ def long_to_wide(rows: DataFrame, key: str, column: str, values: list, value: st
     return rows.groupBy(key).agg(*[F.first(F.when(F.col(column) == v, F.col(value)), ignorenulls=True).alias(f"{prefix}{v}") for v in values])
 
 
+def wide_to_long(rows: DataFrame, keys: list[str], columns: list[str], name: str = "metric", value: str = "value") -> DataFrame:
+    """One row for each key and listed column; values as double."""
+    return rows.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]).unpivot(list(keys), columns, name, value)
+
+
 def expand_rows(rows: DataFrame, k: int, noise: dict[str, float] | None = None, seed: int = 0) -> DataFrame:
     """Each row k times, numbered, with normal noise of the given deviation on columns."""
     out = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.lit(k))))

@@ -95,6 +95,22 @@ def fuse(base: DataFrame, tables: dict[str, DataFrame], key: str) -> DataFrame:
     return out
 
 
+def large_crowns(rows: DataFrame, areas: DataFrame, key: str, least: float, area: str = "area_m2") -> DataFrame:
+    """Rows with their area from another table (0 where it has none) that is at least `least`."""
+    return rows.join(areas.select(key, area), key, "left").withColumn(area, F.coalesce(area, F.lit(0.0))).where(F.col(area) >= least)
+
+
+def members(rows: DataFrame, others: DataFrame, keys: list[str], inside: bool = True) -> DataFrame:
+    """Rows whose key the other table has, or (inside=False) has not."""
+    return rows.join(others.select(*keys).distinct(), list(keys), "left_semi" if inside else "left_anti")
+
+
+def alignment_check(left: DataFrame, right: DataFrame, key: str, a: str, b: str, offsets: list[int]) -> DataFrame:
+    """(offset, n_matched, n_agree): rows of left whose key, moved by the offset, right has, and how many of their labels agree."""
+    moved = left.withColumn("offset", F.explode(F.array(*[F.lit(o) for o in offsets]))).select("offset", (F.col(key) + F.col("offset")).alias("__k"), F.col(a).alias("__a"))
+    return moved.join(right.select(F.col(key).alias("__k"), F.col(b).alias("__b")), "__k").groupBy("offset").agg(F.count("*").alias("n_matched"), F.count_if(F.col("__a") == F.col("__b")).alias("n_agree"))
+
+
 def mixed_areas(rows: DataFrame, area: str, label: str) -> DataFrame:
     """Rows of areas that have both classes."""
     both = rows.where(F.col(label) != -1).groupBy(area).agg(F.count_distinct(label).alias("__k")).where("__k >= 2").select(area)

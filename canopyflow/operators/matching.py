@@ -313,6 +313,33 @@ def gap_score(score: Column, gap: Column, alpha: float = 0.9) -> Column:
     return score * F.exp(-alpha * (gap - 1))
 
 
+def virtual_pairs(crowns: DataFrame, intersection, max_dist: float = 75.0, gate: float = 0.48, min_base: float = 0.35, alpha: float = 0.9, max_gap: int | None = None) -> DataFrame:
+    """Candidate edges of every pair of flights in order, with `gap` (flights between them) and `score`, the
+    similarity less the gap's penalty. Either side overlaps the other by the gate and the similarity is at least min_base.
+
+    intersection: a function of the pair's suffixes ("", "_b") that gives the shared area as a Column.
+    """
+    on = F.col("om_id") < F.col("om_id_b")
+    if max_gap:
+        on = on & (F.col("om_id_b") - F.col("om_id") <= max_gap)
+    pairs = pair_measures(near_pairs(crowns, crowns, max_dist, on), intersection("", "_b"), max_dist)
+    kept = pairs.where(((F.col("overlap_prev") >= gate) | (F.col("overlap_curr") >= gate)) & (F.col("base_similarity") >= min_base))
+    gap = F.col("om_id_b") - F.col("om_id")
+    return kept.withColumns({"gap": gap, "score": gap_score(F.col("base_similarity"), gap, alpha)})
+
+
+def reference_matches(references: DataFrame, crowns: DataFrame, intersection, key: str, max_dist: float = 35.0) -> DataFrame:
+    """For each reference polygon and flight the crown of the greatest IoU - distance / max_dist; the least crown on ties.
+
+    Both sides have x, y, area; crowns have om_id, crown_idx; intersection as in virtual_pairs().
+    """
+    pairs = near_pairs(references, crowns, max_dist, F.lit(True))
+    i = intersection("", "_b")
+    rated = pairs.withColumn("iou", i / (F.col("area") + F.col("area_b") - i)).withColumn("score", F.col("iou") - F.col("distance") / max_dist)
+    w = W.partitionBy(key, "om_id_b").orderBy(F.desc("score"), "crown_idx_b")
+    return rated.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
 def mutual_nearest(left: DataFrame, right: DataFrame, radius: float, a: str = "id", b: str = "id", mutual: bool = True) -> DataFrame:
     """For each left row its nearest right row within radius; mutual keeps pairs that are nearest both ways."""
     pairs = near_pairs(left, right, radius, F.lit(True))
@@ -327,6 +354,11 @@ def detection_matches(pairs: DataFrame, threshold: float, truth: str = "gt_id",
     return pairs.where(F.col("iou") >= threshold).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def detection_one_to_one(pairs: DataFrame, threshold: float, truth: str = "gt_id", pred: str = "pred_id", order: str | None = None) -> DataFrame:
+    """Predictions in their order (by default of their ids) each take the free truth of greatest IoU, at least the threshold; a truth is taken once."""
+    return greedy_one_to_one(pairs.where(F.col("iou") >= threshold), truth, pred, [(order or pred, False), ("iou", True)])
+
+
 def detection_metrics(matches: DataFrame, n_truth: int, n_pred: int, truth: str = "gt_id") -> DataFrame:
     """Tp (truths found), fp, fn, precision, recall, f1 and mean IoU of the matches."""
     base = matches.agg(F.count_distinct(truth).alias("tp"), F.count("*").alias("matched"), F.avg("iou").alias("mean_iou"))

@@ -6,11 +6,12 @@ A chain has at most one node a flight, so a walk is a bounded number of equi-joi
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from canopyflow.session import materialise, shared_dir
+
 
 def best_successor(edges: DataFrame) -> DataFrame:
     """The most similar successor of every node; the least node on ties."""
@@ -18,7 +19,7 @@ def best_successor(edges: DataFrame) -> DataFrame:
     return edges.withColumn("__r", F.row_number().over(w)).where("__r = 1").select("prev", "curr", "similarity", "case")
 
 
-def chains(nodes: DataFrame, edges: DataFrame, flights: int) -> DataFrame:
+def chains(nodes: DataFrame, edges: DataFrame, flights: int, path: str | None = None) -> DataFrame:
     """(start, position, node): from every node without predecessor along best successors; chains may share nodes.
 
     A node that no chain reaches is a chain of its own. nodes: (node).
@@ -26,9 +27,12 @@ def chains(nodes: DataFrame, edges: DataFrame, flights: int) -> DataFrame:
     step = best_successor(edges).select(F.col("prev").alias("node"), F.col("curr").alias("next"))
     roots = nodes.join(edges.select(F.col("curr").alias("node")).distinct(), "node", "left_anti")
     walk = roots.select(F.col("node").alias("start"), F.lit(0).alias("position"), "node")
-    out, front = walk, walk
-    for k in range(1, flights):
+    path = path or shared_dir(nodes.sparkSession)
+    step = materialise(step, f"{path}/step")
+    out = front = materialise(walk, f"{path}/front0")
+    for k in range(1, flights):  # each front is written, so a flight costs one join whatever came before
         front = front.join(step, "node").select("start", F.lit(k).alias("position"), F.col("next").alias("node"))
+        front = materialise(front, f"{path}/front{k}")
         out = out.unionByName(front)
     left = nodes.join(out.select("node").distinct(), "node", "left_anti").select(F.col("node").alias("start"), F.lit(0).alias("position"), "node")
     return out.unionByName(left)
@@ -144,35 +148,69 @@ def spatial_dedup(crowns: DataFrame, pairs: DataFrame, iou: float = 0.75, key: s
     """Crowns kept when taken by area, length and similarity, descending, and dropped if a kept one contains them
     or has an IoU above the limit.
 
-    pairs: key, key_b, iou, contains (the first holds the second). Each connected component of conflicting pairs is
-    resolved on its own, in one task.
+    pairs: key, key_b, iou, contains (the first holds the second).
+    """
+    over = (F.col("iou") > iou) | (F.col("contains") if contained else F.lit(False))
+    both = pairs.where(over).select(key, f"{key}_b").union(pairs.where(F.col("iou") > iou).select(F.col(f"{key}_b"), F.col(key)))
+    return priority_select(crowns, both, key, [F.col("area"), F.col("chain_length"), F.col("avg_similarity")], path)
+
+
+def priority_select(rows: DataFrame, conflicts: DataFrame, key: str, order: list, path: str | None = None) -> DataFrame:
+    """Rows kept when taken by order (each descending, then the key) and dropped if a kept row before them excludes them.
+
+    conflicts: pairs of keys, the first of which excludes the second if it comes before it. Rounds over the pairs
+    that are open: a row that no open pair leads to is kept, what it excludes is dropped. Every round decides all rows
+    without an open predecessor, so rounds are as many as the longest run of conflicts, and nothing is gathered in one task.
+    """
+    path = path or shared_dir(rows.sparkSession)
+    rank = rows.select(F.col(key).alias("k"), F.struct(*[(-F.coalesce(c.cast("double"), F.lit(float("-inf")))).alias(f"o{i}") for i, c in enumerate(order)], F.col(key).alias("id")).alias("rank"))
+    hi, lo = rank.select(F.col("k").alias("hi"), F.col("rank").alias("a")), rank.select(F.col("k").alias("lo"), F.col("rank").alias("b"))
+    ends = conflicts.toDF("hi", "lo").where("hi <> lo")
+    open_pairs = materialise(ends.join(hi, "hi").join(lo, "lo").where("a < b").select("hi", "lo").distinct(), f"{path}/open0")
+    dropped, k = [], 0
+    while not open_pairs.isEmpty():
+        k += 1
+        first = open_pairs.select("hi").distinct().join(open_pairs.select(F.col("lo").alias("hi")).distinct(), "hi", "left_anti")
+        gone = materialise(open_pairs.join(first, "hi", "left_semi").select("lo").distinct(), f"{path}/dropped{k}")
+        dropped.append(f"{path}/dropped{k}")
+        left = open_pairs.join(gone, "lo", "left_anti").join(gone.select(F.col("lo").alias("hi")), "hi", "left_anti")
+        open_pairs = materialise(left.select("hi", "lo"), f"{path}/open{k}")
+    if not dropped:
+        return rows
+    out = rows.sparkSession.read.parquet(*dropped).select(F.col("lo").alias("__lo"))
+    return rows.join(out, F.col(key) == F.col("__lo"), "left_anti")
+
+
+# Weight of a chain's category (U4).
+CATEGORY_WEIGHTS = {"full_width1": 100, "full_branching": 100, "partial_long": 10, "partial_short": 0, "singleton": -10}
+
+
+def spatial_dedup_by_score(crowns: DataFrame, pairs: DataFrame, contained: float = 0.90, iou: float = 0.55, min_area: float = 0.5, key: str = "chain_id", path: str | None = None) -> DataFrame:
+    """U4: crowns of at least min_area, taken by score (chain_length and the weight of chain_category), then area; one is
+    dropped if a kept one holds `contained` of its area or has an IoU of `iou` with it.
+
+    pairs: key, key_b, iou, share_a and share_b (the shared area over the first's and the second's area), each pair once.
     """
-    from canopyflow.operators.components import components
-
-    clash = pairs.where((F.col("iou") > iou) | (F.col("contains") if contained else F.lit(False))).select(F.col(key).alias("a"), F.col(f"{key}_b").alias("b"), "iou", "contains")
-    clash = clash.where("a <> b")
-    label = components(clash.select("a", "b"), path=path)
-    rank = crowns.select(F.col(key).alias("node"), "area", "chain_length", "avg_similarity")
-    linked = clash.join(label.withColumnRenamed("node", "a"), "a")
-    members = rank.join(label, "node").withColumn("kind", F.lit(0)).select("component", "kind", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "area", "chain_length", "avg_similarity", F.lit(None).cast("double").alias("iou"), F.lit(None).cast("boolean").alias("contains"))
-    edges = linked.select("component", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("double").alias("area"), F.lit(None).cast("long").alias("chain_length"), F.lit(None).cast("double").alias("avg_similarity"), "iou", "contains")
-
-    def resolve(rows: pd.DataFrame) -> pd.DataFrame:
-        nodes, links = rows[rows["kind"] == 0], rows[rows["kind"] == 1]
-        holds: dict = {}
-        for a, b, i, c in zip(links["a"], links["b"], links["iou"], links["contains"]):
-            if i > iou or (contained and c):
-                holds.setdefault(a, set()).add(b)
-            if i > iou:
-                holds.setdefault(b, set()).add(a)
-        dropped: set = set()
-        for a in nodes.sort_values(["area", "chain_length", "avg_similarity", "a"], ascending=[False, False, False, True])["a"]:
-            if a not in dropped:
-                dropped |= holds.get(a, set())
-        return pd.DataFrame({"dropped": sorted(dropped)}).astype("int64")
-
-    dropped = members.unionByName(edges).groupBy("component").applyInPandas(resolve, "dropped long")
-    return crowns.join(dropped, crowns[key] == dropped["dropped"], "left_anti")
+    rows = crowns.where(F.col("area") >= min_area)
+    weight = F.lit(0)
+    for name, w in CATEGORY_WEIGHTS.items():
+        weight = F.when(F.col("chain_category") == name, w).otherwise(weight)
+    a, b = F.col(key), F.col(f"{key}_b")
+    same = F.col("iou") >= iou
+    conflicts = pairs.where(same | (F.col("share_b") >= contained)).select(a, b).union(pairs.where(same | (F.col("share_a") >= contained)).select(b, a))
+    return priority_select(rows, conflicts, key, [F.col("chain_length") + weight, F.col("area")], path)
+
+
+def patched_edges(nodes: DataFrame, edges: DataFrame, candidates: DataFrame, path: str | None = None) -> DataFrame:
+    """Virtual edges (prev, curr, score) for nodes without an outgoing edge: candidates best first, each end once, later ends free of incoming edges.
+
+    candidates: prev, curr, score, as of virtual_pairs().
+    """
+    from canopyflow.operators.matching import greedy_one_to_one
+
+    loose = nodes.select(F.col("node").alias("prev")).join(edges.select("prev").distinct(), "prev", "left_anti")
+    free = candidates.join(loose, "prev", "left_semi").join(edges.select("curr").distinct(), "curr", "left_anti")
+    return greedy_one_to_one(free.select("prev", "curr", "score"), "prev", "curr", [("score", True)], path)
 
 
 def gap_fill_step(ends: DataFrame, candidates: DataFrame, taken: DataFrame, max_dist: float = 25.0, min_iou: float = 0.20, duplicate_iou: float = 0.70) -> DataFrame:

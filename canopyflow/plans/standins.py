@@ -87,16 +87,16 @@ def scenes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 PIXELS_SQL = """pixels AS (
-  SELECT chain_id, 1 AS om_id, CAST(k // 8 AS INTEGER) AS row, CAST(k % 8 AS INTEGER) AS col, r, g, b FROM (
-    SELECT l_suppkey AS chain_id, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS k,
-      CAST(l_quantity * 37 % 256 AS INTEGER) AS r, CAST(l_partkey * 13 % 256 AS INTEGER) AS g, CAST(l_orderkey * 7 % 256 AS INTEGER) AS b FROM lineitem) WHERE k < 64)"""
+  SELECT l_suppkey * 100000 + k // 64 AS chain_id, 1 AS om_id, CAST(k % 64 // 8 AS INTEGER) AS row, CAST(k % 8 AS INTEGER) AS col, r, g, b FROM (
+    SELECT l_suppkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity, l_extendedprice) - 1 AS k,
+      CAST(l_quantity * 37 % 256 AS INTEGER) AS r, CAST(l_partkey * 13 % 256 AS INTEGER) AS g, CAST(l_orderkey * 7 % 256 AS INTEGER) AS b FROM lineitem))"""
 
 
 def pixels(spark: SparkSession, sf: str) -> DataFrame:
-    """PIXELS: chain_id, om_id, row, col, r, g, b: an 8 x 8 patch for each supplier."""
+    """PIXELS: chain_id, om_id, row, col, r, g, b: every line item in an 8 x 8 patch; chain_id numbers a supplier's patches (the last may be part filled)."""
     from pyspark.sql import Window as W
 
     k = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")) - 1
-    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_quantity", "l_partkey", "l_orderkey", k.alias("k")).where("k < 64")
+    rows = table(spark, sf, "lineitem").select("l_suppkey", "l_quantity", "l_partkey", "l_orderkey", k.cast("long").alias("k"))
     byte = lambda c, f: (F.col(c) * f % 256).cast("int")
-    return rows.select(F.col("l_suppkey").alias("chain_id"), F.lit(1).alias("om_id"), F.floor(F.col("k") / 8).cast("int").alias("row"), (F.col("k") % 8).cast("int").alias("col"), byte("l_quantity", 37).alias("r"), byte("l_partkey", 13).alias("g"), byte("l_orderkey", 7).alias("b"))
+    return rows.select((F.col("l_suppkey") * 100000 + F.floor(F.col("k") / 64)).alias("chain_id"), F.lit(1).alias("om_id"), F.floor(F.col("k") % 64 / 8).cast("int").alias("row"), (F.col("k") % 8).cast("int").alias("col"), byte("l_quantity", 37).alias("r"), byte("l_partkey", 13).alias("g"), byte("l_orderkey", 7).alias("b"))

@@ -56,7 +56,8 @@ def a12(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("g7_composite", f"SELECT l_suppkey, {D.SEASON_CASE} AS season, count(*) AS n FROM lineitem GROUP BY 1, 2")
 def g7n(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "lineitem").groupBy("l_suppkey", S.season(F.month("l_shipdate")).alias("season")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf, "lineitem").select("l_suppkey", S.season(F.month("l_shipdate")).alias("season"), F.monotonically_increasing_id().alias("scene"), "l_quantity")
+    return A.composite(rows, ["l_suppkey", "season"], "scene", "l_quantity").select("l_suppkey", "season", F.col("n_scenes").alias("n"))
 
 
 @register(
@@ -163,7 +164,7 @@ def b37(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @register(
-    "b19_indices",
+    "b20_indices",
     """WITH x AS (SELECT l_orderkey, l_linenumber, l_quantity / 100 AS blue, l_discount AS green, l_tax AS red, l_extendedprice / 100000 AS nir FROM lineitem)
 SELECT l_orderkey, l_linenumber, round((nir - red) / nullif(nir + red, 0), 9) + 0.0 AS ndvi, round((nir - green) / nullif(nir + green, 0), 9) + 0.0 AS gndvi, round((green - nir) / nullif(green + nir, 0), 9) + 0.0 AS ndwi FROM x""",
 )

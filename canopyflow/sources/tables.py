@@ -61,6 +61,21 @@ def multithreshold(crowns: DataFrame, base: float) -> DataFrame:
     return rows.withColumn("__k", G.geometry_key(F.col("ring"))).withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__k", "__r")
 
 
+def single_threshold(crowns: DataFrame, layer: float) -> DataFrame:
+    """The crowns of one layer of every flight."""
+    return crowns.where(F.abs(F.col("threshold") - layer) < 1e-9)
+
+
+def pair_layers(layers: DataFrame, orthos: DataFrame, expected: list[float]) -> DataFrame:
+    """A3: (n, crowns, ortho, thresholds): stores with their expected layers, ascending, and the orthomosaic of the same first integer.
+
+    layers: (stem, tag). A store without any expected layer is left out.
+    """
+    known = layers.select("stem", N.tag_threshold(F.col("tag")).alias("t")).where(F.round("t", 6).isin([round(t, 6) for t in expected]))
+    own = known.groupBy("stem").agg(F.array_sort(F.collect_set("t")).alias("thresholds"))
+    return pair_files(own.select("stem"), orthos).join(own.withColumnRenamed("stem", "crowns"), "crowns").select("n", "crowns", "ortho", "thresholds")
+
+
 def threshold_cache(crowns: DataFrame, base: float, least: float = 0.0) -> DataFrame:
     """The layers from `least` up to below the base, for gap filling."""
     return crowns.where((F.col("threshold") < base - 1e-9) & (F.col("threshold") >= least))

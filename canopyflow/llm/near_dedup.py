@@ -10,8 +10,9 @@
 4. Candidates are confirmed on full sets, the likeliest first, and only between documents that confirmed
    links do not connect already: the likeliest of each component, then its likeliest five.
 5. In buckets that still hold several components, members outside the bucket's largest component meet all
-   members: first the likeliest eight of each are confirmed as in 4; then, for what is still apart, every candidate is
-   confirmed where it is met, in the first bucket that the pair shares, and only links leave the worker.
+   members: first a forest of the likeliest pairs of components is confirmed as in 4; then, for what is still apart, every
+   candidate is confirmed where it is met, in the first bucket that the pair shares, until its components are joined there,
+   and only links leave the worker.
 
 With the default 48 bands of 6 rows a pair at similarity 0.8 shares no band with probability 5e-7, and
 the sketch test drops it with probability under 1e-6 (five standard deviations).
@@ -218,38 +219,50 @@ class _Rows:
             self.bands, self.sets = lists("bands"), _Sets(t.column("members"))
 
 
-def _meet(x: _Rows, y: _Rows, i: np.ndarray, j: np.ndarray, most_bits: int, top: int, percent: int) -> np.ndarray:
-    """Pairs (a, b, bits) among rows x[i] and y[j] of one bucket each and of different components.
+def _meet(x: _Rows, y: _Rows, i: np.ndarray, j: np.ndarray, most_bits: int, percent: int | None) -> np.ndarray:
+    """Pairs (a, b, bits) among rows x[i] and y[j] of one or more buckets that would join their components: a forest,
+    the likeliest pairs first, so there are fewer of them than components.
 
-    top: only the likeliest of each x[i]. Without it, the pairs that are linked by their full sets, each in the first
-    bucket that it shares.
+    With percent only pairs that are linked by their full sets, each looked at in the first bucket that it shares.
     """
     bits = np.bitwise_count(x.sketch[i] ^ y.sketch[j]).sum(1).astype(np.int64)
-    ok = (bits <= most_bits) & (x.c[i] != y.c[j]) & (~y.minor[j] | (x.sid[i] < y.sid[j]) | (top > 0))
+    ok = (bits <= most_bits) & (x.c[i] != y.c[j]) & (~y.minor[j] | (x.sid[i] < y.sid[j]))
     i, j, bits = i[ok], j[ok], bits[ok]
-    if top:
-        order = np.lexsort((y.sid[j], bits, i))
-        i, j, bits = i[order], j[order], bits[order]
-        begins = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]])) if len(i) else np.zeros(0, np.int64)
-        rank = np.arange(len(i)) - np.repeat(begins, np.diff(np.concatenate([begins, [len(i)]])))
-        keep = rank < top
-    elif len(i):
+    if percent and len(i):
         first = (x.bands[i] == y.bands[j]).argmax(1)
-        keep = x.bands[i, first] == x.key[i]
-        keep[keep] = [_linked(x.sets[p], y.sets[q], percent) for p, q in zip(i[keep], j[keep])]
-    else:
-        keep = ok[:0]
+        ok = x.bands[i, first] == x.key[i]
+        i, j, bits = i[ok], j[ok], bits[ok]
+    order = np.lexsort((y.sid[j], x.sid[i], bits))
+    if not percent and len(order):  # the likeliest pair of two components is enough
+        _, best = np.unique(np.stack([x.key[i], x.c[i], y.c[j]], 1)[order], axis=0, return_index=True)
+        order = order[np.sort(best)]
+    joined: dict[tuple, tuple] = {}
+
+    def root(c: tuple) -> tuple:
+        while (up := joined.get(c, c)) != c:
+            joined[c] = joined.get(up, up)
+            c = up
+        return c
+
+    keep = []
+    for at, key, p, q, c, d in zip(order.tolist(), x.key[i[order]].tolist(), i[order].tolist(), j[order].tolist(), x.c[i[order]].tolist(), y.c[j[order]].tolist()):
+        own = (0, c), (0, d)  # components are the same in all buckets
+        if not percent:
+            own = (key, c), (key, d)
+        one, other = root(own[0]), root(own[1])
+        if one != other and (not percent or _linked(x.sets[p], y.sets[q], percent)):
+            joined[one] = other
+            keep.append(at)
     i, j = x.sid[i[keep]], y.sid[j[keep]]
     return np.stack([np.minimum(i, j), np.maximum(i, j), bits[keep]], 1)
 
 
-def _residual(members: DataFrame, label: DataFrame | None, reps: DataFrame, most_bits: int, top: int, percent: int, sets: DataFrame | None = None, block: int = 512) -> DataFrame:
+def _residual(members: DataFrame, label: DataFrame | None, reps: DataFrame, most_bits: int, percent: int | None = None, sets: DataFrame | None = None, block: int = 512) -> DataFrame:
     """Candidate pairs (a, b, bits) between different components of one bucket, over all buckets.
 
     Members outside a bucket's largest component meet the bucket's members. Buckets of up to `block` members
     pass through a worker sorted by key; of larger ones, blocks of about `block` rows a side meet in one
-    group. With top, each outside member gives its likeliest candidates of a block; with sets, every candidate is
-    confirmed where it is met, and only links leave the worker.
+    group. What leaves a worker joins components: likely pairs, or with percent and sets links that are confirmed there.
     """
     if label is None:
         at = members.select("key", "sid", F.col("sid").alias("c"))
@@ -282,7 +295,7 @@ def _residual(members: DataFrame, label: DataFrame | None, reps: DataFrame, most
                 n = size[some]
                 i = np.repeat(some, n)
                 j = np.arange(len(i)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin[some], n)
-                found.append(_meet(x, x, i, j, most_bits, top, percent))
+                found.append(_meet(x, x, i, j, most_bits, percent))
             return pa.RecordBatch.from_arrays(out(found), names=["a", "b", "bits"])
 
         rest: pa.Table | None = None
@@ -302,7 +315,7 @@ def _residual(members: DataFrame, label: DataFrame | None, reps: DataFrame, most
         if one.num_rows and many.num_rows:
             x, y = _Rows(one.rename_columns([c.removeprefix("few_") for c in one.column_names])), _Rows(many)
             for some in np.array_split(np.arange(one.num_rows), one.num_rows * many.num_rows // step + 1):
-                found.append(_meet(x, y, np.repeat(some, many.num_rows), np.tile(np.arange(many.num_rows), len(some)), most_bits, top, percent))
+                found.append(_meet(x, y, np.repeat(some, many.num_rows), np.tile(np.arange(many.num_rows), len(some)), most_bits, percent))
         return pa.Table.from_arrays(out(found), names=["a", "b", "bits"])
 
     made = "a long, b long, bits long"
@@ -357,13 +370,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     for step, tests in enumerate((1, 5, 8, None)):
         if tests:
             if step == 2:
-                waiting = _residual(members, label, reps, most_bits, tests, percent)
+                waiting = _residual(members, label, reps, most_bits)
             ends = _labelled(waiting, label).where("ca <> cb").select("a", "b", "bits", F.explode(F.array("ca", "cb")).alias("c"))
             best = W.partitionBy("c").orderBy("bits", F.xxhash64("a", "b"), "a", "b")
             chosen = ends.select("a", "b", F.row_number().over(best).alias("r")).where(F.col("r") <= tests).select("a", "b").distinct()
             passed = _confirm(materialise(chosen, f"{path}/chosen{step}"), sets, percent)
         else:
-            passed = _residual(members, label, reps, most_bits, 0, percent, sets).select("a", "b")
+            passed = _residual(members, label, reps, most_bits, percent, sets).select("a", "b").distinct()
         passed = materialise(passed, f"{path}/passed{step}")
         if passed.isEmpty():
             continue
@@ -390,5 +403,5 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("sid"), F.col("text").cast("string").alias("text"))
     # ids of a size that is checked go to the texts; else both sides are shuffled
-    small = wanted.count() <= 4_000_000
+    small = wanted.count() <= 1_000_000
     return rows.join(F.broadcast(wanted) if small else wanted, "sid").select("sid", "s1", "text").mapInArrow(each, "sid long, members binary")

@@ -93,42 +93,50 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def fold_merges(piece: Column, table: Column) -> Column:
-    """array<int> of ids of a binary column, by higher-order functions. table: a column of rank_literal()."""
-    rank = lambda h: F.try_element_at(F.get(table, F.xxhash64(h).bitwiseAND(RANK_BUCKETS - 1).cast("int")), h)
-    none = F.array().cast("array<int>")
+#: Low bits of a pair's number that hold its place in the piece; so many bytes a folded piece may have.
+PLACE_BITS = 12
+_PLACES = (1 << PLACE_BITS) - 1
 
-    def step(state: Column, _: Column) -> Column:
-        parts, pairs = state["parts"], state["pairs"]
 
-        def join(at: Column) -> Column:  # at: place of the pair of least rank, from 1
-            left, right = F.get(parts, at - 2), F.get(parts, at + 1)
+def fold_merges(piece: Column, table: Column) -> Column:
+    """array<int> of ids of a binary column, by higher-order functions. table: a column of rank_literal().
 
-            def put(new: Column) -> Column:
-                return F.struct(
-                    F.concat(F.slice(parts, 1, at - 1), F.array(new), F.slice(parts, at + 2, F.size(parts))).alias("parts"),
-                    F.concat(
-                        F.slice(pairs, 1, F.greatest(at - 2, F.lit(0))),
-                        F.when(at > 1, F.array(rank(F.concat(left, new)))).otherwise(none),
-                        F.when(at < F.size(pairs), F.array(rank(F.concat(new, right)))).otherwise(none),
-                        F.slice(pairs, at + 2, F.size(pairs)),
-                    ).alias("pairs"),
-                )
+    The fold's state is the places where parts start and, for each adjacent pair that has a rank, one number: rank, then
+    place, so that the least number is the pair to join. Steps alternate: find it, then join it and look up its two neighbours.
+    """
+    return _let(F.hex(piece), lambda digits: _folded(digits, F.octet_length(digits) / 2, table))
 
-            return _let(F.concat(F.get(parts, at - 1), F.get(parts, at)), put)
 
-        least = F.array_min(pairs)
-        return F.when(least.isNull(), state).otherwise(_let(F.array_position(pairs, least).cast("int"), join))
+def _folded(digits: Column, length: Column, table: Column) -> Column:
+    """fold_merges() of a piece's hexadecimal digits."""
+    size = length.cast("int")
 
-    size = F.octet_length(piece)
-    single = F.transform(F.sequence(F.lit(1), size), lambda i: F.hex(F.substring(piece, i, 1)))
+    def rank(start: Column, end: Column) -> Column:
+        part = F.substring(digits, start * 2 + 1, (end - start) * 2)
+        return F.try_element_at(F.get(table, F.xxhash64(part).bitwiseAND(RANK_BUCKETS - 1).cast("int")), part)
 
-    def fold(parts: Column) -> Column:
-        pairs = F.transform(F.sequence(F.lit(1), size - 1), lambda i: rank(F.concat(F.get(parts, i - 1), F.get(parts, i))))
-        return F.aggregate(F.sequence(F.lit(2), size), F.struct(parts.alias("parts"), pairs.alias("pairs")), step, lambda s: F.transform(s["parts"], rank))
+    def number(start: Column, end: Column) -> Column:
+        return F.shiftleft(rank(start, end).cast("long"), PLACE_BITS) + start
 
-    whole = lambda r: F.when(r.isNotNull(), F.array(r)).when(size < 2, none).otherwise(_let(single, fold))
-    return F.when(size == 0, none).otherwise(_let(rank(F.hex(piece)), whole))
+    def step(state: Column, _: Column) -> Column:
+        starts, pairs, at = state["starts"], state["pairs"], state["at"]
+        left, own, right, after = F.get(starts, at - 2), F.get(starts, at - 1), F.get(starts, at), F.get(starts, at + 1)
+        place = lambda p: p.bitwiseAND(_PLACES)
+        kept = F.filter(pairs, lambda p: (place(p) != own) & (place(p) != right) & (place(p) != F.coalesce(left, F.lit(-1))))
+        around = F.array_append(F.array_append(kept, number(left, F.coalesce(after, size))), F.when(after.isNotNull(), number(own, F.coalesce(F.get(starts, at + 2), size))))
+        joined = F.struct(F.array_remove(starts, right).alias("starts"), around.alias("pairs"), F.lit(0).alias("at"))
+        found = F.coalesce(F.array_position(starts, place(F.array_min(pairs)).cast("int")).cast("int"), F.lit(-1))
+        return F.when(at == 0, F.struct(starts.alias("starts"), pairs.alias("pairs"), found.alias("at"))).when(at > 0, joined).otherwise(state)
+
+    def ids(state: Column) -> Column:
+        starts = state["starts"]
+        return F.transform(starts, lambda x, i: rank(x, F.coalesce(F.get(starts, i + 1), size)))
+
+    first = F.transform(F.sequence(F.lit(0), size - 2), lambda i: number(i, i + 2))
+    begin = F.struct(F.sequence(F.lit(0), size - 1).alias("starts"), first.alias("pairs"), F.lit(0).alias("at"))
+    folded = F.aggregate(F.sequence(F.lit(1), size * 2 - 1), begin, step, ids)
+    none = F.array().cast("array<int>")
+    return F.when(size == 0, none).when(size == 1, F.array(rank(F.lit(0), size))).otherwise(_let(rank(F.lit(0), size), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded)))
 
 
 def pieces(docs: DataFrame, pattern: str, text: str = "text", kept: int = 1 << 18) -> DataFrame:
@@ -193,7 +201,7 @@ _splitters: dict[str, tuple] = {}
 class Codec:
     """A vocabulary with the ids of frequent pieces, broadcast to the workers as one Arrow table."""
 
-    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str, known: pa.Table | None = None, fold_bytes: int = 1024):
+    def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str, known: pa.Table | None = None, fold_bytes: int = 512):
         self.ranks, self.pattern, self.fold_bytes = ranks, pattern, fold_bytes
         self.name, self.literal = uuid.uuid4().hex, rank_literal(ranks)
         known = known if known is not None else pa.table({"piece": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
@@ -261,14 +269,15 @@ class Codec:
         words = _let(self.literal, lambda table: F.transform("__words", lambda w: fold_merges(w, table)))
 
         def joined(folded: Column) -> Column:
-            return F.flatten(F.transform("__runs", lambda r: F.when(F.get(r, F.lit(0)) < 0, F.get(folded, -F.get(r, F.lit(0)) - 1)).otherwise(r)))
+            return F.transform("__runs", lambda r: F.when(F.get(r, F.lit(0)) < 0, F.get(folded, -F.get(r, F.lit(0)) - 1)).otherwise(r))
 
-        return self._split(docs, text, keep).select(*[F.col(f"`{c}`") for c in keep], _let(words, joined).alias("ids"))
+        # flatten stays outside of lambdas, where Spark compiles it
+        return self._split(docs, text, keep).select(*[F.col(f"`{c}`") for c in keep], F.flatten(_let(words, joined)).alias("ids"))
 
     def _digits(self, ids: Column, digits: list[str]) -> Column:
         """binary: the hexadecimal digits of each id, one after another; a question mark, which is no digit, for what is unknown."""
         table = F.split(F.lit(" ".join(digits)), " ")
-        made = _let(table, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.get(t, i)), "", "?")))
+        made = F.unhex(F.array_join(_let(table, lambda t: F.transform(ids, lambda i: F.get(t, i))), "", "?"))
         return F.when(ids.isNotNull(), F.coalesce(made, F.raise_error(F.lit("an id is not in the vocabulary")).cast("binary")))
 
     def bytes_of(self, ids: Column) -> Column:
@@ -306,7 +315,7 @@ def frequent(counted: DataFrame, most: int) -> DataFrame:
     return counted.where(level >= F.lit(least) if least is not None else F.lit(False)).select("piece")
 
 
-def train_free_codec(docs: DataFrame, ranks_path: str, pattern: str, cached_pieces: int = 600_000, cached_bytes: int = 64, fold_bytes: int = 1024, text: str = "text", path: str | None = None) -> Codec:
+def train_free_codec(docs: DataFrame, ranks_path: str, pattern: str, cached_pieces: int = 600_000, cached_bytes: int = 64, fold_bytes: int = 512, text: str = "text", path: str | None = None) -> Codec:
     """A codec whose broadcast holds the ids of up to cached_pieces frequent pieces of docs, each of up to cached_bytes bytes."""
     spark = docs.sparkSession
     codec = Codec(spark, load_ranks(ranks_path), pattern, fold_bytes=fold_bytes)

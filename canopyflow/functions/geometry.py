@@ -244,6 +244,80 @@ def intersection_area(p: np.ndarray, q: np.ndarray) -> float:
     return abs(total)
 
 
+def ring_batch(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rings, most vertices, 2) anticlockwise, the last vertex repeated up to the width, and the numbers of vertices.
+
+    values: (vertices, 2) of all rings, one after another; a closing vertex that repeats the first one is left out.
+    """
+    n = np.diff(offsets)
+    if not len(values):
+        return np.zeros((len(n), 1, 2)), n
+    first, last = values[np.minimum(offsets[:-1], len(values) - 1)], values[np.maximum(offsets[1:] - 1, 0)]
+    n = n - ((n > 1) & (first == last).all(1))
+    at = np.minimum(np.arange(max(int(n.max(initial=1)), 1)), np.maximum(n - 1, 0)[:, None])
+    out = values[np.minimum(offsets[:-1, None] + at, len(values) - 1)]
+    clockwise = batch_areas(out) < 0
+    back = np.maximum(n - 1, 0)[:, None] - at
+    out[clockwise] = np.take_along_axis(out, back[:, :, None], 1)[clockwise]
+    return out, n
+
+
+def batch_areas(rings: np.ndarray) -> np.ndarray:
+    """Signed areas of padded rings."""
+    d = rings - rings[:, :1]
+    after = np.roll(d, -1, axis=1)
+    return ((d[:, :, 0] * after[:, :, 1] - after[:, :, 0] * d[:, :, 1]).sum(1)) / 2
+
+
+def batch_convex(rings: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether each padded anticlockwise ring is a convex polygon: it turns left at every vertex, and once around in all."""
+    k = np.arange(rings.shape[1])
+    after = np.take_along_axis(rings, np.where(k + 1 < n[:, None], k + 1, 0)[:, :, None], 1)
+    side = after - rings
+    onward = np.take_along_axis(side, np.where(k + 1 < n[:, None], k + 1, 0)[:, :, None], 1)
+    turn = side[:, :, 0] * onward[:, :, 1] - side[:, :, 1] * onward[:, :, 0]
+    angle = np.arctan2(turn, (side * onward).sum(2))
+    real = k < n[:, None]
+    scale = np.abs(rings - rings[:, :1]).max(axis=(1, 2)) ** 2
+    return (n >= 3) & ((turn >= -1e-12 * scale[:, None]) | ~real).all(1) & (np.abs(np.where(real, angle, 0).sum(1) - 2 * math.pi) < 1e-6)
+
+
+def batch_intersections(p: np.ndarray, np_: np.ndarray, q: np.ndarray, nq: np.ndarray) -> np.ndarray:
+    """Areas shared by pairs of padded anticlockwise rings. Convex pairs are clipped all together, edge by edge; pairs whose
+    bounds are apart are 0; the rest is done pair by pair."""
+    out = np.zeros(len(p))
+    meet = (np_ > 2) & (nq > 2) & (np.minimum(p.max(1), q.max(1)) > np.maximum(p.min(1), q.min(1))).all(1)
+    convex = meet.copy()
+    convex[meet] = batch_convex(p[meet], np_[meet]) & batch_convex(q[meet], nq[meet])
+    for i in np.flatnonzero(meet & ~convex):
+        out[i] = intersection_area(p[i, : np_[i]], q[i, : nq[i]])
+    at = np.flatnonzero(convex)
+    for some in np.array_split(at, len(at) // 20_000 + 1):
+        shift = p[some, :1]
+        poly, n, clip, m = p[some] - shift, np_[some].copy(), q[some] - shift, nq[some]
+        for k in range(clip.shape[1]):
+            a, b = clip[:, k], clip[np.arange(len(some)), np.where(k + 1 < m, k + 1, 0)]
+            own = np.arange(poly.shape[1])
+            after = np.take_along_axis(poly, np.where(own + 1 < n[:, None], own + 1, 0)[:, :, None], 1)
+            edge = (b - a)[:, None]
+            height = lambda v: edge[:, :, 0] * (v[:, :, 1] - a[:, None, 1]) - edge[:, :, 1] * (v[:, :, 0] - a[:, None, 0])  # noqa: B023, E731
+            h0, h1 = height(poly), height(after)
+            real = own < n[:, None]
+            skip = (k >= m)[:, None]  # this ring has no such edge
+            stays = real & ((h0 >= 0) | skip)
+            cuts = real & ((h0 >= 0) != (h1 >= 0)) & ~skip
+            t = h0 / np.where(cuts, h0 - h1, 1.0)
+            both = np.stack([poly, poly + (after - poly) * t[:, :, None]], 2).reshape(len(some), -1, 2)
+            kept = np.stack([stays, cuts], 2).reshape(len(some), -1)
+            n = kept.sum(1)
+            order = np.argsort(~kept, axis=1, kind="stable")[:, : max(int(n.max(initial=1)), 1)]
+            poly = np.take_along_axis(both, order[:, :, None], 1)
+        real = np.arange(poly.shape[1]) < n[:, None]
+        poly = np.where(real[:, :, None], poly, poly[:, :1])
+        out[some] = np.where(n > 2, np.maximum(batch_areas(poly), 0.0), 0.0)
+    return out
+
+
 def convex_hull(p: np.ndarray) -> np.ndarray:
     """Counter-clockwise hull by monotone chains."""
     pts = np.unique(p, axis=0)

@@ -8,7 +8,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -52,10 +55,19 @@ def box_intersection(a: Column, b: Column) -> Column:
     return F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0))
 
 
-@F.pandas_udf(DoubleType())
-def ring_intersection(a: pd.Series, b: pd.Series) -> pd.Series:
+def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rings of an Arrow column as ring_batch() gives them; null is a ring without vertices."""
+    lists = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    points = lists.flatten()
+    values = np.stack([points.field(c).to_numpy(zero_copy_only=False) for c in ("x", "y")], 1)
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+    return G.ring_batch(values, np.concatenate([[0], np.cumsum(size)]).astype(np.int64))
+
+
+@F.arrow_udf(DoubleType())
+def ring_intersection(a: pa.Array, b: pa.Array) -> pa.Array:
     """Area shared by two rings."""
-    return pd.Series([G.intersection_area(G.as_points(p), G.as_points(q)) for p, q in zip(a, b)], dtype="float64")
+    return pa.array(G.batch_intersections(*_padded(a), *_padded(b)), pa.float64())
 
 
 @F.pandas_udf(BooleanType())
@@ -249,8 +261,6 @@ def greedy_one_to_one(pairs: DataFrame, left: str, right: str, order: list[tuple
 
 def hungarian(cost) -> list[tuple[int, int]]:
     """Optimal assignment of a cost matrix (rows <= columns after transposition), by shortest augmenting paths."""
-    import numpy as np
-
     c = np.asarray(cost, dtype=float)
     if c.size == 0:
         return []

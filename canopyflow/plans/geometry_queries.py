@@ -73,7 +73,10 @@ def j1(spark: SparkSession, sf: str) -> DataFrame:
 def c5(spark: SparkSession, sf: str) -> DataFrame:
     """The polygon kernel on turned boxes must give the boxes' own IoU."""
     turned = D.rings(crowns(spark, sf), 0.3).select("om_id", "crown_idx", "x", "y", "area", "ring")
-    pairs = M.near_pairs(turned, turned, RADIUS, F.col("om_id_b") == F.col("om_id") + 1)
+    near = turned.select("om_id", "crown_idx", "x", "y")
+    ids = M.near_pairs(near, near, RADIUS, F.col("om_id_b") == F.col("om_id") + 1).select("crown_idx", "crown_idx_b")
+    own = turned.select("crown_idx", "area", "ring")  # rings join the pairs that are left, not the cells
+    pairs = ids.join(own, "crown_idx").join(own.withColumnsRenamed({c: f"{c}_b" for c in own.columns}), "crown_idx_b")
     i = M.ring_intersection("ring", "ring_b")
     return pairs.withColumn("i", i).select(F.col("crown_idx").alias("prev"), F.col("crown_idx_b").alias("curr"), r9(F.col("i") / (F.col("area") + F.col("area_b") - F.col("i"))).alias("iou"))
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from canopyflow.llm import byte_bpe, language_id, mixing, near_dedup, quality
 from canopyflow.session import materialise, shared_dir, ship, table
@@ -19,7 +20,7 @@ from canopyflow.session import materialise, shared_dir, ship, table
 #: Least posterior of the predicted language; least quality score.
 LEAST_LANGUAGE, LEAST_QUALITY = 0.5, 0.3
 #: Ids up to which a list of removed documents is broadcast; a longer one is joined by a shuffle.
-SMALL_IDS = 4_000_000
+SMALL_IDS = 1_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +40,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of least doc_id, of each near-duplicate group; of a repeated doc_id one row."""
+    """Keeps one document, that of least doc_id, of each near-duplicate group; of a repeated doc_id one row of each different text."""
     ship(spark)
     own = docs.columns
     found = near_dedup.near_duplicates(docs, k=5, percent=80)
@@ -47,7 +48,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     removed, repeated = found.where("not kept").select("doc_id"), found.where("kept and rows > 1").select("doc_id")
     out = docs.join(F.broadcast(removed) if removed.count() <= SMALL_IDS else removed, "doc_id", "left_anti")
     if not repeated.isEmpty():
-        twice = out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+        whole = F.struct(*[F.col(f"`{c}`") for c in own])
+        first = F.row_number().over(W.partitionBy("doc_id", "text").orderBy(F.to_json(whole)))
+        twice = out.join(repeated, "doc_id", "left_semi").withColumn("__r", first).where("__r = 1").drop("__r")
         out = out.join(repeated, "doc_id", "left_anti").unionByName(twice)
     return out.select(*[F.col(f"`{c}`") for c in own])
 

@@ -307,8 +307,8 @@ def batch_intersections(p: np.ndarray, np_: np.ndarray, q: np.ndarray, nq: np.nd
             stays = real & ((h0 >= 0) | skip)
             cuts = real & ((h0 >= 0) != (h1 >= 0)) & ~skip
             t = h0 / np.where(cuts, h0 - h1, 1.0)
-            both = np.stack([poly, poly + (after - poly) * t[:, :, None]], 2).reshape(len(some), -1, 2)
-            kept = np.stack([stays, cuts], 2).reshape(len(some), -1)
+            both = np.stack([poly, poly + (after - poly) * t[:, :, None]], 2).reshape(len(some), 2 * poly.shape[1], 2)
+            kept = np.stack([stays, cuts], 2).reshape(len(some), 2 * poly.shape[1])
             n = kept.sum(1)
             order = np.argsort(~kept, axis=1, kind="stable")[:, : max(int(n.max(initial=1)), 1)]
             poly = np.take_along_axis(both, order[:, :, None], 1)

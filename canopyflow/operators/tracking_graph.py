@@ -223,3 +223,41 @@ def gap_fill_step(ends: DataFrame, candidates: DataFrame, taken: DataFrame, max_
     ok = free.where((F.col("distance") <= max_dist) & (F.col("iou") >= min_iou)).withColumn("score", F.col("iou") - F.col("distance") / max_dist)
     w = W.partitionBy("start").orderBy(F.desc("threshold"), F.desc("score"), "cand")
     return ok.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def fill_gaps(chains_: DataFrame, starts: DataFrame, crowns: DataFrame, cache: DataFrame, flights: int, max_dist: float = 25.0, min_iou: float = 0.20, duplicate_iou: float = 0.70, path: str | None = None) -> DataFrame:
+    """The chains of `starts` prolonged by crowns of lower layers, first forwards, then backwards, flight by flight.
+
+    crowns and cache: om_id, crown_idx, x, y, area, ring; cache also threshold. Returns (start, om_id, crown_idx, threshold,
+    iou, distance, direction) of the crowns appended. A chain is prolonged at its last (first) crown into the next (last)
+    flight by gap_fill_step(); a crown that duplicates one of that flight, appended ones included, is left out. A candidate
+    that several chains ask for goes to the best score, then the least start: unlike a walk chain by chain, the
+    result does not depend on the chains' order. Tables go below the shared folder, one a flight and direction.
+    """
+    from canopyflow.operators.matching import near_pairs, ring_intersection
+
+    path = path or shared_dir(crowns.sparkSession)
+    own = ["om_id", "crown_idx", "x", "y", "area", "ring"]
+    place = crowns.select(F.struct("om_id", "crown_idx").alias("node"), *own)
+    members = materialise(chains_.join(starts.select("start"), "start", "left_semi").join(place, "node").select("start", *own), f"{path}/members")
+    present, added, made = crowns.select(*own), [], "start, om_id, crown_idx, threshold, iou, distance, direction, x, y, area, ring".split(", ")
+    for direction in (1, -1):
+        for om in range(1, flights) if direction > 0 else range(flights, 1, -1):
+            edge = members.groupBy("start").agg((F.max("om_id") if direction > 0 else F.min("om_id")).alias("om_id")).where(F.col("om_id") == om)
+            ends = members.join(edge, ["start", "om_id"]).select(F.col("start").alias("chain"), "x", "y", "area", "ring")
+            free = cache.where(F.col("om_id") == om + direction).withColumn("cand", F.struct("threshold", "crown_idx"))
+            share = F.col("i") / (F.col("area") + F.col("area_b") - F.col("i"))
+            rated = lambda pairs: pairs.withColumn("i", ring_intersection("ring", "ring_b")).withColumn("iou", share)  # noqa: B023, E731
+            asked = rated(near_pairs(ends, free, max_dist, F.lit(True)))
+            asked = asked.select(F.col("chain").alias("start"), F.col("cand_b").alias("cand"), F.col("threshold_b").alias("threshold"), "iou", "distance", *[F.col(f"{c}_b").alias(c) for c in own])
+            there = present.where(F.col("om_id") == om + direction)
+            taken = rated(near_pairs(free.select("cand", "x", "y", "area", "ring"), there.select("x", "y", "area", "ring"), max_dist, F.lit(True))).select("cand", "iou")
+            best = gap_fill_step(asked, free, taken, max_dist, min_iou, duplicate_iou)
+            once = F.row_number().over(W.partitionBy("cand").orderBy(F.desc("score"), "start"))
+            new = best.withColumn("__o", once).where("__o = 1").withColumn("direction", F.lit(direction)).select(*made)
+            name = f"{path}/{'forward' if direction > 0 else 'backward'}{om}"
+            new = materialise(new, name)
+            added.append(name)
+            members = members.unionByName(new.select("start", *own))
+            present = present.unionByName(new.select(*own))
+    return crowns.sparkSession.read.schema(new.schema).parquet(*added).drop("x", "y", "area", "ring") if added else members.limit(0)

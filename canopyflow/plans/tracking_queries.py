@@ -242,3 +242,17 @@ def u4(spark: SparkSession, sf: str) -> DataFrame:
     pairs, i = M.near_pairs(c, c, 60.0, F.col("chain_id") < F.col("chain_id_b")), overlap("", "_b")
     rated = pairs.select("chain_id", "chain_id_b", (i / (F.col("area") + F.col("area_b") - i)).alias("iou"), (i / F.col("area")).alias("share_a"), (i / F.col("area_b")).alias("share_b"))
     return X.spatial_dedup_by_score(c, rated, 0.5, 0.2).select("chain_id", "area")
+
+
+@register("x9_gap_fill")
+def x9(spark: SparkSession, sf: str) -> DataFrame:
+    """Chains over two thirds of the crowns; the rest are the lower layer, next to copies that duplicate them."""
+    from canopyflow.session import materialise, shared_dir
+
+    c = D.rings(crowns(spark, sf)).select("om_id", "crown_idx", "x", "y", "area", "ring")
+    kept, cut = c.where("crown_idx % 3 <> 0"), c.where("crown_idx % 3 = 0").withColumn("threshold", F.lit(0.25))
+    cache = cut.unionByName(kept.where("crown_idx % 5 = 0").withColumn("threshold", F.lit(0.35)))
+    e = materialise(plain_edges(spark, sf).where("prev.crown_idx % 3 <> 0 and curr.crown_idx % 3 <> 0"), f"{shared_dir(spark)}/edges")
+    n = kept.select(F.struct("om_id", "crown_idx").alias("node"))
+    made = X.fill_gaps(X.chains(n, e, 5), n.select(F.col("node").alias("start")), kept, cache, 5)
+    return made.select(F.col("start.crown_idx").alias("start"), "om_id", "crown_idx", "threshold", r9("iou").alias("iou"), "direction")

@@ -54,6 +54,21 @@ def test_one_to_one_detections_equal_the_sequence(spark):
     assert {(x["gt_id"], x["pred_id"]) for x in M.detection_one_to_one(d, 0.3).collect()} == want
 
 
+def test_gaps_are_filled_to_both_sides(spark):
+    def box(om, idx, x, threshold=None):
+        row = (om, idx, x + 2.0, 2.0, 16.0, [(x, 0.0), (x + 4.0, 0.0), (x + 4.0, 4.0), (x, 4.0)])
+        return row if threshold is None else (*row, threshold)
+
+    shape = "om_id int, crown_idx long, x double, y double, area double, ring array<struct<x:double,y:double>>"
+    crowns = spark.createDataFrame([box(2, 1, 0.0), box(3, 1, 0.5), box(4, 9, 1.2)], shape)
+    cache = spark.createDataFrame([box(1, 5, 0.0, 0.2), box(4, 6, 1.0, 0.4), box(4, 7, -2.0, 0.3), box(5, 8, 50.0, 0.4), box(5, 2, -1.0, 0.3)], f"{shape}, threshold double")
+    node = lambda om, k: (om, k)
+    chain = spark.createDataFrame([(node(2, 1), 0, node(2, 1)), (node(2, 1), 1, node(3, 1))], "start struct<om_id:int,crown_idx:long>, position int, node struct<om_id:int,crown_idx:long>")
+    got = X.fill_gaps(chain, chain.select("start").distinct(), crowns, cache, 5).collect()
+    # (4, 6) duplicates a crown of its flight, (5, 8) is far away; (4, 7) is next best, then (5, 2) follows it
+    assert {(x["om_id"], x["crown_idx"], x["direction"]) for x in got} == {(4, 7, 1), (5, 2, 1), (1, 5, -1)}
+
+
 def test_patched_edges(spark):
     nodes = spark.createDataFrame([(i,) for i in range(6)], "node long")
     edges = spark.createDataFrame([(0, 1)], "prev long, curr long")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from canopyflow.llm import textnp as T
 from canopyflow.session import materialise, shared_dir
 
-RANK_BUCKETS = 1 << 16
+RANK_BUCKETS = 1 << 15
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -202,13 +202,16 @@ class Codec:
     """A vocabulary with the ids of frequent pieces, broadcast to the workers as one Arrow table."""
 
     def __init__(self, spark: SparkSession, ranks: dict[bytes, int], pattern: str, known: pa.Table | None = None, fold_bytes: int = 512):
-        self.ranks, self.pattern, self.fold_bytes = ranks, pattern, fold_bytes
-        self.name, self.literal = uuid.uuid4().hex, rank_literal(ranks)
-        known = known if known is not None else pa.table({"piece": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+        self.spark, self.ranks, self.pattern, self.fold_bytes = spark, ranks, pattern, fold_bytes
+        self.literal = rank_literal(ranks)
+        self.hold(known if known is not None else pa.table({"piece": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))}))
+
+    def hold(self, known: pa.Table) -> None:
+        """Broadcast the ids of these pieces (piece, ids)."""
         sink = pa.BufferOutputStream()
         with pa.ipc.new_stream(sink, known.schema) as out:
             out.write_table(known)
-        self.held = spark.sparkContext.broadcast((sink.getvalue().to_pybytes(), ranks))
+        self.name, self.held = uuid.uuid4().hex, self.spark.sparkContext.broadcast((sink.getvalue().to_pybytes(), self.ranks))
 
     def __getstate__(self) -> dict:  # what the workers need
         return {"name": self.name, "held": self.held, "pattern": self.pattern, "fold_bytes": self.fold_bytes}
@@ -231,7 +234,8 @@ class Codec:
         return _splitters[self.name]
 
     def _split(self, docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-        """The keep columns with runs array<array<int>> (runs of ids, or one negative reference) and words array<binary>."""
+        """The keep columns with runs array<array<int>> (runs of ids, or one negative reference), their bytes
+        array<binary> (little-endian; null for a reference) and words array<binary>."""
         codec = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,7 +244,7 @@ class Codec:
                 texts = batch.column(batch.num_columns - 1)
                 _, offsets = T.buffers(texts)
                 for i, j in T.slices(offsets):
-                    flat, cuts, first, words, word_first = [], [np.zeros(1, np.int64)], [0], [], [0]
+                    flat, cuts, first, words, word_first, raw = [], [np.zeros(1, np.int64)], [0], [], [0], []
                     at = runs = 0
                     for t in texts.slice(i, j - i):
                         t = t.as_py()
@@ -250,6 +254,8 @@ class Codec:
                             edges = np.unique(np.concatenate([gap, gap + 1, [len(codes)]]))
                             edges = edges[edges > 0]
                             flat.append(codes)
+                            blob, begins = codes.tobytes(), np.concatenate([[0], edges[:-1]])
+                            raw += [None if r else blob[4 * u : 4 * v] for r, u, v in zip((codes[begins] < 0).tolist(), begins.tolist(), edges.tolist())]
                             cuts.append(edges + at)
                             at, runs = at + len(codes), runs + len(edges)
                             words += splitter.forget()
@@ -257,22 +263,35 @@ class Codec:
                         word_first.append(len(words))
                     values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
                     inner = pa.ListArray.from_arrays(pa.array(np.concatenate(cuts), pa.int32()), values)
-                    made = [pa.ListArray.from_arrays(pa.array(first, pa.int32()), inner), pa.ListArray.from_arrays(pa.array(word_first, pa.int32()), pa.array(words, pa.binary()))]
-                    yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), *made], names=[*batch.schema.names[:-1], "__runs", "__words"])
+                    lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), x)
+                    made = [lists(first, inner), lists(first, pa.array(raw, pa.binary())), lists(word_first, pa.array(words, pa.binary()))]
+                    yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), *made], names=[*batch.schema.names[:-1], "__runs", "__bytes", "__words"])
 
         rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__in"))
         kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-        return rows.mapInArrow(run, ", ".join([*kinds, "__runs array<array<int>>", "__words array<binary>"]))
+        return rows.mapInArrow(run, ", ".join([*kinds, "__runs array<array<int>>", "__bytes array<binary>", "__words array<binary>"]))
 
-    def encode(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-        """The keep columns with ids array<int>."""
+    def _folded(self, docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
+        """_split() with folded array<array<int>>: the ids of words."""
         words = _let(self.literal, lambda table: F.transform("__words", lambda w: fold_merges(w, table)))
+        return self._split(docs, text, keep).select(*[F.col(f"`{c}`") for c in keep], "__runs", "__bytes", words.alias("__folded"))
 
-        def joined(folded: Column) -> Column:
-            return F.transform("__runs", lambda r: F.when(F.get(r, F.lit(0)) < 0, F.get(folded, -F.get(r, F.lit(0)) - 1)).otherwise(r))
+    @staticmethod
+    def _ids() -> Column:
+        """array<int>: runs with every reference replaced by its word's ids. flatten stays outside of lambdas, where Spark compiles it."""
+        return F.flatten(_let(F.col("__folded"), lambda folded: F.transform("__runs", lambda r: F.when(F.get(r, F.lit(0)) < 0, F.get(folded, -F.get(r, F.lit(0)) - 1)).otherwise(r))))
 
-        # flatten stays outside of lambdas, where Spark compiles it
-        return self._split(docs, text, keep).select(*[F.col(f"`{c}`") for c in keep], F.flatten(_let(words, joined)).alias("ids"))
+    def _id_bytes(self) -> Column:
+        """binary: the same ids as little-endian unsigned 32-bit integers, from the runs' bytes and the words' ids."""
+        little = lambda i: F.lpad(F.hex(F.shiftright(i, 0)), 8, "0")
+        turned = lambda h: F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
+        word = lambda ids: F.array_join(F.transform(ids, lambda i: turned(little(i))), "")
+        part = lambda raw, r, folded: F.when(raw.isNotNull(), F.hex(raw)).otherwise(word(F.get(folded, -F.get(r, F.lit(0)) - 1)))
+        return F.unhex(F.array_join(_let(F.col("__folded"), lambda folded: F.zip_with("__bytes", "__runs", lambda raw, r: part(raw, r, folded))), ""))
+
+    def encode(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+        """The keep columns with ids array<int>."""
+        return self._folded(docs, text, keep).select(*[F.col(f"`{c}`") for c in keep], self._ids().alias("ids"))
 
     def _digits(self, ids: Column, digits: list[str]) -> Column:
         """binary: the hexadecimal digits of each id, one after another; a question mark, which is no digit, for what is unknown."""
@@ -287,10 +306,6 @@ class Codec:
             digits[r] = p.hex()
         return self._digits(ids, digits)
 
-    def words_of(self, ids: Column) -> Column:
-        """binary: array<int> ids as little-endian unsigned 32-bit integers."""
-        return self._digits(ids, [r.to_bytes(4, "little").hex() for r in range(max(self.ranks.values(), default=0) + 1)])
-
     def decode(self, encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """The keep columns with bytes binary; null ids give null."""
         return encoded.select(*[F.col(f"`{c}`") for c in keep], self.bytes_of(F.col(f"`{ids}`").cast("array<int>")).alias("bytes"))
@@ -298,8 +313,8 @@ class Codec:
     def digests(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """The keep columns with n_tokens, ids_sha256 and decoded_sha256: a round trip without moving the ids."""
         own = [F.col(f"`{c}`") for c in keep]
-        encoded = self.encode(docs, text, keep)
-        return encoded.select(*own, F.size("ids").cast("long").alias("n_tokens"), F.sha2(self.words_of(F.col("ids")), 256).alias("ids_sha256"), F.sha2(self.bytes_of(F.col("ids")), 256).alias("decoded_sha256"))
+        encoded = self._folded(docs, text, keep).select(*own, self._ids().alias("__ids"), F.sha2(self._id_bytes(), 256).alias("ids_sha256"))
+        return encoded.select(*own, F.size("__ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(self.bytes_of(F.col("__ids")), 256).alias("decoded_sha256"))
 
 
 def frequent(counted: DataFrame, most: int) -> DataFrame:
@@ -315,7 +330,7 @@ def frequent(counted: DataFrame, most: int) -> DataFrame:
     return counted.where(level >= F.lit(least) if least is not None else F.lit(False)).select("piece")
 
 
-def train_free_codec(docs: DataFrame, ranks_path: str, pattern: str, cached_pieces: int = 600_000, cached_bytes: int = 64, fold_bytes: int = 512, text: str = "text", path: str | None = None) -> Codec:
+def train_free_codec(docs: DataFrame, ranks_path: str, pattern: str, cached_pieces: int = 300_000, cached_bytes: int = 64, fold_bytes: int = 512, text: str = "text", path: str | None = None) -> Codec:
     """A codec whose broadcast holds the ids of up to cached_pieces frequent pieces of docs, each of up to cached_bytes bytes."""
     spark = docs.sparkSession
     codec = Codec(spark, load_ranks(ranks_path), pattern, fold_bytes=fold_bytes)
@@ -323,5 +338,5 @@ def train_free_codec(docs: DataFrame, ranks_path: str, pattern: str, cached_piec
     counted = materialise(counted, f"{path or shared_dir(spark)}/pieces")
     top = frequent(counted, cached_pieces).repartition(2 * spark.sparkContext.defaultParallelism)
     folded = top.select("piece", _let(codec.literal, lambda table: fold_merges(F.col("piece").cast("binary"), table)).alias("ids"))
-    known = folded.toArrow()
-    return Codec(spark, codec.ranks, pattern, known, fold_bytes)
+    codec.hold(folded.toArrow())
+    return codec

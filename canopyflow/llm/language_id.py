@@ -76,7 +76,8 @@ def ngram_buckets(chars: np.ndarray, offsets: np.ndarray, buckets: int) -> Itera
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int = 1 << 16, alpha: float = 0.5) -> LanguageModel:
-    """Fit on every row of docs with a non-null lang. buckets: a power of two; alpha: added to each count."""
+    """Fit on every row of docs with a non-null lang. buckets: a power of two, halved until the matrix of all
+    languages is within MODEL_BYTES; alpha: added to each count."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -104,10 +105,13 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", buckets: int
             )
 
     rows = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{lang}`").cast("string").alias("lang")).where("lang is not null")
+    many = rows.select("lang").distinct().count()
+    while many * buckets * 8 > MODEL_BYTES and buckets > 1 << 8:
+        buckets >>= 1
+    if many * buckets * 8 > MODEL_BYTES:
+        raise ValueError(f"{many} languages exceed the bound of the broadcast matrix")
     found = rows.mapInArrow(count, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     languages = sorted(found["lang"].unique().tolist())
-    if len(languages) * buckets * 8 > MODEL_BYTES:
-        raise ValueError(f"{len(languages)} languages x {buckets} buckets exceed the bound of the broadcast matrix; take fewer buckets")
     counts, docs_of = np.zeros((buckets, len(languages))), np.zeros(len(languages))
     at = found["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(dtype=np.int64)
     bucket, n = found["bucket"].to_numpy(dtype=np.int64), found["n"].to_numpy(dtype=np.float64)

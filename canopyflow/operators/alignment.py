@@ -25,6 +25,13 @@ def centroid_shifts(crowns: DataFrame, radius: float = 30.0, least: int = 15) ->
     return met.groupBy(F.col("om_id_b").alias("om_id")).agg(F.when(ok, F.median(F.col("x") - F.col("x_b"))).alias("dx"), F.when(ok, F.median(F.col("y") - F.col("y_b"))).alias("dy"), F.count("*").alias("n"))
 
 
+def consecutive_shifts(crowns: DataFrame, radius: float = 30.0, least: int = 15, relaxed_radius: float = 50.0, relaxed_least: int = 5) -> DataFrame:
+    """(om_id, dx, dy, n, relaxed): shifts of successive flights; a flight without enough pairs is tried again with relaxed limits."""
+    strict = centroid_shifts(crowns, radius, least).where("dx is not null").select("om_id", "dx", "dy", "n", F.lit(False).alias("relaxed"))
+    again = centroid_shifts(crowns, relaxed_radius, relaxed_least).join(strict.select("om_id"), "om_id", "left_anti").select("om_id", "dx", "dy", "n", F.lit(True).alias("relaxed"))
+    return strict.union(again)
+
+
 def cumulative_shifts(shifts: DataFrame, flights: DataFrame) -> DataFrame:
     """L1: (om_id, dx, dy) relative to the first flight; a flight without a shift of its own carries the one before."""
     w = W.orderBy("om_id")  # a row for each flight

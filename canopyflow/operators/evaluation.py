@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def seeded(key: str, seed: int) -> Column:
+    """A hash to order by that any engine can give: md5 of `seed:key`."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary"))
+
+
 def stratified_split(rows: DataFrame, key: str, label: str, test_share: float = 0.3, seed: int = 42) -> DataFrame:
-    """M1: rows with is_test; in each class the first share by a seeded hash."""
+    """M1: rows with is_test; in each class the first share by the md5 of seed:key."""
     w = W.partitionBy(label)
-    rank = F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), key), key))
+    rank = F.row_number().over(w.orderBy(seeded(key, seed), key))
     return rows.withColumn("is_test", rank <= F.ceil(F.count("*").over(w) * test_share))
 
 
@@ -21,7 +26,7 @@ def leave_out(rows: DataFrame, column: str, value, label: str) -> DataFrame:
 
 def folds(rows: DataFrame, key: str, label: str, k: int = 5, seed: int = 42) -> DataFrame:
     """M5: stratified fold numbers from 0."""
-    return rows.withColumn("fold", F.pmod(F.row_number().over(W.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), key), key)) - 1, F.lit(k)).cast("int"))
+    return rows.withColumn("fold", F.pmod(F.row_number().over(W.partitionBy(label).orderBy(seeded(key, seed), key)) - 1, F.lit(k)).cast("int"))
 
 
 def confusion(rows: DataFrame, truth: str, predicted: str, keys: list[str] = ()) -> DataFrame:

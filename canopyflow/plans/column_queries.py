@@ -338,3 +338,13 @@ def a5(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_dir(spark)}/crowns"
     materialise(rows, path)
     return X.read_crowns(spark, path).select("crown_idx", "confidence", "threshold", "is_augmented")
+
+
+@register("c15_utm_round_trip", "SELECT c_custkey, round(72.5 + c_custkey % 500 / 100.0, 8) AS lon, round(5 + c_custkey % 700 / 10.0, 8) AS lat FROM customer")
+def c15(spark: SparkSession, sf: str) -> DataFrame:
+    """Degrees to metres and back."""
+    lon, lat = F.col("c_custkey") % 500 / 100.0 + 72.5, F.col("c_custkey") % 700 / 10.0 + 5
+    there = table(spark, sf, "customer").select("c_custkey", G.utm(lon, lat, 43).alias("p"))
+    back = G.utm_inverse(F.col("p.x"), F.col("p.y"), 43)
+    fields = [f.name for f in there.select(back.alias("b")).schema["b"].dataType.fields]
+    return there.select("c_custkey", F.round(back[fields[0]], 8).alias("lon"), F.round(back[fields[1]], 8).alias("lat"))

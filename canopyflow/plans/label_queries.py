@@ -117,7 +117,7 @@ def m11(spark: SparkSession, sf: str) -> DataFrame:
     return E.quality_subset(table(spark, sf, "part"), "p_retailprice", 0.25).select("p_partkey")
 
 
-@register("m1_stratified_split")
+@register("m1_stratified_split", f"WITH {BASE_SQL} SELECT doc_id, quality::INTEGER AS quality, row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) <= ceil(count(*) OVER (PARTITION BY quality) * 0.3) AS is_test FROM b WHERE quality <> -1")
 def m1(spark: SparkSession, sf: str) -> DataFrame:
     return E.stratified_split(base(spark, sf).where("quality <> -1"), "doc_id", "quality").select("doc_id", "quality", "is_test")
 
@@ -136,3 +136,8 @@ def m2(spark: SparkSession, sf: str) -> DataFrame:
 def b12(spark: SparkSession, sf: str) -> DataFrame:
     first = F.when(F.col("o_orderkey") % 2 == 0, "").otherwise(F.col("o_orderstatus"))
     return table(spark, sf, "orders").select("o_orderkey", N.first_present(first, F.col("o_orderpriority")).alias("v"))
+
+
+@register("m5_folds", f"WITH {BASE_SQL} SELECT doc_id, ((row_number() OVER (PARTITION BY quality ORDER BY md5('42:' || doc_id), doc_id) - 1) % 5)::INTEGER AS fold FROM b WHERE quality <> -1")
+def m5f(spark: SparkSession, sf: str) -> DataFrame:
+    return E.folds(base(spark, sf).where("quality <> -1"), "doc_id", "quality").select("doc_id", "fold")

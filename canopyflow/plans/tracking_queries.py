@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from canopyflow.operators import alignment as L
 from canopyflow.operators import matching as M
 from canopyflow.operators import reports as P
 from canopyflow.operators import tracking_graph as X
@@ -12,6 +13,7 @@ from canopyflow.plans import standins as D
 from canopyflow.plans.catalog import register
 from canopyflow.plans.geometry_queries import C_SQL, CHAIN_SQL, E_SQL, P_SQL, box_pairs, crowns, nodes, plain_edges
 from canopyflow.plans.series_queries import r9, rounded
+from canopyflow.session import table
 
 BOX = ("minx", "miny", "maxx", "maxy")
 
@@ -256,3 +258,30 @@ def x9(spark: SparkSession, sf: str) -> DataFrame:
     n = kept.select(F.struct("om_id", "crown_idx").alias("node"))
     made = X.fill_gaps(X.chains(n, e, 5), n.select(F.col("node").alias("start")), kept, cache, 5)
     return made.select(F.col("start.crown_idx").alias("start"), "om_id", "crown_idx", "threshold", r9("iou").alias("iou"), "direction")
+
+
+TILES_SQL = """t AS (SELECT l_linenumber AS om_id, l_quantity * 0.1 - 2 AS dy, l_discount * 100 - l_tax * 50 AS dx FROM lineitem), m AS (SELECT om_id, median(dy) AS my, median(dx) AS mx FROM t GROUP BY 1), a AS (SELECT t.om_id, median(abs(dy - my)) AS ay, median(abs(dx - mx)) AS ax FROM t JOIN m ON m.om_id = t.om_id GROUP BY 1),
+r AS (SELECT t.om_id, median(dy) AS dy, median(dx) AS dx, count(*) AS n_inliers FROM t JOIN m ON m.om_id = t.om_id JOIN a ON a.om_id = t.om_id WHERE abs(dy - my) <= greatest(1.5 * 1.4826 * ay, 1e-6) AND abs(dx - mx) <= greatest(1.5 * 1.4826 * ax, 1e-6) GROUP BY 1)"""
+
+
+def tiles(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "lineitem").select(F.col("l_linenumber").alias("om_id"), (F.col("l_quantity") * 0.1 - 2).alias("dy"), (F.col("l_discount") * 100 - F.col("l_tax") * 50).alias("dx"))
+    return L.robust_tile_shift(rows, 1.5)
+
+
+@register("l3_robust_shifts", f"WITH {TILES_SQL} SELECT om_id, round(dy, 8) + 0.0 AS dy, round(dx, 8) + 0.0 AS dx, n_inliers FROM r")
+def l3(spark: SparkSession, sf: str) -> DataFrame:
+    return tiles(spark, sf).select("om_id", (F.round("dy", 8) + F.lit(0.0)).alias("dy"), (F.round("dx", 8) + F.lit(0.0)).alias("dx"), "n_inliers")
+
+
+@register("l1_cumulative_shifts", f"WITH {TILES_SQL} SELECT f.om_id, round(sum(coalesce(dx, 0)) OVER (ORDER BY f.om_id), 8) + 0.0 AS dx, round(sum(coalesce(dy, 0)) OVER (ORDER BY f.om_id), 8) + 0.0 AS dy FROM (SELECT unnest(range(1, 10))::INTEGER AS om_id) f LEFT JOIN r ON r.om_id = f.om_id AND f.om_id % 2 = 0")
+def l1(spark: SparkSession, sf: str) -> DataFrame:
+    flights = spark.range(1, 10).select(F.col("id").cast("int").alias("om_id"))
+    made = L.cumulative_shifts(tiles(spark, sf).where("om_id % 2 = 0").select("om_id", "dx", "dy"), flights)
+    return made.select("om_id", (F.round("dx", 8) + F.lit(0.0)).alias("dx"), (F.round("dy", 8) + F.lit(0.0)).alias("dy"))
+
+
+@register("l7_consecutive_shifts", f"""WITH {P_SQL}, q AS (SELECT m.om_id, a.x - b.x AS dx, a.y - b.y AS dy, row_number() OVER (PARTITION BY prev ORDER BY distance, curr) AS r, row_number() OVER (PARTITION BY curr ORDER BY distance, prev) AS s FROM m JOIN c a ON a.crown_idx = prev JOIN c b ON b.crown_idx = curr)
+SELECT (om_id + 1)::INTEGER AS om_id, CASE WHEN count(*) >= 3 THEN round(median(dx), 9) + 0.0 END AS dx, CASE WHEN count(*) >= 3 THEN round(median(dy), 9) + 0.0 END AS dy, count(*) AS n, count(*) < 40 AS relaxed FROM q WHERE r = 1 AND s = 1 GROUP BY 1""")
+def l7(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(L.consecutive_shifts(crowns(spark, sf), 30.0, 40, 30.0, 3), "dx", "dy")

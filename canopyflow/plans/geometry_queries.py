@@ -13,7 +13,7 @@ from canopyflow.operators.components import components
 from canopyflow.plans import standins as D
 from canopyflow.plans.catalog import register
 from canopyflow.plans.series_queries import r9, rounded
-from canopyflow.session import table
+from canopyflow.session import materialise, shared_dir, table
 from canopyflow.sources.tables import inventory
 
 RADIUS = 30.0
@@ -126,6 +126,11 @@ def plain_edges(spark: SparkSession, sf: str) -> DataFrame:
     return box_pairs(spark, sf).where(F.col("case") != "none").select(node("").alias("prev"), node("_b").alias("curr"), F.round("base_similarity", 9).alias("similarity"), "case")
 
 
+def written_edges(spark: SparkSession, sf: str) -> DataFrame:
+    """plain_edges() written once, for plans that use them several times."""
+    return materialise(plain_edges(spark, sf), f"{shared_dir(spark)}/edges")
+
+
 def nodes(spark: SparkSession, sf: str) -> DataFrame:
     return D.boxes(spark, sf).select(F.struct("om_id", "crown_idx").alias("node"))
 
@@ -137,7 +142,7 @@ chains AS (SELECT * FROM walk UNION ALL SELECT crown_idx, 0, crown_idx FROM boxe
 
 @register("x2_chains", f"WITH RECURSIVE {CHAIN_SQL} SELECT start, position::INTEGER AS position, node FROM chains")
 def x2(spark: SparkSession, sf: str) -> DataFrame:
-    return X.chains(nodes(spark, sf), plain_edges(spark, sf), 5).select(F.col("start.crown_idx").alias("start"), "position", F.col("node.crown_idx").alias("node"))
+    return X.chains(nodes(spark, sf), written_edges(spark, sf), 5).select(F.col("start.crown_idx").alias("start"), "position", F.col("node.crown_idx").alias("node"))
 
 
 @register(
@@ -147,7 +152,7 @@ l AS (SELECT start, count(*) AS length, bool_or(i > 1 OR o > 1) AS branches FROM
 SELECT start, length, CASE WHEN length >= 5 THEN CASE WHEN branches THEN 'full_branching' ELSE 'full_width1' END WHEN length >= 3 THEN 'partial_long' WHEN length = 2 THEN 'partial_short' ELSE 'singleton' END AS category FROM l""",
 )
 def x4(spark: SparkSession, sf: str) -> DataFrame:
-    n, e = nodes(spark, sf), plain_edges(spark, sf)
+    n, e = nodes(spark, sf), written_edges(spark, sf)
     return X.categories(X.chains(n, e, 5), X.degrees(n, e), 5).select(F.col("start.crown_idx").alias("start"), "length", "category")
 
 
@@ -155,14 +160,14 @@ def x4(spark: SparkSession, sf: str) -> DataFrame:
 r AS (SELECT start, avg(CASE WHEN kind = 'one_to_one' THEN 1.0 ELSE 0.0 END) AS ratio FROM st LEFT JOIN k ON k.prev = st.node AND k.curr = st.nxt WHERE nxt IS NOT NULL GROUP BY 1)
 SELECT s.start, round(coalesce(ratio, 0), 9) AS ratio FROM (SELECT DISTINCT start FROM chains) s LEFT JOIN r ON r.start = s.start""")
 def x7(spark: SparkSession, sf: str) -> DataFrame:
-    n, e = nodes(spark, sf), plain_edges(spark, sf)
+    n, e = nodes(spark, sf), written_edges(spark, sf)
     return X.one_to_one_ratio(X.chains(n, e, 5), e).select(F.col("start.crown_idx").alias("start"), r9("ratio").alias("ratio"))
 
 
 @register("x16_graph_cases", f"""WITH {E_SQL}, deg AS (SELECT om_id, (SELECT count(*) FROM e WHERE curr = crown_idx) AS i, (SELECT count(*) FROM e WHERE prev = crown_idx) AS o FROM boxes)
 SELECT CASE WHEN o > 1 THEN 'split' WHEN i > 1 THEN 'merge' WHEN i = 0 AND om_id > 1 THEN 'appears' WHEN o = 0 AND om_id < 5 THEN 'disappears' ELSE 'continues' END AS kind, count(*) AS n FROM deg GROUP BY 1""")
 def x16(spark: SparkSession, sf: str) -> DataFrame:
-    n, e = nodes(spark, sf), plain_edges(spark, sf)
+    n, e = nodes(spark, sf), written_edges(spark, sf)
     return X.graph_cases(n, X.degrees(n, e), 1, 5)
 
 
@@ -179,7 +184,7 @@ def x15(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("x11_medoid")
 def x11(spark: SparkSession, sf: str) -> DataFrame:
-    n, e = nodes(spark, sf), plain_edges(spark, sf)
+    n, e = nodes(spark, sf), written_edges(spark, sf)
     c = crowns(spark, sf)
     key = F.struct("om_id", "crown_idx")
     members = X.chains(n, e, 5).join(c.withColumn("node", key).select("node", "x", "y", "area", "minx", "miny", "maxx", "maxy"), "node").withColumnRenamed("start", "chain_id")

@@ -11,7 +11,7 @@ from canopyflow.operators import reports as P
 from canopyflow.operators import tracking_graph as X
 from canopyflow.plans import standins as D
 from canopyflow.plans.catalog import register
-from canopyflow.plans.geometry_queries import C_SQL, CHAIN_SQL, E_SQL, P_SQL, box_pairs, crowns, nodes, plain_edges
+from canopyflow.plans.geometry_queries import C_SQL, CHAIN_SQL, E_SQL, P_SQL, box_pairs, crowns, nodes, plain_edges, written_edges
 from canopyflow.plans.series_queries import r9, rounded
 from canopyflow.session import table
 
@@ -182,9 +182,7 @@ ln AS (SELECT start, count(*) AS length FROM chains GROUP BY 1)"""
 
 def chained(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Nodes, edges (written once) and chains."""
-    from canopyflow.session import materialise, shared_dir
-
-    n, e = nodes(spark, sf), materialise(plain_edges(spark, sf), f"{shared_dir(spark)}/edges")
+    n, e = nodes(spark, sf), written_edges(spark, sf)
     return n, e, X.chains(n, e, 5)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyflow.llm import byte_bpe, html_extract, interpolated_lm, language_id, mixing, near_dedup, prefix_forest, quality, quality_rules, sharding
+from canopyflow.llm import byte_bpe, html_extract, interpolated_lm, language_id, mixing, near_dedup, prefix_forest, quality, quality_rules, sharding, simhash
 from canopyflow.llm.folds import fold
 from canopyflow.session import table
 
@@ -64,7 +64,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec.digests(docs)
 
 
-_QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_temperature_mix, op3_interpolated_lm, op4_prefix_forest, op5_language_id, op6_rule_cascade, op7_html_crf, op8_hash_ring, op9_quality_pu, op10_byte_bpe)}
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, most_bits=2)
+
+
+_QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_temperature_mix, op3_interpolated_lm, op4_prefix_forest, op5_language_id, op6_rule_cascade, op7_html_crf, op8_hash_ring, op9_quality_pu, op10_byte_bpe, op11_simhash)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from canopyflow.llm import byte_bpe, html_extract, interpolated_lm, language_id, mixing, near_dedup, periodic_runs, prefix_forest, quality, quality_rules, sharding, simhash
+from canopyflow.llm import byte_bpe, html_extract, interpolated_lm, language_id, mixing, near_dedup, periodic_runs, prefix_forest, prefix_trie, quality, quality_rules, sharding, simhash
 from canopyflow.llm.folds import fold
 from canopyflow.session import table
 
@@ -68,11 +68,15 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), k=3, most_bits=2)
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.looped(table(spark, sf_dir, "documents"))))
 
 
-_QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_temperature_mix, op3_interpolated_lm, op4_prefix_forest, op5_language_id, op6_rule_cascade, op7_html_crf, op8_hash_ring, op9_quality_pu, op10_byte_bpe, op11_simhash, op13_periodic_runs)}
+_QUERIES = {f.__name__: f for f in (op1_near_dedup, op2_temperature_mix, op3_interpolated_lm, op4_prefix_forest, op5_language_id, op6_rule_cascade, op7_html_crf, op8_hash_ring, op9_quality_pu, op10_byte_bpe, op11_simhash, op12_prefix_trie, op13_periodic_runs)}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -80,4 +84,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_rule_cascade": quality_rules.ORACLE}
+    return {"op6_rule_cascade": quality_rules.ORACLE, "op12_prefix_trie": prefix_trie.ORACLE}

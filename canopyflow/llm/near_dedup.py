@@ -2,7 +2,7 @@
 
 1. One pass over the texts gives each document its set of k-word shingles (64-bit fingerprints), an
    order-free 128-bit fingerprint of the set, bands x rows MinHash samples folded into band keys, and
-   an odd sketch: every sample flips one bit of a parity bitmap. Equal sets collapse to their least id.
+   an odd sketch: every sample flips one bit of a parity bitmap. Equal sets are one node, and the sets of rows with one doc_id are linked.
 2. Documents that share a band key are candidates. In every bucket each member is paired with the
    bucket's hubs (its most central members, the same few in all buckets of a group), so a bucket of n members gives about hubs * n pairs and never n * n.
 3. The XOR population count of two odd sketches estimates the similarity; pairs clearly below the
@@ -18,8 +18,8 @@ With the default 48 bands of 6 rows a pair at similarity 0.8 shares no band with
 the sketch test drops it with probability under 1e-6 (five standard deviations).
 
 Defined results: null or empty text has an empty set and is alone; fewer than k words give the whole
-sequence as one shingle; equal texts and repeated rows share a set; of rows with one doc_id the set
-with the least fingerprint is linked and all its rows get that component; rows with a null doc_id are
+sequence as one shingle; equal texts and repeated rows share a set; rows with one doc_id are one document, linked by
+each of its sets, and get one component; rows with a null doc_id are
 returned with a null component and kept; further columns are ignored.
 """
 
@@ -47,6 +47,7 @@ _ROW = _SEED.integers(1, 2**63, 4096, dtype=np.uint64) | np.uint64(1)
 FEATURES = S.StructType(
     [
         S.StructField("doc_id", S.LongType()),
+        S.StructField("t", S.LongType()),
         S.StructField("n", S.LongType()),
         S.StructField("s1", S.LongType()),
         S.StructField("s2", S.LongType()),
@@ -106,7 +107,7 @@ def _long_lists(x: np.ndarray) -> pa.Array:
 
 
 def features(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """FEATURES of every document; the empty set has no sketch and no bands."""
+    """FEATURES of every document, t a hash of its text; the empty set has no sketch and no bands."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,6 +123,7 @@ def features(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(i, j - i),
+                        batch.column(2).slice(i, j - i),
                         pa.array(n, pa.int64()),
                         pa.array(T.spans(T.splitmix(sets), off).view(np.int64)),
                         pa.array(T.spans(T.splitmix(sets ^ _ROW[7]), off).view(np.int64)),
@@ -131,7 +133,7 @@ def features(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
                     names=FEATURES.names,
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(each, FEATURES)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.xxhash64(F.col("text").cast("string"))).mapInArrow(each, FEATURES)
 
 
 def _xor_bits(a: str, b: str) -> F.Column:
@@ -339,14 +341,24 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     samples = bands * rows
     most_bits = differing_bits(max(0.0, percent / 100 - margin), samples)
     feats = materialise(features(docs, k, bands, rows), f"{path}/features")
-    one = feats.where("doc_id is not null").groupBy("s1", "s2", "n").agg(F.count("*").alias("rows"), F.min("doc_id").alias("sid"), F.min_by("sketch", "doc_id").alias("sketch"), F.min_by("bands", "doc_id").alias("bands"))
-    reps = materialise(one.where("n > 0"), f"{path}/reps")
-    several = reps.groupBy("sid").agg(F.count("*").alias("sets"), F.min(F.struct("s1", "s2")).alias("least")).where("sets > 1")
-    reps = reps.join(several, "sid", "left").where("sets is null or struct(s1, s2) = least").drop("sets", "least") if not several.isEmpty() else reps
+    hot = max(1000, feats.count() // 1000)
+    owner = F.min(F.struct("doc_id", "t"))
+    one = feats.where("doc_id is not null and n > 0").groupBy("s1", "s2", "n").agg(F.count("*").alias("rows"), owner.alias("owner"), F.min_by("sketch", "doc_id").alias("sketch"), F.min_by("bands", "doc_id").alias("bands"))
+    reps = one.select("s1", "s2", "n", "rows", F.col("owner.doc_id").alias("doc"), F.col("owner.t").alias("t"), "sketch", "bands")
+    # doc_ids of several rows: their sets are linked. A node is named by its set's least doc_id, or by the set where that one names another set
+    key = F.struct("s1", "s2", "n")
+    again = feats.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.max("n").alias("most"), F.min(key).alias("lo"), F.max(key).alias("hi"))
+    again = materialise(again.where("rows > 1").select("doc_id", "least", "most", (F.col("lo") != F.col("hi")).alias("differs")), f"{path}/again")
+    differing = not again.where("differs").isEmpty()
+    if differing:
+        first = reps.groupBy("doc").agg(F.min(key).alias("first"), F.count("*").alias("sets"))
+        reps = _spread_join(reps, first, ["doc"], "sets", hot).withColumn("sid", F.when(key == F.col("first"), F.col("doc")).otherwise(F.col("s1"))).drop("first", "sets")
+    else:
+        reps = reps.withColumn("sid", F.col("doc"))
+    reps = materialise(reps, f"{path}/reps")
     # buckets of at least two members; a key already holds its band's number
     banded = reps.select(F.explode("bands").alias("key"), "sid")
     first = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    hot = max(1000, feats.count() // 1000)
     members = materialise(_spread_join(banded, first, ["key"], "size", hot), f"{path}/members")
     # hubs are the most central members: those whose buckets are the largest, the same few in all buckets of a group
     central = members.groupBy("sid").agg((-F.sum("size")).alias("d"))
@@ -364,9 +376,17 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
     rated = pairs.distinct().join(sketches.select(F.col("sid").alias("a"), F.col("sketch").alias("x")), "a").join(sketches.select(F.col("sid").alias("b"), F.col("sketch").alias("y")), "b")
     waiting = materialise(rated.select("a", "b", _xor_bits("x", "y").cast("long").alias("bits")).where(F.col("bits") <= most_bits), f"{path}/waiting")
     # full sets, of the documents that are in some bucket
-    wanted = members.select("sid").distinct().join(reps.select("sid", "s1"), "sid")
+    wanted = members.select("sid").distinct().join(reps.select("sid", "s1", "doc", "t"), "sid")
+    if not again.isEmpty():
+        wanted = wanted.join(again.select(F.col("doc_id").alias("doc"), F.lit(True).alias("again")), "doc", "left")
     sets = materialise(_sets(docs, wanted, k), f"{path}/sets")
     links, label = None, None
+    if differing:
+        several = feats.where("n > 0").select("doc_id", "s1", "s2", "n").join(again.where("differs").select("doc_id"), "doc_id", "left_semi").distinct()
+        several = several.join(reps.select("s1", "s2", "n", "sid"), ["s1", "s2", "n"]).select("doc_id", F.col("sid").alias("b"))
+        links = _spread_join(several, several.groupBy("doc_id").agg(F.min("b").alias("a"), F.count("*").alias("sets")), ["doc_id"], "sets", hot).where("a <> b").select("a", "b")
+        links = materialise(links, f"{path}/repeated")
+        label = components(links, f"{path}/components")
     for step, tests in enumerate((1, 5, 8, None)):
         if tests:
             if step == 2:
@@ -382,16 +402,31 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, bands: int =
             continue
         links = passed if links is None else links.union(passed)
         label = components(links, f"{path}/components{step}")
-    found = one.select("s1", "s2", "n", "rows", "sid") if label is None else one.select("s1", "s2", "n", "rows", "sid").join(label, one.sid == label.node, "left").select("s1", "s2", "n", "rows", F.coalesce("component", "sid").alias("sid"))
-    owner = found.where("n > 0").select("s1", "s2", "n", "rows", F.col("sid").alias("c"))
+    found = reps.select("s1", "s2", "n", "rows", "doc", F.col("sid").alias("c"))
+    if label is not None:
+        found = reps.join(label, reps.sid == label.node, "left").select("s1", "s2", "n", "rows", "doc", F.coalesce("component", "sid").alias("c"))
+    if differing:  # components have names of sets among those of documents
+        found = materialise(found, f"{path}/found")
+        names = found.groupBy("c").agg(F.min("doc").alias("least"), F.count("*").alias("size"))
+        found = _spread_join(found, names, ["c"], "size", hot).select("s1", "s2", "n", "rows", F.col("least").alias("c"))
     known = feats.select("doc_id", "n", "s1", "s2").where("n > 0 and doc_id is not null")
-    out = _spread_join(known, owner, ["s1", "s2", "n"], "rows", hot).select("doc_id", "n", "c")
-    out = out.union(feats.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("c")))
+    out = _spread_join(known, found.select("s1", "s2", "n", "rows", "c"), ["s1", "s2", "n"], "rows", hot).select("doc_id", "n", "c")
+    rest = feats.where("n = 0 or doc_id is null").select("doc_id", "n")
+    mixed = again.where("least = 0 and most > 0")
+    if mixed.isEmpty():
+        rest = rest.withColumn("c", F.col("doc_id"))
+    else:  # a document with a row without words is where its other rows are
+        elsewhere = out.join(mixed.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("c").alias("c"))
+        rest = rest.join(elsewhere, "doc_id", "left").select("doc_id", "n", F.coalesce("c", "doc_id").alias("c"))
+    out = out.union(rest)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("c"), F.lit(True)).alias("kept"))
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(sid, members): sorted 64-bit shingle fingerprints of the wanted documents (sid, s1); s1 tells sets of one id apart."""
+    """(sid, members): sorted 64-bit shingle fingerprints of the wanted sets (sid, s1, doc, t), each from a row with its doc_id and text hash.
+
+    Where wanted has a column `again`, those that it marks may have several such rows, of which one is taken.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,7 +436,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
                 own = pa.array(T.spans(T.splitmix(sets), off).view(np.int64) == batch.column(1).slice(i, j - i).to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array([sets[a:b].tobytes() for a, b in zip(off[:-1], off[1:])], pa.binary())], names=["sid", "members"]).filter(own)
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("sid"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64(text).alias("t"), text.alias("text"))
     # ids of a size that is checked go to the texts; else both sides are shuffled
     small = wanted.count() <= 1_000_000
-    return rows.join(F.broadcast(wanted) if small else wanted, "sid").select("sid", "s1", "text").mapInArrow(each, "sid long, members binary")
+    rows = rows.join(F.broadcast(wanted) if small else wanted, ["doc", "t"])
+    if "again" in wanted.columns:
+        once = rows.where("again").groupBy("sid").agg(F.any_value("s1").alias("s1"), F.any_value("text").alias("text"))
+        rows = rows.where("again is null").select("sid", "s1", "text").unionByName(once)
+    return rows.select("sid", "s1", "text").mapInArrow(each, "sid long, members binary")

@@ -372,15 +372,6 @@ def covered_within(inner: np.ndarray, outer: np.ndarray, buffer: float = 0.0) ->
     return not out.any() or bool((boundary_distance(outer, inner[out]) <= buffer + 1e-9).all())
 
 
-def densified(p: np.ndarray, step: float) -> np.ndarray:
-    """The ring with extra vertices, none further apart than step."""
-    out = []
-    for a, b in zip(p, np.roll(p, -1, axis=0)):
-        k = max(1, int(math.ceil(np.linalg.norm(b - a) / step)))
-        out.append(a + (b - a) * np.arange(k)[:, None] / k)
-    return np.concatenate(out)
-
-
 def raster_area(parts: list[np.ndarray], rule, cell: float) -> float:
     """Area, on a grid of cell size, of the points whose signed distances to the rings satisfy the rule."""
     every = np.concatenate(parts)
@@ -409,40 +400,3 @@ def simplify(p: np.ndarray, tolerance: float) -> np.ndarray:
     pts = np.vstack([p, p[:1]])
     far = int(((p - p[0]) ** 2).sum(1).argmax())
     return pts[[0, *keep(0, far), far, *keep(far, len(p))]]
-
-
-def offset_convex(p: np.ndarray, distance: float, arc: int = 8) -> np.ndarray:
-    """Round buffer of the ring's convex hull (distance > 0), or its inner offset (distance < 0; empty if none is left)."""
-    hull = convex_hull(p)
-    if len(hull) < 3:
-        return hull
-    if distance >= 0:
-        turns = np.linspace(0, 2 * math.pi, 4 * arc, endpoint=False)
-        ring = np.column_stack([np.cos(turns), np.sin(turns)]) * distance
-        return convex_hull((hull[:, None] + ring).reshape(-1, 2))
-    out = hull
-    for a, b in zip(hull, np.roll(hull, -1, axis=0)):
-        u = (b - a) / np.linalg.norm(b - a)
-        normal = np.array([-u[1], u[0]])
-        side = (out - a) @ normal + distance
-        pieces = []
-        for x, y, s, t in zip(out, np.roll(out, -1, axis=0), side, np.roll(side, -1)):
-            if s >= 0:
-                pieces.append(x)
-            if (s > 0 > t) or (s < 0 < t):
-                pieces.append(x + (y - x) * (s / (s - t)))
-        out = np.array(pieces).reshape(-1, 2)
-        if len(out) < 3:
-            return np.zeros((0, 2))
-    return out
-
-
-def offset_to_area(p: np.ndarray, target: float, rounds: int = 30) -> np.ndarray:
-    """C11: the hull's offset whose area is nearest to the target, by bisection on the distance."""
-    size = math.sqrt(max(abs(signed_area(convex_hull(p))), target)) + 1e-9
-    low, high = -size, size
-    for _ in range(rounds):
-        mid = (low + high) / 2
-        made = offset_convex(p, mid)
-        low, high = (mid, high) if abs(signed_area(made)) < target else (low, mid)
-    return offset_convex(p, (low + high) / 2)

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopyflow.functions import geometry as G
+from canopyflow.functions import overlay as O
 from canopyflow.operators import aggregates as A
 from canopyflow.operators import evaluation as E
 from canopyflow.operators import matching as M
@@ -15,7 +16,7 @@ from canopyflow.operators import raster as R
 from canopyflow.operators import sequences as Q
 from canopyflow.operators import timeseries as T
 from canopyflow.operators.components import components
-from canopyflow.operators.consensus import consensus_polygons, intersection_core, layer_tracks, merge_splits, union_shrink
+from canopyflow.operators.consensus import buffered, buffered_to_area, consensus, consensus_polygons, intersection_core, layer_tracks, merge_splits, polygon_union, rings_area, union_shrink
 from canopyflow.plans import tracking
 from canopyflow.sources import tables as S
 
@@ -50,16 +51,57 @@ def test_tracking_finds_every_tree(crowns):
 def test_consensus_shapes():
     a = np.array([[0, 0], [4, 0], [4, 4], [0, 4]], float)
     core = intersection_core([a, a + 1], 0.0)
-    assert abs(G.signed_area(core)) == pytest.approx(9)
+    assert len(core) == 1 and G.signed_area(core[0]) == pytest.approx(9)
     assert intersection_core([a, a + 100]) is None
-    assert abs(G.signed_area(union_shrink([a, a + 1]))) == pytest.approx(16, rel=1e-6)
+    # a cross of 22 shrunk by 0.15 of the radius of 16: six convex corners, two reflex ones
+    d = 0.15 * math.sqrt(16 / math.pi)
+    corner = 8 * math.sin(math.pi / 32)
+    assert O.region_area(union_shrink([a, a + 1])) == pytest.approx(23 - 20 * d + (6 - 2 * corner) * d * d, rel=1e-6)
+    assert len(union_shrink([a, a + 100])) == 2 and union_shrink([a], 2.0) is None
+
+
+def ell(w, h, x=0.0, y=0.0):
+    return np.array([(0, 0), (w, 0), (w, h / 2), (w / 2, h / 2), (w / 2, h), (0, h)], float) + [x, y]
+
+
+def test_consensus_of_concave_crowns():
+    same = [ell(8, 6)] * 3
+    core = intersection_core(same, 0.5)
+    fillet = 0.25 * (1 - 8 * math.sin(math.pi / 32))  # growing and shrinking rounds the reflex corner
+    assert len(core) == 1 and O.region_area(core) == pytest.approx(36 + fillet, abs=0.01)
+    moved = [ell(8, 6), ell(8, 6, 0.4, 0.3), ell(8, 6, -0.3, 0.2)]
+    signed = lambda p, g: np.where(G.inside(p, g), -1.0, 1.0) * G.boundary_distance(p, g)
+    grid = np.random.default_rng(1).uniform(-2, 10, (40_000, 2))
+    grown = np.max([signed(r, grid) for r in moved], axis=0) < 0.5
+    made = O.buffer(O.intersection([O.buffer(O.region(r), 0.5) for r in moved]), 1e-9)
+    assert (np.sum([G.inside(r, grid) for r in made], axis=0) == grown).mean() > 0.999
+    assert O.region_area(intersection_core(moved, 0.5)) < 36
+    union = O.union([O.region(r) for r in moved])
+    d = 0.15 * math.sqrt(36 / math.pi)
+    inner = np.max([G.boundary_distance(r, grid) * np.where(G.inside(r, grid), 1, -1) for r in union], axis=0) > d
+    assert (np.sum([G.inside(r, grid) for r in union_shrink(moved)], axis=0) == inner).mean() > 0.999
+
+
+def test_medoid_and_columns_of_regions(spark):
+    rows = [(1, 1, disc(0, 0, 5)), (1, 2, disc(1, 0, 5)), (1, 3, disc(9, 0, 5)), (2, 1, disc(0, 0, 3)), (3, 1, None)]
+    d = M.with_measures(spark.createDataFrame(rows, f"chain_id long, om_id int, ring {G.RING}")).withColumn("node", F.struct("om_id", "chain_id"))
+    got = {r["chain_id"]: r["x"] for r in consensus(d.where("ring is not null")).select("chain_id", G.centroid(F.col("ring"))["x"].alias("x")).collect()}
+    assert got == {1: pytest.approx(1), 2: pytest.approx(0)}
+    with pytest.raises(ValueError):
+        consensus(d, "mean")
+    both = {r["chain_id"]: r["a"] for r in polygon_union(d, ["chain_id"]).select("chain_id", rings_area("rings").alias("a")).collect()}
+    assert both[3] == 0 and both[2] == pytest.approx(27, abs=0.1) and 75 < both[1] < 225
+    size = {(r["chain_id"], r["om_id"]): r["a"] for r in buffered_to_area(d, F.lit(50.0)).select("chain_id", "om_id", rings_area("rings").alias("a")).collect()}
+    assert size.pop((3, 1)) is None and all(a == pytest.approx(50, abs=1e-5) for a in size.values())
+    gone = {r["chain_id"]: r["n"] for r in buffered(d.where("om_id = 1"), F.lit(-4)).select("chain_id", F.size("rings").alias("n")).collect()}
+    assert (gone[1], gone[2]) == (1, 0)
 
 
 def test_consensus_and_splits(spark):
     rows = [(1, 1, 0, disc(0, 0, 5)), (1, 2, 0, disc(1, 0, 5)), (2, 1, 0, disc(0, 0, 3)), (2, 2, 0, disc(50, 0, 4))]
     d = spark.createDataFrame(rows, f"chain_id long, om_id int, g int, ring {G.RING}")
     got = {r["chain_id"]: r["a"] for r in consensus_polygons(d).select("chain_id", G.area(F.col("ring")).alias("a")).collect()}
-    assert 50 < got[1] < 75 and got[2] > 20
+    assert 50 < got[1] < 75 and 2 not in got  # apart: no consensus
     assert merge_splits(d, ["g"], 0.6).count() == 3
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from canopyflow.functions import geometry as G
+from canopyflow.functions import overlay as O
 from canopyflow.functions import names as N
 from canopyflow.functions import spectral as S
 from canopyflow.operators import sequences as Q
@@ -41,8 +42,8 @@ def test_rectangle_hull_and_offsets():
     turn = np.array([[math.cos(0.4), -math.sin(0.4)], [math.sin(0.4), math.cos(0.4)]])
     box = np.array([[0, 0], [4, 0], [4, 1], [0, 1]], float) @ turn.T
     assert G.eccentricity(box) == pytest.approx(0.25)
-    assert abs(G.signed_area(G.offset_convex(SQUARE, -0.5))) == pytest.approx(1.0)
-    assert abs(G.signed_area(G.offset_to_area(SQUARE, 1.0))) == pytest.approx(1.0, rel=1e-6)
+    assert O.region_area(O.buffer(O.region(SQUARE), -0.5)) == pytest.approx(1.0)
+    assert O.region_area(O.buffer_to_area(O.region(SQUARE), 1.0)) == pytest.approx(1.0, rel=1e-6)
     assert G.covered_within(SQUARE * 0.5 + 0.5, SQUARE) and not G.covered_within(SQUARE + 1, SQUARE)
     assert G.covered_within(SQUARE + 0.3, SQUARE, 0.5)
     assert len(G.simplify(np.array([[0, 0], [1, 0.01], [2, 0], [2, 2], [0, 2]], float), 0.1)) == 4

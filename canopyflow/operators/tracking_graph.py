@@ -225,14 +225,18 @@ def gap_fill_step(ends: DataFrame, candidates: DataFrame, taken: DataFrame, max_
     return ok.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def fill_gaps(chains_: DataFrame, starts: DataFrame, crowns: DataFrame, cache: DataFrame, flights: int, max_dist: float = 25.0, min_iou: float = 0.20, duplicate_iou: float = 0.70, path: str | None = None) -> DataFrame:
+def fill_gaps(
+    chains_: DataFrame, starts: DataFrame, crowns: DataFrame, cache: DataFrame, flights: int, max_dist: float = 25.0, min_iou: float = 0.20, duplicate_iou: float = 0.70, path: str | None = None,
+    edges: DataFrame | None = None,
+) -> DataFrame:
     """The chains of `starts` prolonged by crowns of lower layers, first forwards, then backwards, flight by flight.
 
     crowns and cache: om_id, crown_idx, x, y, area, ring; cache also threshold. Returns (start, om_id, crown_idx, threshold,
     iou, distance, direction) of the crowns appended. A chain is prolonged at its last (first) crown into the next (last)
     flight by gap_fill_step(); a crown that duplicates one of that flight, appended ones included, is left out. A candidate
     that several chains ask for goes to the best score, then the least start: unlike a walk chain by chain, the
-    result does not depend on the chains' order. Tables go below the shared folder, one a flight and direction.
+    result does not depend on the chains' order. With edges, an end that leads on (a first crown that is led to) outside its
+    chain is not prolonged. Tables go below the shared folder, one a flight and direction.
     """
     from canopyflow.operators.matching import near_pairs, ring_intersection
 
@@ -240,11 +244,17 @@ def fill_gaps(chains_: DataFrame, starts: DataFrame, crowns: DataFrame, cache: D
     own = ["om_id", "crown_idx", "x", "y", "area", "ring"]
     place = crowns.select(F.struct("om_id", "crown_idx").alias("node"), *own)
     members = materialise(chains_.join(starts.select("start"), "start", "left_semi").join(place, "node").select("start", *own), f"{path}/members")
+    loose = {1: None, -1: None}
+    if edges is not None:
+        loose = {1: edges.select(F.col("prev").alias("node")).distinct(), -1: edges.select(F.col("curr").alias("node")).distinct()}
     present, added, made = crowns.select(*own), [], "start, om_id, crown_idx, threshold, iou, distance, direction, x, y, area, ring".split(", ")
     for direction in (1, -1):
         for om in range(1, flights) if direction > 0 else range(flights, 1, -1):
             edge = members.groupBy("start").agg((F.max("om_id") if direction > 0 else F.min("om_id")).alias("om_id")).where(F.col("om_id") == om)
-            ends = members.join(edge, ["start", "om_id"]).select(F.col("start").alias("chain"), "x", "y", "area", "ring")
+            ends = members.join(edge, ["start", "om_id"])
+            if loose[direction] is not None:
+                ends = ends.withColumn("node", F.struct("om_id", "crown_idx")).join(loose[direction], "node", "left_anti")
+            ends = ends.select(F.col("start").alias("chain"), "x", "y", "area", "ring")
             free = cache.where(F.col("om_id") == om + direction).withColumn("cand", F.struct("threshold", "crown_idx"))
             share = F.col("i") / (F.col("area") + F.col("area_b") - F.col("i"))
             rated = lambda pairs: pairs.withColumn("i", ring_intersection("ring", "ring_b")).withColumn("iou", share)  # noqa: B023, E731
@@ -261,3 +271,30 @@ def fill_gaps(chains_: DataFrame, starts: DataFrame, crowns: DataFrame, cache: D
             members = members.unionByName(new.select("start", *own))
             present = present.unionByName(new.select(*own))
     return crowns.sparkSession.read.schema(new.schema).parquet(*added).drop("x", "y", "area", "ring") if added else members.limit(0)
+
+
+def augmented(
+    chains_: DataFrame, starts: DataFrame, crowns: DataFrame, cache: DataFrame, edges: DataFrame, flights: int, max_dist: float = 25.0, min_iou: float = 0.20, duplicate_iou: float = 0.70, path: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(crowns, edges) of the crowns that fill_gaps() appends: the next ones of their flights, joined to their chain by edges of case `gap_fill`.
+
+    An edge's similarity is its IoU. crowns and cache have the same columns but for the cache's threshold. The new crown_idx is the
+    candidate's own, raised by a multiple of what the crowns use, a multiple for each of the few layers.
+    """
+    path = path or shared_dir(crowns.sparkSession)
+    filled = materialise(fill_gaps(chains_, starts, crowns, cache, flights, max_dist, min_iou, duplicate_iou, f"{path}/gaps", edges), f"{path}/filled")
+    layers = sorted(r[0] for r in filled.select("threshold").distinct().collect())  # a layer each, of the few that were written
+    if not layers:
+        return crowns.limit(0), edges.limit(0)
+    top = crowns.agg(F.max("crown_idx")).unionAll(cache.agg(F.max("crown_idx"))).agg(F.max("max(crown_idx)")).first()[0] + 1
+    rank = F.array_position(F.array(*[F.lit(x) for x in layers]), F.col("threshold"))
+    new = filled.withColumn("new_idx", (F.col("crown_idx") + rank * F.lit(top)).cast(dict(crowns.dtypes)["crown_idx"]))
+    rows = cache.join(new.select("om_id", "threshold", "crown_idx", "new_idx"), ["om_id", "threshold", "crown_idx"]).withColumn("crown_idx", F.col("new_idx")).select(*crowns.columns)
+    node = lambda om, k: F.struct(F.col(om).alias("om_id"), F.col(k).alias("crown_idx"))
+    own = chains_.join(starts.select("start"), "start", "left_semi").select("start", F.col("node.om_id").alias("at"), F.col("node").alias("other"))
+    steps = own.unionByName(new.select("start", F.col("om_id").alias("at"), node("om_id", "new_idx").alias("other")))
+    asked = new.select("start", (F.col("om_id") - F.col("direction")).alias("at"), node("om_id", "new_idx").alias("node"), "direction", "iou", "distance")
+    met = asked.join(steps, ["start", "at"])
+    forward = F.col("direction") > 0
+    made = met.select(F.when(forward, F.col("other")).otherwise(F.col("node")).alias("prev"), F.when(forward, F.col("node")).otherwise(F.col("other")).alias("curr"), F.col("iou").alias("similarity"), F.lit("gap_fill").alias("case"), "iou", "distance")
+    return materialise(rows, f"{path}/new_crowns"), materialise(made.select(*edges.columns), f"{path}/new_edges")

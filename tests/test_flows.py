@@ -48,6 +48,27 @@ def test_tracking_finds_every_tree(crowns):
     assert len(areas) == 25 and all(100 < a["a"] < 230 and a["quality"] == "Clean" for a in areas)
 
 
+def test_tracking_fills_gaps_and_drops_duplicates(spark, crowns):
+    """Tree 7 is missing in the last flight, tree 8 in the first one; lower layers have them, and a copy of tree 9. Tree 12 is there twice."""
+    gone = (F.col("crown_idx") == 7) & (F.col("om_id") == 3) | (F.col("crown_idx") == 8) & (F.col("om_id") == 1)
+    twice = crowns.where("crown_idx = 12").withColumns({"crown_idx": F.lit(200).cast("long"), "ring": G.translate(F.col("ring"), F.lit(0.05), F.lit(0.0))})
+    above = crowns.where(~gone).unionByName(twice)
+    lower = crowns.where(gone | (F.col("crown_idx") == 9)).withColumn("threshold", F.when(F.col("crown_idx") == 7, 0.25).otherwise(0.3))
+    lower = lower.unionByName(lower.where("crown_idx = 7").withColumn("threshold", F.lit(0.1)))
+    config = tracking.TrackingConfig(min_partial_len=3, align=False)
+    plain, out = tracking.track(above, 3, config), tracking.track(above, 3, config, lower)
+    fills = {(r["prev"]["om_id"], r["prev"]["crown_idx"] % 201, r["curr"]["om_id"], r["curr"]["crown_idx"] % 201): r for r in out["edges"].where("case = 'gap_fill'").collect()}
+    assert set(fills) == {(2, 7, 3, 7), (1, 8, 2, 8)} and all(r["similarity"] == r["iou"] > 0.2 for r in fills.values())
+    assert out["nodes"].count() == plain["nodes"].count() + 2
+    length = {r["start"]["crown_idx"] % 201: r["length"] for r in out["categories"].collect()}
+    assert length[7] == length[8] == 3 and {r["start"]["crown_idx"]: r["length"] for r in plain["categories"].collect()}[7] == 2
+    got, before = {r["chain_id"]["crown_idx"] % 201 for r in out["consensus"].collect()}, {r["chain_id"]["crown_idx"] % 201 for r in plain["consensus"].collect()}
+    assert got - before == {7, 8} and len(got & {12, 200}) == 1 and got >= set(range(25)) - {12}
+    rings = {str(r["ring"]) for r in crowns.unionByName(twice).select(F.col("ring")).collect()}
+    assert all(str(r["ring"]) in rings for r in out["consensus"].collect())  # medoids are members
+    assert out["consensus"].where("avg_similarity is null").isEmpty() and set(out["consensus"].select("quality").distinct().toPandas()["quality"]) <= {"Clean", "Mixed", "Pure"}
+
+
 def test_consensus_shapes():
     a = np.array([[0, 0], [4, 0], [4, 4], [0, 4]], float)
     core = intersection_core([a, a + 1], 0.0)

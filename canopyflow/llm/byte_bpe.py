@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from canopyflow.llm import textnp as T
 from canopyflow.session import materialise, shared_dir
@@ -268,8 +269,8 @@ class Codec:
                     yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), *made], names=[*batch.schema.names[:-1], "__runs", "__bytes", "__words"])
 
         rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__in"))
-        kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-        return rows.mapInArrow(run, ", ".join([*kinds, "__runs array<array<int>>", "__bytes array<binary>", "__words array<binary>"]))
+        made = [S.StructField("__runs", S.ArrayType(S.ArrayType(S.IntegerType()))), S.StructField("__bytes", S.ArrayType(S.BinaryType())), S.StructField("__words", S.ArrayType(S.BinaryType()))]
+        return rows.mapInArrow(run, S.StructType([*rows.schema.fields[:-1], *made]))
 
     def _folded(self, docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
         """_split() with folded array<array<int>>: the ids of words."""

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from canopyflow.llm.html_blocks import blocks
 from canopyflow.llm.html_training import labelled_pages
@@ -140,5 +141,4 @@ def extract(pages: DataFrame, model: Field, html: str = "html", keep: tuple[str,
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], names=[*batch.schema.names[:-1], "text", "n_chars"])
 
     rows = pages.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{html}`").cast("string").alias("__html"))
-    kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]]
-    return rows.mapInArrow(run, ", ".join([*kinds, "text string", "n_chars long"]))
+    return rows.mapInArrow(run, S.StructType([*rows.schema.fields[:-1], S.StructField("text", S.StringType()), S.StructField("n_chars", S.LongType())]))

@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from canopyflow.llm import textnp as T
 
@@ -156,5 +157,4 @@ def score(docs: DataFrame, model: LanguageModel, text: str = "text", keep: tuple
             )
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(predict, ", ".join(x for x in (kinds, "lang_pred string, score double") if x))
+    return rows.mapInArrow(predict, S.StructType([*rows.schema.fields[:-1], S.StructField("lang_pred", S.StringType()), S.StructField("score", S.DoubleType())]))

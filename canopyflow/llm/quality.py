@@ -5,8 +5,11 @@ A linear model over text statistics and hashed byte pairs minimises the non-nega
 with logistic loss, from trusted positives and unlabelled web text. Labelled negatives are not used.
 The class prior is estimated from the scores of a first, positive-against-unlabelled, fit.
 
-The fit takes bounded samples by hash of the row's id: at most max_positive trusted positives and about
-max_unlabelled unlabelled rows (both parameters). Everything else covers every row and whole texts.
+The trusted positives of the fit are a bounded sample by hash of id and text: at most max_positive different rows (a parameter).
+The unlabelled part covers every row: moments and, after the first fit, upper tails of the scores are counted over all rows; the
+risk is summed over cells, each with its count and its mean features over all rows. Fixed hyperplanes make the first cells; the
+next ones are levels of the scores of the fit before, as rows of like scores have like losses. So the driver
+holds max_positive + LEVELS * 2 ** LEVEL_BITS feature rows, whatever the input.
 
 Defined results: null or empty text has the all-zero features and the score these give; no positives
 at all gives the score 0.5 everywhere; repeated rows are scored alike; further columns are ignored.
@@ -14,17 +17,24 @@ at all gives the score 0.5 everywhere; repeated rows are scored alike; further c
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from canopyflow.llm import textnp as T
+from canopyflow.session import materialise, shared_dir
 
 PAIRS = 256
+#: Hyperplanes that divide the unlabelled rows into cells.
+CELL_BITS = 9
+#: Levels of the scores of a first fit, from -8 to 8, and hyperplanes beside them, that divide the rows for the next fit.
+LEVELS, LEVEL_BITS = 128, 3
 #: Groups of characters whose shares are features.
 GROUPS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", " \t\r\f\v", "\n", ".", ",", ";:", "!", "?", "#*$%&", "|", "<>{}[]()", "@\\/_=+~^`", "'\"-"]
 STATS = len(GROUPS) + 13
@@ -120,16 +130,20 @@ class QualityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _descend(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int, rate: float, l2: float) -> tuple[np.ndarray, float]:
-    """Adam on the non-negative PU risk; where the negative part is below zero, its gradient is followed backwards."""
+def _descend(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int, rate: float, l2: float, share: np.ndarray | None = None) -> tuple[np.ndarray, float]:
+    """Adam on the non-negative PU risk; where the negative part is below zero, its gradient is followed backwards.
+
+    share: weights of the unlabelled rows, which add up to 1; by default all equal.
+    """
+    share = np.full(len(xu), 1 / len(xu)) if share is None else share
     w, b = np.zeros(xp.shape[1]), 0.0
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     sig = lambda z: 1.0 / (1.0 + np.exp(-np.clip(z, -30, 30)))
     for t in range(1, steps + 1):
         zp, zu = xp @ w + b, xu @ w + b
         sp, su = sig(zp), sig(zu)
-        negative = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        gp, gu, hp = (sp - 1) * prior / len(zp), su / len(zu), -prior * sp / len(zp)
+        negative = share @ np.logaddexp(0, zu) - prior * np.logaddexp(0, zp).mean()
+        gp, gu, hp = (sp - 1) * prior / len(zp), su * share, -prior * sp / len(zp)
         if negative >= 0:
             dp, du = gp + hp, gu
         else:
@@ -141,51 +155,104 @@ def _descend(xp: np.ndarray, xu: np.ndarray, prior: float, steps: int, rate: flo
     return w, float(b)
 
 
+TAILS = np.linspace(0.02, 0.9, 45)
+
+
+def prior_of_tails(p: np.ndarray, u: np.ndarray, n: int) -> float:
+    """Share of positives among n unlabelled rows: the least ratio of the upper tails u of their scores to those of the positives, p."""
+    return float(np.clip(np.min((u + 1.0 / np.sqrt(n)) / np.maximum(p, 1e-9), initial=1.0), 0.05, 0.99))
+
+
 def estimate_prior(sp: np.ndarray, su: np.ndarray) -> float:
-    """Share of positives among the unlabelled: the least ratio of the upper tails of scores, over tails with enough rows."""
-    best = 1.0
-    for t in np.quantile(sp, np.linspace(0.02, 0.9, 45)):
-        p, u = (sp >= t).mean(), (su >= t).mean()
-        best = min(best, (u + 1.0 / np.sqrt(len(su))) / max(p, 1e-9))
-    return float(np.clip(best, 0.05, 0.99))
-
-
-def fit_arrays(xp: np.ndarray, xu: np.ndarray, prior: float | None = None, steps: int = 400, rate: float = 0.05, l2: float = 1e-2, pair_weight: float = 0.1) -> QualityModel:
-    """Fit on feature rows of positives and of unlabelled texts. pair_weight: scale of the byte pairs beside the statistics."""
-    both = np.concatenate([xp, xu]).astype(np.float64)
-    mean, scale = both.mean(0), both.std(0) + 1e-3
-    scale[STATS:] /= pair_weight
-    zp, zu = (np.clip((x - mean) / scale, -8, 8) for x in (xp.astype(np.float64), xu.astype(np.float64)))
-    if prior is None:
-        w, b = _descend(zp, zu, 0.5, steps // 2, rate, l2)
-        prior = estimate_prior(zp @ w + b, zu @ w + b)
-    w, b = _descend(zp, zu, prior, steps, rate, l2)
-    return QualityModel(mean, scale, w, b, prior)
+    """prior_of_tails() of given scores of positives and unlabelled rows."""
+    at = np.quantile(sp, TAILS)
+    return prior_of_tails((sp[:, None] >= at).mean(0), (su[:, None] >= at).mean(0), len(su))
+
+
+def _sums(feats: DataFrame, fold: Callable[[np.ndarray], tuple[np.ndarray, np.ndarray]], keys: int, width: int) -> np.ndarray:
+    """(keys, width): sums over all rows of the vectors that fold gives to feature rows, by the key that it gives; added up in two steps."""
+    kind = "key int, part int, v binary"
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, seen = np.zeros((keys, width)), np.zeros(keys, bool)
+        for batch in batches:
+            x = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+            for i in range(0, len(x), 4096):
+                key, v = fold(x[i : i + 4096])
+                order = np.argsort(key, kind="stable")
+                key, v = key[order], v[order]
+                begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                total[key[begin]] += np.add.reduceat(v, begin, axis=0)
+                seen[key[begin]] = True
+        at = np.flatnonzero(seen)
+        part = TaskContext.get().partitionId() % 64
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.full(len(at), part), pa.int32()), pa.array([total[k].tobytes() for k in at], pa.binary())], names=["key", "part", "v"])
+
+    def add(t: pa.Table) -> pa.Table:
+        v = np.sum([np.frombuffer(x, dtype=np.float64) for x in t.column(2).to_pylist()], axis=0)
+        return pa.table({"key": t.column(0).slice(0, 1), "part": t.column(1).slice(0, 1), "v": pa.array([v.tobytes()], pa.binary())})
+
+    summed = feats.select("x").mapInArrow(each, kind).groupBy("key", "part").applyInArrow(add, kind).groupBy("key").applyInArrow(add, kind)
+    out = np.zeros((keys, width))
+    for r in summed.collect():  # at most one row a key
+        out[r["key"]] = np.frombuffer(r["v"], dtype=np.float64)
+    return out
 
 
-def train(docs: DataFrame, positives: DataFrame, max_positive: int = 8000, max_unlabelled: int = 12000, prior: float | None = None) -> QualityModel | None:
-    """Fit from docs (doc_id, text) and positives (doc_id). Both samples are by xxhash64 of doc_id, the lowest first.
+def train(docs: DataFrame, positives: DataFrame, max_positive: int = 8000, prior: float | None = None, steps: int = 400, rate: float = 0.05, l2: float = 1e-2, pair_weight: float = 0.1, path: str | None = None) -> QualityModel | None:
+    """Fit from docs (doc_id, text), all of which are the unlabelled text, and positives (doc_id). None if there is no positive row.
 
-    None if there is no positive with a text.
+    pair_weight: scale of the byte pairs beside the statistics. path: where the features go; by default below the shared folder.
     """
-    ids = positives.select(F.col("doc_id").cast("long").alias("pid")).where("pid is not null").distinct().orderBy(F.xxhash64("pid"), "pid").limit(max_positive)
-    total = docs.count()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    share = min(1.0, max_unlabelled / max(1, total))
-    low = F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1 << 40)) < int(share * (1 << 40))
-    chosen = rows.join(F.broadcast(ids), rows.doc_id == ids.pid, "left").where(F.col("pid").isNotNull() | low).select(F.col("pid").isNotNull().alias("positive"), low.alias("unlabelled"), "text")
+    text = F.col("text").cast("string")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), text).alias("h"), text.alias("text"))
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = feature_rows(*T.buffers(batch.column(2)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["positive", "unlabelled", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["doc_id", "h", "x"])
 
-    got = chosen.mapInArrow(extract, "positive boolean, unlabelled boolean, x binary").toPandas()
-    if not len(got) or not got["positive"].any() or not got["unlabelled"].any():
+    feats = materialise(rows.mapInArrow(extract, "doc_id long, h long, x binary"), f"{path or shared_dir(docs.sparkSession)}/features")
+    ids = positives.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    trusted = feats.join(ids, "doc_id", "left_semi").groupBy("h").agg(F.any_value("x").alias("x")).orderBy(F.xxhash64("h"), "h").limit(max_positive).toArrow()
+    if not trusted.num_rows:
         return None
-    got = got.sort_values("x", kind="stable")  # the order of rows must not matter
-    x = np.frombuffer(b"".join(got["x"]), dtype=np.float32).reshape(len(got), N_FEATURES)
-    return fit_arrays(x[got["positive"].to_numpy(bool)], x[got["unlabelled"].to_numpy(bool)], prior)
+    xp = np.frombuffer(b"".join(trusted.column("x").to_pylist()), dtype=np.float32).reshape(-1, N_FEATURES).astype(np.float64)
+    one = lambda x: np.ones((len(x), 1))
+    moments = _sums(feats, lambda x: (np.zeros(len(x), np.int64), np.hstack([one(x), x, x * x])), 1, 1 + 2 * N_FEATURES)[0]
+    n = int(moments[0])
+    mean = moments[1 : 1 + N_FEATURES] / n
+    scale = np.sqrt(np.maximum(moments[1 + N_FEATURES :] / n - mean**2, 0)) + 1e-3
+    scale[STATS:] /= pair_weight
+    plain = lambda x: np.clip((x - mean) / scale, -8, 8)
+    planes = np.random.default_rng(5).normal(size=(N_FEATURES, CELL_BITS))
+    zp = plain(xp)
+
+    def fitted(prior: float, steps: int, model: tuple[np.ndarray, float] | None) -> tuple[np.ndarray, float]:
+        """A fit over cells by all hyperplanes, or by a few of them and by the scores of the fit before, which keeps apart what the loss tells apart."""
+
+        def cell(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            z = plain(x)
+            side = z @ planes > 0
+            if model is None:
+                key = side @ (1 << np.arange(CELL_BITS))
+            else:
+                level = np.clip((z @ model[0] + model[1]) * LEVELS / 16 + LEVELS / 2, 0, LEVELS - 1).astype(np.int64)
+                key = level + LEVELS * (side[:, :LEVEL_BITS] @ (1 << np.arange(LEVEL_BITS)))
+            return key, np.hstack([one(z), z])
+
+        cells = _sums(feats, cell, 1 << CELL_BITS if model is None else LEVELS << LEVEL_BITS, 1 + N_FEATURES)
+        cells = cells[cells[:, 0] > 0]
+        return _descend(zp, cells[:, 1:] / cells[:, :1], prior, steps, rate, l2, cells[:, 0] / n)
+
+    w, b = fitted(0.5, steps // 2, fitted(0.5, steps // 2, None))
+    if prior is None:
+        sp = zp @ w + b
+        at = np.quantile(sp, TAILS)
+        tails = _sums(feats, lambda x: (np.zeros(len(x), np.int64), ((plain(x) @ w + b)[:, None] >= at).astype(np.float64)), 1, len(at))[0] / n
+        prior = prior_of_tails((sp[:, None] >= at).mean(0), tails, n)
+    w, b = fitted(prior, steps, fitted(prior, steps, (w, b)))
+    return QualityModel(mean, scale, w, b, prior)
 
 
 def score(docs: DataFrame, model: QualityModel | None, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -201,5 +268,4 @@ def score(docs: DataFrame, model: QualityModel | None, threshold: float = 0.3, k
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32), pa.int32())], names=[*batch.schema.names[:-1], "score", "predicted"])
 
     rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col("text").cast("string").alias("__text"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(predict, ", ".join(x for x in (kinds, "score double, predicted int") if x))
+    return rows.mapInArrow(predict, S.StructType([*rows.schema.fields[:-1], S.StructField("score", S.DoubleType()), S.StructField("predicted", S.IntegerType())]))

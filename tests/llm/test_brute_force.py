@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from canopyflow.llm import language_id, mixing, quality
@@ -40,7 +41,9 @@ def test_language_id_against_counted_bayes(spark):
         assert got[i]["lang_pred"] == best or abs(total[got[i]["lang_pred"]] - total[best]) < 1e-9
 
 
-def test_mix_against_sorting(spark):
+@pytest.mark.parametrize("ranked", [50_000, 3])
+def test_mix_against_sorting(spark, monkeypatch, ranked):
+    monkeypatch.setattr(mixing, "MOST_RANKED", ranked)
     r = random.Random(5)
     rows = [(i, " ".join(["w"] * r.randint(0, 30)), r.choices(["big", "mid", "small", None], [60, 20, 3, 2])[0]) for i in range(900)]
     d = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -49,14 +52,14 @@ def test_mix_against_sorting(spark):
         tokens[s] += len(t.split())
     budgets = mixing.plan(tokens, 0.97, 4.0).budgets
     epochs = spark.range(8).select(F.col("id").cast("int").alias("epoch"))
-    order = {(x["doc_id"], x["epoch"]): x["h"] for x in d.crossJoin(epochs).select("doc_id", "epoch", F.xxhash64(F.lit(7), "doc_id", "epoch").alias("h")).collect()}
+    order = {(x["doc_id"], x["epoch"]): x["h"] for x in d.crossJoin(epochs).select("doc_id", "epoch", F.xxhash64(F.lit(7), F.xxhash64("doc_id", "text"), "epoch").alias("h")).collect()}
     want = set()
     for s, total in tokens.items():
         own = [(i, len(t.split())) for i, t, o in rows if o == s]
         whole = int(budgets[s] / total + 1e-9)
         want |= {(i, e) for e in range(whole) for i, _ in own}
         left = int(round(budgets[s] - whole * total))
-        for i, n in sorted(own, key=lambda x: ((order[x[0], whole] >> 40) % mixing.CELLS, order[x[0], whole], x[0])):  # a permutation goes cell by cell
+        for i, n in sorted(own, key=lambda x: (order[x[0], whole] % 2**64) >> 1):
             if left <= 0:
                 break
             want.add((i, whole))
@@ -66,6 +69,51 @@ def test_mix_against_sorting(spark):
     assert {i for i, _ in got} == set(range(900))
 
 
+def test_mix_with_a_hot_key(spark):
+    """A third of the ids are null, one row stands there a thousand times: blocks keep the weights."""
+    r = random.Random(2)
+    rows = [(None if i % 3 == 0 else i, " ".join(["w"] * r.randint(5, 15)) + f" {i}", "big" if r.random() < 0.8 else "small", i) for i in range(6000)]
+    rows += [(77, "w w w w w w w w", "big", -1)] * 1000
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, take int").withColumns({"s": F.lit("x"), "h": F.lit(1), "my col": F.lit(2), "a:b": F.lit(3)})
+    tokens = collections.Counter()
+    for _, t, s, _ in rows:
+        tokens[s] += len(t.split())
+    weights = mixing.plan(tokens, 0.97, 4.0).weights
+    out = mixing.mix(d, blocks=8)
+    assert set(out.columns) == {*d.columns, *mixing.OUTPUT}
+    out = out.collect()
+    assert {(x["take"], x["text"]) for x in out} == {(x[3], x[1]) for x in rows} and all((x["s"], x["h"], x["my col"], x["a:b"]) == ("x", 1, 2, 3) for x in out)
+    used = collections.Counter()
+    for x in out:
+        used[x["block"], x["source"]] += x["tokens"]
+    for b in range(8):
+        assert abs(used[b, "small"] / (used[b, "small"] + used[b, "big"]) - weights["small"]) < 0.02
+
+
+def test_quality_fit_is_bounded_by_rows(spark):
+    """One doc_id on thousands of rows brings no more positives to the driver than max_positive, and all rows count as unlabelled."""
+    r = random.Random(1)
+    good = lambda: " ".join("".join(r.choice("aeioulrst") for _ in range(r.randint(2, 8))) for _ in range(r.randint(20, 60))) + "."
+    rows = [(7 if i < 1500 else i, good() if i % 4 else good().upper() + "!!***") for i in range(2400)] + [(7, "the same text. again")] * 600
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"score": F.lit(1), "predicted": F.lit(2)})
+    seen, plain = [], quality._descend
+    quality._descend = lambda xp, xu, *a: seen.append((len(xp), len(xu), a[-1].sum())) or plain(xp, xu, *a)
+    try:
+        model = quality.train(d, spark.createDataFrame([(7,), (7,), (1501,), (None,)], "doc_id long"), max_positive=10)
+    finally:
+        quality._descend = plain
+    assert {s[0] for s in seen} == {10} and all(s[1] <= max(1 << quality.CELL_BITS, quality.LEVELS << quality.LEVEL_BITS) for s in seen) and all(abs(s[2] - 1) < 1e-9 for s in seen)
+    assert len(quality.score(d, model).collect()) == 3000
+
+
+def test_quality_features_against_plain_counts():
+    texts = ["Abc DEF, 12! ab ab ab\nline\nline\n", "", "é ö #*$ |", "word " * 50]
+    for t, x in zip(texts, quality.feature_rows(*T.buffers(__import__("pyarrow").array(texts)))):
+        data = t.encode()
+        for k, group in enumerate(quality.GROUPS):
+            assert abs(x[k] - sum(c in group.encode() for c in data) / max(1, len(data))) < 1e-6
+
+
 def test_pu_fit_is_at_the_least_risk():
     r = np.random.default_rng(4)
     xp, xu = r.standard_normal((300, 5)) + 1.0, np.concatenate([r.standard_normal((200, 5)) + 1.0, r.standard_normal((400, 5)) - 1.0])

@@ -4,6 +4,8 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from canopyflow.llm import registry
 
@@ -47,3 +49,20 @@ def test_stages(spark, folder):
 def test_registry():
     assert [n.split("_")[0] for n in registry.queries()] == [f"op{k}" for k in range(1, len(registry.queries()) + 1)]
     assert 4 <= len(corpus_pipeline.STAGES) <= 5 and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_awkward_columns_and_repeated_ids(spark, folder, tmp_path):
+    """Columns named like a stage's own, one doc_id on different texts, no labels: every stage gives the columns back."""
+    path, rows = folder
+    more = {"take": 1, "s": 2, "h": 3, "tokens": 4, "before": 5, "last": 6, "row": 7, "score": 8, "my col": 9, "a:b": 10}
+    again = [(5, rows[7][1], "en", "s1", 1), (5, rows[9][1], "en", "s1", 1), (5, rows[9][1], "en", "s2", 2), (None, rows[11][1], "en", "s1", 1)]
+    docs = spark.createDataFrame(rows + again, "doc_id long, text string, lang string, source string, n_chars long").withColumns({k: F.lit(v) for k, v in more.items()})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(stage(spark, docs, path).collect(), docs.schema)
+        assert docs.columns == columns and docs.count() > 100, name
+        assert docs.select(*[f"`{k}`" for k in more]).distinct().collect() == [tuple(more.values())], name
+    assert docs.where("doc_id is null").count() > 0
+    docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{path}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []

@@ -12,7 +12,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from canopyflow.llm import byte_bpe, language_id, mixing, near_dedup, quality
 from canopyflow.session import materialise, shared_dir, ship, table
@@ -49,8 +48,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     out = docs.join(F.broadcast(removed) if removed.count() <= SMALL_IDS else removed, "doc_id", "left_anti")
     if not repeated.isEmpty():
         whole = F.struct(*[F.col(f"`{c}`") for c in own])
-        first = F.row_number().over(W.partitionBy("doc_id", "text").orderBy(F.to_json(whole)))
-        twice = out.join(repeated, "doc_id", "left_semi").withColumn("__r", first).where("__r = 1").drop("__r")
+        twice = out.join(repeated, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min_by(whole, F.to_json(whole)).alias("__row")).select("__row.*")
         out = out.join(repeated, "doc_id", "left_anti").unionByName(twice)
     return out.select(*[F.col(f"`{c}`") for c in own])
 
@@ -58,7 +56,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the temperature mix uses it; the budget is the least that drops none."""
     ship(spark)
-    return mixing.mix(docs, entropy_share=0.97, max_repeats=4.0).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text")
+    return mixing.mix(rows, entropy_share=0.97, max_repeats=4.0).select("row.*")
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -214,7 +214,11 @@ def train(docs: DataFrame, positives: DataFrame, max_positive: int = 8000, prior
 
     feats = materialise(rows.mapInArrow(extract, "doc_id long, h long, x binary"), f"{path or shared_dir(docs.sparkSession)}/features")
     ids = positives.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    trusted = feats.join(ids, "doc_id", "left_semi").groupBy("h").agg(F.any_value("x").alias("x")).orderBy(F.xxhash64("h"), "h").limit(max_positive).toArrow()
+    known = feats.join(ids, "doc_id", "left_semi")
+    # a few more than max_positive pass a threshold of their hash, so that the ranking of those reads no more whatever the input
+    total = known.select("h").distinct().count()
+    low = F.pmod(F.xxhash64("h"), F.lit(1 << 40)) < int(min(1.0, (1.25 * max_positive + 100) / max(1, total)) * (1 << 40))
+    trusted = known.where(low).groupBy("h").agg(F.any_value("x").alias("x")).orderBy(F.pmod(F.xxhash64("h"), F.lit(1 << 40)), "h").limit(max_positive).toArrow()
     if not trusted.num_rows:
         return None
     xp = np.frombuffer(b"".join(trusted.column("x").to_pylist()), dtype=np.float32).reshape(-1, N_FEATURES).astype(np.float64)

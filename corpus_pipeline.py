@@ -22,9 +22,21 @@ LEAST_LANGUAGE, LEAST_QUALITY = 0.5, 0.3
 SMALL_IDS = 1_000_000
 
 
+#: Rows of an Arrow batch: whole rows and their texts pass through Python, so the default of 10,000 holds many megabytes a task.
+BATCH_ROWS = 2_000
+
+
+def _prepared(spark: SparkSession) -> None:
+    """The library is on the executors, and Arrow batches are small."""
+    ship(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents with a language: not `und`, and posterior at least LEAST_LANGUAGE."""
-    ship(spark)
+    _prepared(spark)
     numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
     judged = language_id.score(numbered, language_id.train(docs), keep=("row",))
     return judged.where((F.col("lang_pred") != language_id.UND) & (F.col("score") >= LEAST_LANGUAGE)).select("row.*")
@@ -32,6 +44,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents with a quality score of at least LEAST_QUALITY."""
+    _prepared(spark)
     positives = table(spark, sf_dir, "labels").where(F.col("quality") == 1)
     model = quality.train(docs, positives)
     numbered = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").alias("text"))
@@ -40,7 +53,7 @@ def classify_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document, that of least doc_id, of each near-duplicate group; of a repeated doc_id one row of each different text."""
-    ship(spark)
+    _prepared(spark)
     own = docs.columns
     found = near_dedup.near_duplicates(docs, k=5, percent=80)
     found = materialise(found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.bool_or("kept").alias("kept")), f"{shared_dir(spark)}/kept")
@@ -55,14 +68,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the temperature mix uses it; the budget is the least that drops none."""
-    ship(spark)
+    _prepared(spark)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "source", "text")
     return mixing.mix(rows, entropy_share=0.97, max_repeats=4.0).select("row.*")
 
 
 def encode_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per row: doc_id, source, n_tokens, ids_sha256, decoded_sha256."""
-    ship(spark)
+    _prepared(spark)
     import public_tokenizers
 
     codec = byte_bpe.train_free_codec(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)

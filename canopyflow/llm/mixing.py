@@ -114,7 +114,8 @@ def mix(docs: DataFrame, entropy_share: float = 0.97, max_repeats: float = 4.0,
     own = [c for c in docs.columns if c not in OUTPUT] if carry else ["doc_id", "source"]
     text = F.col("text").cast("string")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("__row"), F.col("source").cast("string").alias("__s"), token_count(text).alias("__tokens"), F.xxhash64(F.col("doc_id"), text).alias("__key"))
-    small = materialise(rows.drop("__row"), f"{path}/tokens")
+    small = materialise(rows.drop("__row") if carry else rows, f"{path}/tokens")
+    rows = rows if carry else small  # without the texts nothing is read twice
     again = small.groupBy("__key").agg(F.count("*").alias("__n")).where("__n > 1").select("__key", F.lit(True).alias("__again"))
     if not again.isEmpty():  # whole rows are written with their keys, as a place in the input is only good for one reading
         told = F.when(F.col("__again"), F.xxhash64("__key", F.monotonically_increasing_id())).otherwise(F.col("__key"))

@@ -94,50 +94,59 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-#: Low bits of a pair's number that hold its place in the piece; so many bytes a folded piece may have.
-PLACE_BITS = 12
+#: Low bits of a pair's number that hold where the pair starts among its piece's hexadecimal digits.
+PLACE_BITS = 24
 _PLACES = (1 << PLACE_BITS) - 1
+#: The number, less its place, of a pair that has no rank: above all others.
+_NO_RANK = 1 << 56
 
 
 def fold_merges(piece: Column, table: Column) -> Column:
     """array<int> of ids of a binary column, by higher-order functions. table: a column of rank_literal().
 
-    The fold's state is the places where parts start and, for each adjacent pair that has a rank, one number: rank, then
-    place, so that the least number is the pair to join. Steps alternate: find it, then join it and look up its two neighbours.
+    The fold's state is one array: for each part a number made of the rank of the pair that it begins, then the part's
+    place. The least number is the pair to join (leftmost first); its right part leaves the array, and the two
+    pairs around it are looked up. Two question marks, which are no digits, stand before and after the piece, so that
+    every pair has neighbours and those that reach over an end have no rank.
     """
-    return _let(F.hex(piece), lambda digits: _folded(digits, F.octet_length(digits) / 2, table))
+    return _let(F.concat(F.lit("??"), F.hex(piece), F.lit("??")), lambda digits: _folded(digits, table))
 
 
-def _folded(digits: Column, length: Column, table: Column) -> Column:
-    """fold_merges() of a piece's hexadecimal digits."""
-    size = length.cast("int")
+def _folded(digits: Column, table: Column) -> Column:
+    """fold_merges() of a piece's hexadecimal digits between question marks. Places count digits from 1."""
+    size = F.shiftright(F.octet_length(digits), 1) - 2
+    end = size * 2 + 3
 
-    def rank(start: Column, end: Column) -> Column:
-        part = F.substring(digits, start * 2 + 1, (end - start) * 2)
-        return F.try_element_at(F.get(table, F.xxhash64(part).bitwiseAND(RANK_BUCKETS - 1).cast("int")), part)
+    def rank(start: Column, stop: Column) -> Column:
+        part = F.substring(digits, start, stop - start)
+        return _let(part, lambda p: F.try_element_at(F.get(table, F.xxhash64(p).bitwiseAND(RANK_BUCKETS - 1).cast("int")), p))
 
-    def number(start: Column, end: Column) -> Column:
-        return F.shiftleft(rank(start, end).cast("long"), PLACE_BITS) + start
+    def number(start: Column, stop: Column) -> Column:
+        return F.coalesce(F.shiftleft(rank(start, stop).cast("long"), PLACE_BITS), F.lit(_NO_RANK)) + start
+
+    def place(x: Column) -> Column:
+        return x.bitwiseAND(_PLACES).cast("int")
+
+    def join(state: Column, own: Column, at: Column) -> Column:  # own: the pair's number; at: its place in the state, counted from 1
+        left, right = F.get(state, at - 2), F.get(state, at)
+        around = F.array(left, right, number(place(left), place(F.get(state, at + 1))), number(place(own), place(F.get(state, at + 2))))
+        new = lambda x, v: F.when(x == own, F.get(v, F.lit(3))).when(x == F.get(v, F.lit(0)), F.get(v, F.lit(2))).otherwise(x)
+        return _let(around, lambda v: F.transform(F.filter(state, lambda x: x != F.get(v, F.lit(1))), lambda x: new(x, v)))
 
     def step(state: Column, _: Column) -> Column:
-        starts, pairs, at = state["starts"], state["pairs"], state["at"]
-        left, own, right, after = F.get(starts, at - 2), F.get(starts, at - 1), F.get(starts, at), F.get(starts, at + 1)
-        place = lambda p: p.bitwiseAND(_PLACES)
-        kept = F.filter(pairs, lambda p: (place(p) != own) & (place(p) != right) & (place(p) != F.coalesce(left, F.lit(-1))))
-        around = F.array_append(F.array_append(kept, number(left, F.coalesce(after, size))), F.when(after.isNotNull(), number(own, F.coalesce(F.get(starts, at + 2), size))))
-        joined = F.struct(F.array_remove(starts, right).alias("starts"), around.alias("pairs"), F.lit(0).alias("at"))
-        found = F.coalesce(F.array_position(starts, place(F.array_min(pairs)).cast("int")).cast("int"), F.lit(-1))
-        return F.when(at == 0, F.struct(starts.alias("starts"), pairs.alias("pairs"), found.alias("at"))).when(at > 0, joined).otherwise(state)
+        found = lambda own: _let(F.array_position(state, own).cast("int"), lambda at: join(state, own, at))
+        return _let(F.array_min(state), lambda own: F.when(own < _NO_RANK, found(own)).otherwise(state))
 
     def ids(state: Column) -> Column:
-        starts = state["starts"]
-        return F.transform(starts, lambda x, i: rank(x, F.coalesce(F.get(starts, i + 1), size)))
+        return F.transform(F.slice(state, 2, F.size(state) - 3), lambda x, i: rank(place(x), place(F.get(state, i + 2))))
 
-    first = F.transform(F.sequence(F.lit(0), size - 2), lambda i: number(i, i + 2))
-    begin = F.struct(F.sequence(F.lit(0), size - 1).alias("starts"), first.alias("pairs"), F.lit(0).alias("at"))
-    folded = F.aggregate(F.sequence(F.lit(1), size * 2 - 1), begin, step, ids)
+    no_rank = lambda at: F.lit(_NO_RANK) + at
+    pairs = F.transform(F.sequence(F.lit(3), end - 4, F.lit(2)), lambda i: number(i, i + 4))
+    begin = F.concat(F.array(no_rank(F.lit(1))), pairs, F.array(no_rank(end - 2), no_rank(end), no_rank(end + 2)))
+    folded = F.aggregate(F.sequence(F.lit(1), size - 1), begin, step, ids)
     none = F.array().cast("array<int>")
-    return F.when(size == 0, none).when(size == 1, F.array(rank(F.lit(0), size))).otherwise(_let(rank(F.lit(0), size), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded)))
+    whole = lambda: rank(F.lit(3), end)
+    return F.when(size == 0, none).when(size == 1, F.array(whole())).otherwise(_let(whole(), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded)))
 
 
 def pieces(docs: DataFrame, pattern: str, text: str = "text", kept: int = 1 << 18) -> DataFrame:

@@ -36,6 +36,8 @@ from canopyflow.llm import textnp as T
 from canopyflow.session import materialise, shared_dir
 
 RANK_BUCKETS = 1 << 15
+#: Characters to which a session's plan descriptions are held: each would repeat the rank literal, and the driver keeps them.
+PLAN_CHARS = 1 << 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -343,6 +345,7 @@ def frequent(counted: DataFrame, most: int) -> DataFrame:
 def train_free_codec(docs: DataFrame, ranks_path: str, pattern: str, cached_pieces: int = 300_000, cached_bytes: int = 64, fold_bytes: int = 512, text: str = "text", path: str | None = None) -> Codec:
     """A codec whose broadcast holds the ids of up to cached_pieces frequent pieces of docs, each of up to cached_bytes bytes."""
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.maxPlanStringLength", str(PLAN_CHARS))
     codec = Codec(spark, load_ranks(ranks_path), pattern, fold_bytes=fold_bytes)
     counted = pieces(docs, pattern, text).where((F.col("n") > 1) & (F.octet_length("piece") <= cached_bytes))
     counted = materialise(counted, f"{path or shared_dir(spark)}/pieces")

@@ -130,10 +130,8 @@ def _folded(digits: Column, table: Column) -> Column:
         return x.bitwiseAND(_PLACES).cast("int")
 
     def join(state: Column, own: Column, at: Column) -> Column:  # own: the pair's number; at: its place in the state, counted from 1
-        left, right = F.get(state, at - 2), F.get(state, at)
-        around = F.array(left, right, number(place(left), place(F.get(state, at + 1))), number(place(own), place(F.get(state, at + 2))))
-        new = lambda x, v: F.when(x == own, F.get(v, F.lit(3))).when(x == F.get(v, F.lit(0)), F.get(v, F.lit(2))).otherwise(x)
-        return _let(around, lambda v: F.transform(F.filter(state, lambda x: x != F.get(v, F.lit(1))), lambda x: new(x, v)))
+        left = number(place(F.get(state, at - 2)), place(F.get(state, at + 1)))
+        return F.concat(F.slice(state, 1, at - 2), F.array(left, number(place(own), place(F.get(state, at + 2)))), F.slice(state, at + 2, F.size(state)))
 
     def step(state: Column, _: Column) -> Column:
         found = lambda own: _let(F.array_position(state, own).cast("int"), lambda at: join(state, own, at))

@@ -86,26 +86,12 @@ def dtw(a: np.ndarray, b: np.ndarray, window: int = 2) -> float:
     return float(math.sqrt(d[n, m]))
 
 
-def dtw_pairs(series: DataFrame, key: str, arrays: list[str], window: int = 2) -> DataFrame:
-    """(key, key_b, distance) of every pair of the given trees: the stated comparison set of the clustering step.
-
-    series: one row a tree with an array for each metric; the distance is the mean over metrics.
-    """
-    other = series.withColumnsRenamed({c: c + "_b" for c in series.columns})
-
-    @F.pandas_udf("double")
-    def distance(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        return pd.Series([float(np.mean([dtw(np.asarray(p, float), np.asarray(q, float), window) for p, q in zip(x, y)])) for x, y in zip(a.itertuples(index=False), b.itertuples(index=False))])
-
-    return series.join(other, F.col(key) < F.col(f"{key}_b")).select(key, f"{key}_b", distance(F.struct(*arrays), F.struct(*[c + "_b" for c in arrays])).alias("distance"))
-
-
-def linkage(d: np.ndarray, method: str = "ward") -> list[tuple[int, int, float, int]]:
-    """Agglomeration of a distance matrix by Lance-Williams: (cluster, cluster, height, size), as merges go on."""
+def linkage(d: np.ndarray, method: str = "ward", sizes: np.ndarray | None = None) -> list[tuple[int, int, float, int]]:
+    """Agglomeration of a distance matrix by Lance-Williams: (cluster, cluster, height, size), as merges go on. sizes: of clusters to begin with."""
     n = len(d)
     dist = d.astype(float) ** 2 if method == "ward" else d.astype(float).copy()
     np.fill_diagonal(dist, np.inf)
-    size, name, alive, out = np.ones(n), list(range(n)), np.ones(n, bool), []
+    size, name, alive, out = np.ones(n) if sizes is None else np.array(sizes, float), list(range(n)), np.ones(n, bool), []
     for k in range(n - 1):
         live = np.flatnonzero(alive)
         sub = dist[np.ix_(live, live)]

@@ -66,3 +66,53 @@ def square_patch(pixels: DataFrame, keys: list[str], side: int, bands: list[str]
     made = near.groupBy(*keys).agg(*[F.map_from_entries(F.collect_list(F.struct(index, F.col(b).cast("double")))).alias(b) for b in bands])
     dense = lambda m: F.transform(F.sequence(F.lit(0), F.lit(side * side - 1)), lambda k: F.coalesce(F.try_element_at(m, k), F.lit(0.0)))
     return made.withColumns({b: dense(F.col(b)) for b in bands})
+
+
+def _window(grid, left, top, right, bottom):
+    """The pixels of a grid that bounds take: offsets rounded down, lengths to the nearest, inside of the grid."""
+    start = lambda v: F.greatest(F.floor(v + 1e-6), F.lit(0)).cast("int")
+    col, row = start((left - grid["left"]) / grid["size_x"]), start((grid["top"] - top) / grid["size_y"])
+    length = lambda v, at, most: F.least(F.floor(v + 0.5).cast("int"), most - at)
+    height, width = length((top - bottom) / grid["size_y"], row, grid["height"]), length((right - left) / grid["size_x"], col, grid["width"])
+    return F.struct(row.alias("row"), col.alias("col"), height.alias("height"), width.alias("width"))
+
+
+def overlap_windows(grids: DataFrame, ref: str = "ref", mov: str = "mov") -> DataFrame:
+    """Grids with ref_window and mov_window (row, col, height, width): what two north-up rasters share, in the pixels of each.
+
+    ref and mov: structs of left, top, size_x, size_y (map units, sizes positive), height and width (pixels). Both windows
+    are null where the rasters do not meet, where one takes fewer than two rows or columns, or where a field is null.
+    """
+    a, b = F.col(ref), F.col(mov)
+    right, bottom = (lambda g: g["left"] + g["width"] * g["size_x"]), (lambda g: g["top"] - g["height"] * g["size_y"])
+    both = [F.when(a[f].isNotNull() & b[f].isNotNull(), end(a[f], b[f])) for f, end in (("left", F.greatest), ("top", F.least))]
+    both += [F.when(edge(a).isNotNull() & edge(b).isNotNull(), end(edge(a), edge(b))) for edge, end in ((right, F.least), (bottom, F.greatest))]
+    made = grids.withColumns({"ref_window": _window(a, *both), "mov_window": _window(b, *both)})
+    large = (both[0] < both[2]) & (both[3] < both[1])
+    for w in ("ref_window", "mov_window"):
+        large &= (F.col(f"{w}.height") >= 2) & (F.col(f"{w}.width") >= 2)
+    large = F.coalesce(large, F.lit(False))
+    return made.withColumn("__large", large).withColumns({w: F.when(F.col("__large"), F.col(w)) for w in ("ref_window", "mov_window")}).drop("__large")
+
+
+def matched(pixels: DataFrame, windows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(keys, row, col, value): the moving raster's window, bilinear, in the shape of the reference's window.
+
+    pixels: keys, row, col, value of the moving rasters. row and col count from the corner of the reference's window. Each pixel is the
+    weighted mean of up to four pixels around its centre; missing pixels and null values are left out, and a pixel without any has no row. No smoothing goes before.
+    """
+
+    def places(side: str, n: str, axis: str):
+        count, own = F.col(f"ref_window.{n}"), F.col(f"mov_window.{n}")
+        spot = lambda i: F.least(F.greatest((i + 0.5) * own / count - 0.5, F.lit(0.0)), own - 1.0)
+        low = lambda i: F.floor(spot(i)).cast("int")
+        one = lambda i, up: F.struct(i.alias(axis), (F.col(f"mov_window.{axis}") + low(i) + up).alias("at"), (spot(i) - low(i) if up else 1.0 - (spot(i) - low(i))).alias("weight"))
+        return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array(one(i, 0), one(i, 1)))), lambda p: p["weight"] > 0).alias(side)
+
+    found = windows.where(F.col("ref_window").isNotNull()).select(*keys, F.inline(F.array(F.struct("ref_window", "mov_window"))))  # computed once a patch
+    rows = found.select(*keys, places("__r", "height", "row"), places("__c", "width", "col"))
+    rows = rows.select(*keys, F.explode("__r").alias("__r"), "__c").select(*keys, "__r", F.explode("__c").alias("__c"))
+    want = rows.select(*keys, F.col("__r.row").alias("__row"), F.col("__c.col").alias("__col"), F.col("__r.at").alias("row"), F.col("__c.at").alias("col"), (F.col("__r.weight") * F.col("__c.weight")).alias("__w"))
+    met = want.join(pixels.where(F.col(value).isNotNull()).select(*keys, "row", "col", value), [*keys, "row", "col"])
+    mean = F.sum(F.col("__w") * F.col(value)) / F.sum("__w")
+    return met.groupBy(*keys, "__row", "__col").agg(mean.alias(value)).withColumnsRenamed({"__row": "row", "__col": "col"})

@@ -26,7 +26,7 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def _load() -> None:
     """The query modules register themselves when they are imported."""
-    from canopyflow.plans import cluster_queries, column_queries, geometry_queries, graph_queries, label_queries, overlay_queries, report_queries, series_queries, table_queries, tracking_queries  # noqa: F401
+    from canopyflow.plans import cluster_queries, column_queries, geometry_queries, graph_queries, label_queries, overlay_queries, raster_queries, report_queries, series_queries, table_queries, tracking_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -11,6 +11,7 @@ are folded in the text's own row, so nothing but the counts is shuffled and no t
 than `fold_bytes` bytes, for which the fold's copying would grow with the square of its length, is merged by a heap.
 
 Decoding looks each id's bytes up in a literal and concatenates them (as hexadecimal digits, in linear time).
+digests() decodes runs of known ids by the same table in Arrow batches, and the ids of pieces folded in the row by the literal.
 
 Defined results: null and empty text give no ids and decode to the empty string; special tokens are
 ordinary text; repeated rows are encoded alike; an unknown or null id makes decoding raise, null ids decode to
@@ -121,7 +122,7 @@ def _folded(digits: Column, table: Column) -> Column:
 
     def rank(start: Column, stop: Column) -> Column:
         part = F.substring(digits, start, stop - start)
-        return _let(part, lambda p: F.try_element_at(F.get(table, F.xxhash64(p).bitwiseAND(RANK_BUCKETS - 1).cast("int")), p))
+        return F.try_element_at(F.get(table, F.xxhash64(part).bitwiseAND(RANK_BUCKETS - 1).cast("int")), part)
 
     def number(start: Column, stop: Column) -> Column:
         return F.coalesce(F.shiftleft(rank(start, stop).cast("long"), PLACE_BITS), F.lit(_NO_RANK)) + start
@@ -131,7 +132,7 @@ def _folded(digits: Column, table: Column) -> Column:
 
     def join(state: Column, own: Column, at: Column) -> Column:  # own: the pair's number; at: its place in the state, counted from 1
         left = number(place(F.get(state, at - 2)), place(F.get(state, at + 1)))
-        return F.concat(F.slice(state, 1, at - 2), F.array(left, number(place(own), place(F.get(state, at + 2)))), F.slice(state, at + 2, F.size(state)))
+        return F.flatten(F.array(F.slice(state, 1, at - 2), F.array(left, number(place(own), place(F.get(state, at + 2)))), F.slice(state, at + 2, F.size(state))))
 
     def step(state: Column, _: Column) -> Column:
         found = lambda own: _let(F.array_position(state, own).cast("int"), lambda at: join(state, own, at))
@@ -149,6 +150,34 @@ def _folded(digits: Column, table: Column) -> Column:
     return F.when(size == 0, none).when(size == 1, F.array(whole())).otherwise(_let(whole(), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(folded)))
 
 
+#: A pattern by which a space before anything but white space begins a piece, whatever stands before it: none of its matches
+#: holds a space after its first character, but for those of white space alone, which leave the last one to what follows.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
+class Cutter:
+    """Cuts texts into pieces. By SPACED, a text is cut at its spaces first, as its words are fewer than its pieces and recur:
+    rest() gives the words after a text's head, each standing for the pieces of a space and the word."""
+
+    def __init__(self, pattern: str):
+        import regex
+
+        self.find = regex.compile(pattern).findall
+        self.odd = regex.compile(r" (?=\s|\Z)").search if pattern == SPACED else lambda text: True
+
+    def cut(self, text: str) -> tuple[list[str], list[str]]:
+        """(pieces of the head, words of the rest): a text with a space before white space or its end is all head."""
+        if self.odd(text):
+            return self.find(text), []
+        words = text.split(" ")
+        head = words.pop(0)
+        return self.find(head) if head else [], words
+
+    def word(self, word: str) -> list[str]:
+        """The pieces of a space and a word."""
+        return [" " + word] if word.isascii() and word.isalpha() else self.find(" " + word)
+
+
 def pieces(docs: DataFrame, pattern: str, text: str = "text", kept: int = 1 << 18) -> DataFrame:
     """(piece string, n long): every piece of all texts with its number of occurrences.
 
@@ -156,28 +185,39 @@ def pieces(docs: DataFrame, pattern: str, text: str = "text", kept: int = 1 << 1
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import regex
-
-        find = regex.compile(pattern).findall
+        cutter = Cutter(pattern)
         seen: Counter = Counter()
+        words: Counter = Counter()
+
+        def gather() -> None:
+            for w, n in words.items():
+                for p in cutter.word(w):
+                    seen[p] += n
+            words.clear()
 
         def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
+            made = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["piece", "n"])
+            seen.clear()
+            return made
 
         for batch in batches:
             for t in batch.column(0):
                 t = t.as_py()
                 if t:
-                    seen.update(find(t))
+                    head, rest = cutter.cut(t)
+                    seen.update(head)
+                    words.update(rest)
+                    if len(words) > kept // 4:
+                        gather()
                     if len(seen) > kept:
                         yield out()
-                        seen.clear()
+        gather()
         yield out()
 
     return docs.select(F.col(f"`{text}`").cast("string").alias("t")).mapInArrow(count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-class Splitter(dict):
+class Pieces(dict):
     """piece -> its ids as little-endian 32-bit integers. A piece without ids gets a negative number, as a reference
     to its place in `words` (-1 is the first), until forget()."""
 
@@ -204,6 +244,48 @@ class Splitter(dict):
         return words
 
 
+class Splitter(dict):
+    """word -> the ids of a space and the word, as Pieces has them. Words of known pieces are kept, up to `most` of them."""
+
+    def __init__(self, pieces: Pieces, cutter: Cutter, most: int = 1 << 16):
+        super().__init__()
+        self.pieces, self.cutter, self.most = pieces, cutter, most
+
+    def __missing__(self, word: str) -> bytes:
+        parts = list(map(self.pieces.__getitem__, self.cutter.word(word)))
+        made = parts[0] if len(parts) == 1 else b"".join(parts)
+        if not any(len(p) == 4 and p[3] > 127 for p in parts):
+            if len(self) >= self.most:
+                self.clear()
+            self[word] = made
+        return made
+
+    def ids(self, text: str) -> tuple[bytes, list[bytes]]:
+        """The ids of a text and its words without ids, to which negative numbers refer."""
+        head, rest = self.cutter.cut(text)
+        made = b"".join([*map(self.pieces.__getitem__, head), *map(self.__getitem__, rest)])
+        return made, self.pieces.forget()
+
+
+class Spelling:
+    """The bytes of ids, by a table of all."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.size, self.at = np.zeros(max(ranks.values(), default=0) + 1, np.int64), np.zeros(max(ranks.values(), default=0) + 1, np.int64)
+        self.raw = np.frombuffer(b"".join(ranks), np.uint8)
+        sizes, ids = np.fromiter(map(len, ranks), np.int64, len(ranks)), np.fromiter(ranks.values(), np.int64, len(ranks))
+        self.size[ids], self.at[ids] = sizes, np.cumsum(sizes) - sizes
+
+    def decode(self, ids: np.ndarray, block: int = 1 << 18) -> bytes:
+        out = []
+        for k in range(0, len(ids), block):
+            part = ids[k : k + block]
+            sizes = self.size[part]
+            ends = np.cumsum(sizes)
+            out.append(self.raw[np.repeat(self.at[part] - ends + sizes, sizes) + np.arange(ends[-1])].tobytes())
+        return b"".join(out)
+
+
 #: The last codec's tools in this worker process, by the codec's name.
 _splitters: dict[str, tuple] = {}
 
@@ -217,22 +299,17 @@ class Codec:
         self.hold(known if known is not None else pa.table({"piece": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))}))
 
     def hold(self, known: pa.Table) -> None:
-        """Broadcast the ids of these pieces (piece, ids)."""
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, known.schema) as out:
-            out.write_table(known)
-        self.name, self.held = uuid.uuid4().hex, self.spark.sparkContext.broadcast((sink.getvalue().to_pybytes(), self.ranks))
+        """Broadcast the ids of these pieces (piece, ids). The table is pickled as it is, so the driver holds it once."""
+        self.name, self.held = uuid.uuid4().hex, self.spark.sparkContext.broadcast((known, self.ranks))
 
     def __getstate__(self) -> dict:  # what the workers need
         return {"name": self.name, "held": self.held, "pattern": self.pattern, "fold_bytes": self.fold_bytes}
 
     def _tools(self) -> tuple:
-        """(find, Splitter), made once in a worker process."""
+        """(Splitter, Spelling), made once in a worker process."""
         if self.name not in _splitters:
-            import regex
-
-            stream, ranks = self.held.value
-            table = pa.ipc.open_stream(stream).read_all().combine_chunks()
+            table, ranks = self.held.value
+            table = table.combine_chunks()
             words = table.column("piece").to_pylist()
             known: dict[str, bytes] = {}
             if words:
@@ -240,91 +317,101 @@ class Codec:
                 flat, off = lists.values.to_numpy(zero_copy_only=False).astype("<i4").tobytes(), lists.offsets.to_numpy() * 4
                 known = {w: flat[a:b] for w, a, b in zip(words, off[:-1].tolist(), off[1:].tolist())}
             _splitters.clear()
-            _splitters[self.name] = (regex.compile(self.pattern).findall, Splitter(known, ranks, self.fold_bytes))
+            _splitters[self.name] = (Splitter(Pieces(known, ranks, self.fold_bytes), Cutter(self.pattern)), Spelling(ranks))
         return _splitters[self.name]
 
-    def _split(self, docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-        """The keep columns with runs array<array<int>> (runs of ids, or one negative reference), their bytes
-        array<binary> (little-endian; null for a reference) and words array<binary>."""
+    def _split(self, docs: DataFrame, text: str, keep: tuple[str, ...], spelled: bool) -> DataFrame:
+        """The keep columns, each text in runs of known ids or of one word without ids: __refs array<int> (0, or the number of the word),
+        __words array<binary>, and the runs, which are empty for a word: as __ids array<array<int>>, or if spelled as
+        __bytes array<binary> (ids as little-endian integers) and __spelled array<binary> (what those ids decode to)."""
         codec = self
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            find, splitter = codec._tools()
+            splitter, spelling = codec._tools()
+            lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), x)
             for batch in batches:
                 texts = batch.column(batch.num_columns - 1)
                 _, offsets = T.buffers(texts)
                 for i, j in T.slices(offsets):
-                    flat, cuts, first, words, word_first, raw = [], [np.zeros(1, np.int64)], [0], [], [0], []
-                    at = runs = 0
-                    for t in texts.slice(i, j - i):
-                        t = t.as_py()
-                        if t:
-                            codes = np.frombuffer(b"".join(map(splitter.__getitem__, find(t))), dtype="<i4")
-                            gap = np.flatnonzero(codes < 0)
-                            edges = np.unique(np.concatenate([gap, gap + 1, [len(codes)]]))
-                            edges = edges[edges > 0]
-                            flat.append(codes)
-                            blob, begins = codes.tobytes(), np.concatenate([[0], edges[:-1]])
-                            raw += [None if r else blob[4 * u : 4 * v] for r, u, v in zip((codes[begins] < 0).tolist(), begins.tolist(), edges.tolist())]
-                            cuts.append(edges + at)
-                            at, runs = at + len(codes), runs + len(edges)
-                            words += splitter.forget()
-                        first.append(runs)
-                        word_first.append(len(words))
-                    values = pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32())
-                    inner = pa.ListArray.from_arrays(pa.array(np.concatenate(cuts), pa.int32()), values)
-                    lists = lambda at, x: pa.ListArray.from_arrays(pa.array(at, pa.int32()), x)
-                    made = [lists(first, inner), lists(first, pa.array(raw, pa.binary())), lists(word_first, pa.array(words, pa.binary()))]
-                    yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), *made], names=[*batch.schema.names[:-1], "__runs", "__bytes", "__words"])
-
+                    found = [splitter.ids(t) if t else (b"", []) for t in texts.slice(i, j - i).to_pylist()]
+                    codes = np.frombuffer(b"".join([f[0] for f in found]), dtype="<i4")
+                    text_at = np.cumsum([0, *(len(f[0]) // 4 for f in found)])
+                    word_at = np.cumsum([0, *(len(f[1]) for f in found)])
+                    missing = codes < 0
+                    begins = missing.copy()
+                    begins[1:] |= missing[:-1]
+                    begins[text_at[text_at < len(codes)]] = True
+                    begins = np.flatnonzero(begins)
+                    first = np.searchsorted(begins, text_at)
+                    known = codes[~missing]
+                    id_at = np.concatenate([[0], np.cumsum(~missing)])[np.append(begins, len(codes))]
+                    refs = np.where(missing[begins], -codes[begins], 0)
+                    if spelled:
+                        raw_at = np.concatenate([[0], np.cumsum(spelling.size[known])])[id_at]
+                        binary = lambda at, raw: pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(raw)])
+                        runs = [binary(4 * id_at, known.tobytes()), binary(raw_at, spelling.decode(known))]
+                    else:
+                        runs = [lists(id_at, pa.array(known, pa.int32()))]
+                    made = [lists(first, pa.array(refs, pa.int32())), lists(word_at, pa.array([w for f in found for w in f[1]], pa.binary())), *(lists(first, r) for r in runs)]
+                    yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns[:-1]), *made], names=[*batch.schema.names[:-1], *names])
+
+        kinds = [("__refs", S.IntegerType()), ("__words", S.BinaryType())]
+        kinds += [("__bytes", S.BinaryType()), ("__spelled", S.BinaryType())] if spelled else [("__ids", S.ArrayType(S.IntegerType()))]
+        names = [name for name, _ in kinds]
         rows = docs.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").cast("string").alias("__in"))
-        made = [S.StructField("__runs", S.ArrayType(S.ArrayType(S.IntegerType()))), S.StructField("__bytes", S.ArrayType(S.BinaryType())), S.StructField("__words", S.ArrayType(S.BinaryType()))]
+        made = [S.StructField(name, S.ArrayType(kind)) for name, kind in kinds]
         return rows.mapInArrow(run, S.StructType([*rows.schema.fields[:-1], *made]))
 
-    def _folded(self, docs: DataFrame, text: str, keep: tuple[str, ...]) -> DataFrame:
-        """_split() with folded array<array<int>>: the ids of words."""
+    def _folded(self, docs: DataFrame, text: str, keep: tuple[str, ...], spelled: bool) -> DataFrame:
+        """_split() with __folded array<array<int>>: the ids of words."""
         words = _let(self.literal, lambda table: F.transform("__words", lambda w: fold_merges(w, table)))
-        return self._split(docs, text, keep).select(*[F.col(f"`{c}`") for c in keep], "__runs", "__bytes", words.alias("__folded"))
-
-    @staticmethod
-    def _ids() -> Column:
-        """array<int>: runs with every reference replaced by its word's ids. flatten stays outside of lambdas, where Spark compiles it."""
-        return F.flatten(_let(F.col("__folded"), lambda folded: F.transform("__runs", lambda r: F.when(F.get(r, F.lit(0)) < 0, F.get(folded, -F.get(r, F.lit(0)) - 1)).otherwise(r))))
-
-    def _id_bytes(self) -> Column:
-        """binary: the same ids as little-endian unsigned 32-bit integers, from the runs' bytes and the words' ids."""
-        little = lambda i: F.lpad(F.hex(F.shiftright(i, 0)), 8, "0")
-        turned = lambda h: F.concat(F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2), F.substring(h, 1, 2))
-        word = lambda ids: F.array_join(F.transform(ids, lambda i: turned(little(i))), "")
-        part = lambda raw, r, folded: F.when(raw.isNotNull(), F.hex(raw)).otherwise(word(F.get(folded, -F.get(r, F.lit(0)) - 1)))
-        return F.unhex(F.array_join(_let(F.col("__folded"), lambda folded: F.zip_with("__bytes", "__runs", lambda raw, r: part(raw, r, folded))), ""))
+        runs = ("__bytes", "__spelled") if spelled else ("__ids",)
+        return self._split(docs, text, keep, spelled).select(*[F.col(f"`{c}`") for c in keep], "__refs", *runs, words.alias("__folded"))
 
     def encode(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """The keep columns with ids array<int>."""
-        return self._folded(docs, text, keep).select(*[F.col(f"`{c}`") for c in keep], self._ids().alias("ids"))
+        # flatten stays outside of lambdas, where Spark compiles it
+        ids = F.flatten(_let(F.col("__folded"), lambda folded: F.zip_with("__refs", "__ids", lambda r, own: F.when(r > 0, F.get(folded, r - 1)).otherwise(own))))
+        return self._folded(docs, text, keep, False).select(*[F.col(f"`{c}`") for c in keep], ids.alias("ids"))
 
-    def _digits(self, ids: Column, digits: list[str]) -> Column:
-        """binary: the hexadecimal digits of each id, one after another; a question mark, which is no digit, for what is unknown."""
-        table = F.split(F.lit(" ".join(digits)), " ")
-        made = F.unhex(F.array_join(_let(table, lambda t: F.transform(ids, lambda i: F.get(t, i))), "", "?"))
-        return F.when(ids.isNotNull(), F.coalesce(made, F.raise_error(F.lit("an id is not in the vocabulary")).cast("binary")))
+    def _spelled(self, ids: Column, digits: Column) -> Column:
+        """string: the digits of each id, one after another; a question mark, which is no digit, for what is unknown."""
+        return F.array_join(F.transform(ids, lambda i: F.get(digits, i)), "", "?")
 
-    def bytes_of(self, ids: Column) -> Column:
-        """binary: the bytes that array<int> ids stand for."""
+    def _digits(self) -> Column:
+        """array<string>: the hexadecimal digits of each id's bytes."""
         digits = ["?"] * (max(self.ranks.values(), default=0) + 1)
         for p, r in self.ranks.items():
             digits[r] = p.hex()
-        return self._digits(ids, digits)
+        return F.split(F.lit(" ".join(digits)), " ")
+
+    def bytes_of(self, ids: Column) -> Column:
+        """binary: the bytes that array<int> ids stand for."""
+        made = F.unhex(_let(self._digits(), lambda digits: self._spelled(ids, digits)))
+        return F.when(ids.isNotNull(), F.coalesce(made, _unknown()))
 
     def decode(self, encoded: DataFrame, ids: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
         """The keep columns with bytes binary; null ids give null."""
         return encoded.select(*[F.col(f"`{c}`") for c in keep], self.bytes_of(F.col(f"`{ids}`").cast("array<int>")).alias("bytes"))
 
     def digests(self, docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-        """The keep columns with n_tokens, ids_sha256 and decoded_sha256: a round trip without moving the ids."""
+        """The keep columns with n_tokens, ids_sha256 and decoded_sha256: a round trip without moving the ids.
+
+        Runs of known ids come with their bytes and what they decode to; the ids of words folded here are turned and decoded here.
+        """
         own = [F.col(f"`{c}`") for c in keep]
-        encoded = self._folded(docs, text, keep).select(*own, self._ids().alias("__ids"), F.sha2(self._id_bytes(), 256).alias("ids_sha256"))
-        return encoded.select(*own, F.size("__ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2(self.bytes_of(F.col("__ids")), 256).alias("decoded_sha256"))
+        little = lambda i: _let(F.lpad(F.hex(i), 8, "0"), lambda h: F.concat(*[F.substring(h, k, 2) for k in (7, 5, 3, 1)]))
+        turned = F.transform("__folded", lambda ids: F.array_join(F.transform(ids, little), ""))
+        spelled = _let(self._digits(), lambda digits: F.transform("__folded", lambda ids: self._spelled(ids, digits)))
+        joined = lambda runs, words: F.unhex(F.array_join(_let(words, lambda w: F.zip_with(runs, "__refs", lambda raw, r: F.when(r > 0, F.get(w, r - 1)).otherwise(F.hex(raw)))), ""))
+        whole = self._folded(docs, text, keep, True).select(*own, joined("__bytes", turned).alias("__raw"), joined("__spelled", spelled).alias("__decoded"))
+        n_tokens = F.shiftright(F.octet_length("__raw"), 2).cast("long")
+        return whole.select(*own, n_tokens.alias("n_tokens"), F.sha2("__raw", 256).alias("ids_sha256"), F.sha2(F.coalesce("__decoded", _unknown()), 256).alias("decoded_sha256"))
+
+
+def _unknown() -> Column:
+    """Raises where it is evaluated."""
+    return F.raise_error(F.lit("an id is not in the vocabulary")).cast("binary")
 
 
 def frequent(counted: DataFrame, most: int) -> DataFrame:
@@ -350,4 +437,5 @@ def train_free_codec(docs: DataFrame, ranks_path: str, pattern: str, cached_piec
     top = frequent(counted, cached_pieces).repartition(2 * spark.sparkContext.defaultParallelism)
     folded = top.select("piece", _let(codec.literal, lambda table: fold_merges(F.col("piece").cast("binary"), table)).alias("ids"))
     codec.hold(folded.toArrow())
+    pa.default_memory_pool().release_unused()
     return codec

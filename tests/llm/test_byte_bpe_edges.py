@@ -39,3 +39,28 @@ def test_columns_with_clashing_names(spark, vocabulary):
     wide = spark.createDataFrame(rows, "doc_id long, text string, ids int, piece string, n_tokens double")
     made = [sorted(map(tuple, byte_bpe.train_free_codec(d, *vocabulary).digests(d).collect()), key=str) for d in (plain, wide)]
     assert made[0] == made[1] and len(made[0]) == 3
+
+
+def test_texts_are_cut_at_spaces_as_by_the_pattern(vocabulary):
+    regex = pytest.importorskip("regex")
+    rng = random.Random(3)
+    signs = ["a", "Bé", "漢", "12", "'s", "'", "!", "(", " ", " ", " ", "  ", "\n", "\t", "\u00a0", "\x1c", "\u0301", " \n", "\n "]
+    texts = ["", " ", " a", "a ", "a  b", "a\n b", "a \nb", " 's 't"] + ["".join(rng.choice(signs) for _ in range(rng.randrange(1, 12))) for _ in range(5000)]
+    for pattern in (vocabulary[1], r"\s?\S+|\s+"):
+        cutter, whole = byte_bpe.Cutter(pattern), regex.compile(pattern).findall
+        for t in texts:
+            head, rest = cutter.cut(t)
+            assert head + [p for w in rest for p in cutter.word(w)] == whole(t), t
+    assert byte_bpe.Cutter(vocabulary[1]).cut("one two two") == (["one"], ["two", "two"])
+
+
+def test_words_of_known_pieces_are_looked_up_once_and_others_forgotten(vocabulary):
+    ranks = byte_bpe.load_ranks(vocabulary[0])
+    known = {p: bytes([k, 0, 0, 0]) for k, p in enumerate([" one", "one", " two", ","])}
+    splitter = byte_bpe.Splitter(byte_bpe.Pieces(known, ranks, 512), byte_bpe.Cutter(vocabulary[1]), most=2)
+    for _ in range(2):
+        ids, words = splitter.ids("one one, zzxqj zzxqj two")
+        assert words == [b" zzxqj"] and [int.from_bytes(ids[k : k + 4], "little", signed=True) for k in range(0, len(ids), 4)] == [1, 0, 3, -1, -1, 2]
+        assert "zzxqj" not in splitter and len(splitter) <= 2 and len(splitter.pieces) == 4
+    spelling, text = byte_bpe.Spelling(ranks), "Hello wörld 漢 12 " * 50
+    assert spelling.decode(byte_bpe.np.array(byte_bpe.merge(text.encode(), ranks)), block=7) == text.encode()

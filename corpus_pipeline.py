@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from canopyflow.llm import byte_bpe, language_id, mixing, near_dedup, quality
-from canopyflow.session import materialise, shared_dir, ship, table
+from canopyflow.session import materialise, release_shuffles, shared_dir, ship, table
 
 #: Least posterior of the predicted language; least quality score.
 LEAST_LANGUAGE, LEAST_QUALITY = 0.5, 0.3
@@ -27,8 +27,11 @@ BATCH_ROWS = 2_000
 
 
 def _prepared(spark: SparkSession) -> None:
-    """The library is on the executors, and Arrow batches are small."""
+    """The library is on the executors, Arrow batches are small, and the driver has let go of the plans, models and broadcasts
+    of the stages before; of plans that it has run it keeps descriptions of bounded length."""
     ship(spark)
+    release_shuffles(spark)
+    spark.conf.set("spark.sql.maxPlanStringLength", str(byte_bpe.PLAN_CHARS))
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) > BATCH_ROWS:
         spark.conf.set(key, str(BATCH_ROWS))

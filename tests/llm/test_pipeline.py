@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from canopyflow.llm import registry
+from canopyflow.llm import byte_bpe, registry
 
 
 @pytest.fixture(scope="module")
@@ -66,3 +66,14 @@ def test_awkward_columns_and_repeated_ids(spark, folder, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     spark.read.parquet(f"{path}/labels.parquet").limit(0).write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_begin_by_letting_go_of_the_stages_before(spark, folder, monkeypatch):
+    released = []
+    monkeypatch.setattr(corpus_pipeline, "release_shuffles", released.append, raising=False)
+    docs = spark.read.parquet(f"{folder[0]}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES[3:]:
+        spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 20))
+        stage(spark, docs, folder[0])
+        assert released.pop() is spark and not released, name
+        assert spark.conf.get("spark.sql.maxPlanStringLength") == str(byte_bpe.PLAN_CHARS)

@@ -294,11 +294,11 @@ def a17(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("a18_features", f"WITH {D.BOXES_SQL} SELECT crown_idx, brand, round((maxx - minx) * (maxy - miny), 6) AS area FROM boxes")
 def a18(spark: SparkSession, sf: str) -> DataFrame:
-    """Written as a GeoJSON collection for each flight and read again."""
+    """Written as GeoJSON collections, one for each flight and 10,000 keys, and read again."""
     path = f"{shared_dir(spark)}/features"
-    lines = X.feature_json(D.rings(D.boxes(spark, sf)), ["crown_idx", "brand", "om_id"]).withColumn("om", F.get_json_object("feature", "$.properties.om_id"))
-    files = lines.groupBy("om").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("feature"), ","), F.lit("]}")).alias("value"))
-    files.select("value").repartition(5).write.mode("overwrite").text(path)
+    lines = X.feature_json(D.rings(D.boxes(spark, sf)).withColumn("part", F.floor(F.col("crown_idx") / 10_000)), ["crown_idx", "brand", "om_id"], keep=["om_id", "part"])
+    files = lines.groupBy("om_id", "part").agg(F.concat(F.lit('{"type":"FeatureCollection","features":['), F.array_join(F.collect_list("feature"), ","), F.lit("]}")).alias("value"))
+    X.write_documents(files, path, ["om_id", "part"])
     return X.read_features(spark, path, "crown_idx:long,brand:string").select("crown_idx", "brand", F.round(G.area(F.col("ring")), 6).alias("area"))
 
 
@@ -306,8 +306,8 @@ def a18(spark: SparkSession, sf: str) -> DataFrame:
 def a19(spark: SparkSession, sf: str) -> DataFrame:
     path = f"{shared_dir(spark)}/coco"
     one = F.to_json(F.struct(F.col("crown_idx").alias("id"), F.array(F.flatten(F.transform("ring", lambda p: F.array(p["x"], p["y"])))).alias("segmentation")))
-    rows = D.rings(D.boxes(spark, sf)).select((F.col("crown_idx") % 3).alias("k"), one.alias("a")).groupBy("k").agg(F.concat(F.lit('{"annotations":['), F.array_join(F.collect_list("a"), ","), F.lit("]}")).alias("value"))
-    rows.select("value").repartition(3).write.mode("overwrite").text(path)
+    rows = D.rings(D.boxes(spark, sf)).select((F.col("crown_idx") % 3).alias("k"), F.floor(F.col("crown_idx") / 10_000).alias("part"), one.alias("a")).groupBy("k", "part").agg(F.concat(F.lit('{"annotations":['), F.array_join(F.collect_list("a"), ","), F.lit("]}")).alias("value"))
+    X.write_documents(rows, path, ["k", "part"])
     return X.read_coco(spark, path).select("gt_id", F.round(G.area(F.col("ring")), 6).alias("area"), "pixel_space")
 
 

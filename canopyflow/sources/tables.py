@@ -144,11 +144,16 @@ def read_coco(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.size(flat) >= 6).select(F.col("a.id").alias("gt_id"), ring.alias("ring"), ((F.array_min(flat) >= -5.0) & (F.array_max(flat) <= 100000.0)).alias("pixel_space"))
 
 
-def feature_json(rows: DataFrame, properties: list[str], ring: str = "ring") -> DataFrame:
-    """One GeoJSON feature a row, as text."""
+def feature_json(rows: DataFrame, properties: list[str], ring: str = "ring", keep: list[str] = ()) -> DataFrame:
+    """One GeoJSON feature a row, as text, beside the columns to keep."""
     closed = F.concat(F.col(ring), F.slice(F.col(ring), 1, 1))
     geometry = F.struct(F.lit("Polygon").alias("type"), F.array(F.transform(closed, lambda p: F.array(p["x"], p["y"]))).alias("coordinates"))
-    return rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry"))).alias("feature"))
+    return rows.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), geometry.alias("geometry"))).alias("feature"), *keep)
+
+
+def write_documents(documents: DataFrame, path: str, key: list[str]) -> None:
+    """Whole documents (value), one row a key, as files of one document each: a reader of whole files takes the first document of a file only."""
+    documents.write.mode("overwrite").partitionBy(*key).text(path)
 
 
 def master_documents(crowns: DataFrame, observations: DataFrame, scores: DataFrame, key: str = "chain_id") -> DataFrame:

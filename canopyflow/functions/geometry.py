@@ -145,7 +145,8 @@ def pair_similarity(a: dict[str, Column], b: dict[str, Column], iou: Column, wei
     a, b: x, y (centroid), area, compactness, eccentricity.
     """
     w = {"spatial": 0.4, "area": 0.2, "shape": 0.2, "iou": 0.2} | (weights or {})
-    dist = F.hypot(a["x"] - b["x"], a["y"] - b["y"])
+    dx, dy = a["x"] - b["x"], a["y"] - b["y"]
+    dist = F.sqrt(dx * dx + dy * dy)
     parts = {
         "spatial": F.greatest(F.lit(0.0), 1.0 - dist / max_dist),
         "area": F.coalesce(F.least(a["area"], b["area"]) / F.nullif(F.greatest(a["area"], b["area"]), F.lit(0.0)), F.lit(0.0)),

@@ -32,20 +32,35 @@ def with_measures(crowns: DataFrame, ring: str = "ring") -> DataFrame:
     return crowns.withColumns({"x": c["x"], "y": c["y"], "area": G.area(r), "perimeter": G.perimeter(r), "compactness": G.compactness(r), "aspect_ratio": G.aspect_ratio(r), "eccentricity": eccentricity(r)})
 
 
-def near_pairs(left: DataFrame, right: DataFrame, radius: float, on: Column, x: str = "x", y: str = "y", suffix: str = "_b") -> DataFrame:
+def near_pairs(left: DataFrame, right: DataFrame, radius: float, on: Column, x: str = "x", y: str = "y", suffix: str = "_b", reach: float | None = None) -> DataFrame:
     """Pairs of rows no further apart than radius for which `on` holds, with `distance`.
 
     The right side's columns get the suffix; `on` is written with it. A hot cell is split by the join's skew handling.
+    reach: what the caller knows its pairs to lie apart along an axis at most, if that is less than the radius; cells are
+    of that size then, and other pairs are left out. The join is never a broadcast: Spark's estimate of the copied side does
+    not know of the nine copies, so that a table of a few MB would pass through the driver nine times over.
     """
     other = right.withColumnsRenamed({c: c + suffix for c in right.columns})
-    cell = lambda c: F.floor(F.col(c) / radius).cast("long")
+    size = radius if reach is None else min(radius, reach)
+    cell = lambda c: F.floor(F.col(c) / size).cast("long")
     a = left.withColumns({"__cx": cell(x), "__cy": cell(y)})
     around = F.sequence(F.lit(-1), F.lit(1))
     b = other.withColumn("__dx", F.explode(around)).withColumn("__dy", F.explode(around))
     b = b.withColumns({"__bx": cell(x + suffix) + F.col("__dx"), "__by": cell(y + suffix) + F.col("__dy")})
-    distance = F.hypot(F.col(x) - F.col(x + suffix), F.col(y) - F.col(y + suffix))
-    met = a.join(b, (F.col("__cx") == F.col("__bx")) & (F.col("__cy") == F.col("__by")) & on)
-    return met.withColumn("distance", distance).where(F.col("distance") <= radius).drop("__cx", "__cy", "__bx", "__by", "__dx", "__dy")
+    dx, dy = F.col(x) - F.col(x + suffix), F.col(y) - F.col(y + suffix)
+    met = a.join(b.hint("merge"), (F.col("__cx") == F.col("__bx")) & (F.col("__cy") == F.col("__by")) & on)
+    if size < radius:
+        met = met.where((F.abs(dx) <= size) & (F.abs(dy) <= size))
+    return met.withColumn("distance", F.sqrt(dx * dx + dy * dy)).where(F.col("distance") <= radius).drop("__cx", "__cy", "__bx", "__by", "__dx", "__dy")
+
+
+def settled(rows: DataFrame, *columns: str) -> DataFrame:
+    """The rows with the columns computed once each: a filter on them stays above them.
+
+    Else Spark writes the whole expression of such a filter into the join's condition, every part as often as it is named, and the
+    generated method becomes too long to be compiled.
+    """
+    return rows.select(*[c for c in rows.columns if c not in columns], F.inline(F.array(F.struct(*columns))))
 
 
 def box_intersection(a: Column, b: Column) -> Column:
@@ -177,10 +192,10 @@ def case_base(config: CaseConfig) -> Column:
     return out
 
 
-def case_score(config: CaseConfig) -> Column:
-    """Weighted sum of the components that the config names."""
+def case_score(config: CaseConfig, base: Column | None = None) -> Column:
+    """Weighted sum of the components that the config names; base: case_base(), where it is a column already."""
     parts = {
-        "base": case_base(config), "spatial": F.col("spatial_similarity"), "area": F.col("area_similarity"), "shape": F.col("shape_similarity"), "iou": F.col("iou"),
+        "base": case_base(config) if base is None else base, "spatial": F.col("spatial_similarity"), "area": F.col("area_similarity"), "shape": F.col("shape_similarity"), "iou": F.col("iou"),
         "overlap_prev": F.col("overlap_prev"), "overlap_curr": F.col("overlap_curr"), "area_balance": F.col("balanced_area_ratio"),
         "centroid": F.greatest(F.lit(0.0), 1.0 - F.least(F.lit(1.0), F.col("distance") / (F.col("mean_radius") * 3.0))),
     }
@@ -192,15 +207,22 @@ def case_score(config: CaseConfig) -> Column:
 
 def scored_candidates(pairs: DataFrame, configs: list[CaseConfig], min_base: float = 0.0) -> DataFrame:
     """Pairs that pass their case's limits, with score, priority (the case's place in configs) and the case's base_similarity."""
-    base, score, priority = F.col("base_similarity"), F.when(F.lit(False), F.lit(None).cast("double")), F.when(F.lit(False), F.lit(None).cast("int"))
+    parts = ("iou", "overlap_prev", "overlap_curr", "spatial_similarity", "area_similarity", "shape_similarity", "balanced_area_ratio", "mean_radius", "distance", "case", "base_similarity")
+    rated = settled(pairs, *[c for c in parts if c in pairs.columns])
+    own, score, priority = F.col("base_similarity"), F.lit(None).cast("double"), F.lit(None).cast("int")
+    for c in configs:
+        own = F.when(F.col("case") == c.name, case_base(c)).otherwise(own)
+    rated = settled(rated.withColumn("__base", own), "__base")
+    for c in configs:
+        score = F.when(F.col("case") == c.name, case_score(c, F.col("__base"))).otherwise(score)
+    rated = settled(rated.withColumn("score", score), "score")
     for k, c in enumerate(configs):
-        ok = (F.col("case") == c.name) & (F.col("iou") >= c.min_iou) & (F.col("overlap_prev") >= c.min_overlap_prev) & (F.col("overlap_curr") >= c.min_overlap_curr) & (case_base(c) >= min_base)
+        ok = (F.col("case") == c.name) & (F.col("iou") >= c.min_iou) & (F.col("overlap_prev") >= c.min_overlap_prev) & (F.col("overlap_curr") >= c.min_overlap_curr) & (F.col("__base") >= min_base)
         if c.max_centroid_dist is not None:
             ok = ok & (F.col("distance") <= c.max_centroid_dist)
-        ok = ok & (case_score(c) >= c.similarity_threshold)
-        score, priority = score.when(ok, case_score(c)), priority.when(ok, k)
-        base = F.when(F.col("case") == c.name, case_base(c)).otherwise(base) if c.base_weights else base
-    return pairs.withColumns({"base_similarity": base, "score": score, "priority": priority}).where(F.col("priority").isNotNull())
+        priority = F.when(ok & (F.col("score") >= c.similarity_threshold), k).otherwise(priority)
+    rated = settled(rated.withColumn("priority", priority), "priority").where(F.col("priority").isNotNull())
+    return rated.withColumn("base_similarity", F.col("__base")).drop("__base")
 
 
 def greedy_select(pairs: DataFrame, configs: list[CaseConfig], group: list[str], prev: str, curr: str) -> DataFrame:
@@ -323,17 +345,18 @@ def gap_score(score: Column, gap: Column, alpha: float = 0.9) -> Column:
     return score * F.exp(-alpha * (gap - 1))
 
 
-def virtual_pairs(crowns: DataFrame, intersection, max_dist: float = 75.0, gate: float = 0.48, min_base: float = 0.35, alpha: float = 0.9, max_gap: int | None = None) -> DataFrame:
+def virtual_pairs(crowns: DataFrame, intersection, max_dist: float = 75.0, gate: float = 0.48, min_base: float = 0.35, alpha: float = 0.9, max_gap: int | None = None, reach: float | None = None) -> DataFrame:
     """Candidate edges of every pair of flights in order, with `gap` (flights between them) and `score`, the
     similarity less the gap's penalty. Either side overlaps the other by the gate and the similarity is at least min_base.
 
     intersection: a function of the pair's suffixes ("", "_b") that gives the shared area as a Column.
+    reach: what pairs that pass the gate lie apart along an axis at most, if the caller knows.
     """
     on = F.col("om_id") < F.col("om_id_b")
     if max_gap:
         on = on & (F.col("om_id_b") - F.col("om_id") <= max_gap)
-    pairs = pair_measures(near_pairs(crowns, crowns, max_dist, on), intersection("", "_b"), max_dist)
-    kept = pairs.where(((F.col("overlap_prev") >= gate) | (F.col("overlap_curr") >= gate)) & (F.col("base_similarity") >= min_base))
+    pairs = pair_measures(near_pairs(crowns, crowns, max_dist, on, reach=reach), intersection("", "_b"), max_dist)
+    kept = settled(pairs, "overlap_prev", "overlap_curr", "base_similarity").where(((F.col("overlap_prev") >= gate) | (F.col("overlap_curr") >= gate)) & (F.col("base_similarity") >= min_base))
     gap = F.col("om_id_b") - F.col("om_id")
     return kept.withColumns({"gap": gap, "score": gap_score(F.col("base_similarity"), gap, alpha)})
 

@@ -11,7 +11,7 @@ from canopyflow.operators import reports as P
 from canopyflow.operators import tracking_graph as X
 from canopyflow.plans import standins as D
 from canopyflow.plans.catalog import register
-from canopyflow.plans.geometry_queries import C_SQL, CHAIN_SQL, E_SQL, P_SQL, box_pairs, crowns, nodes, plain_edges, written_edges
+from canopyflow.plans.geometry_queries import C_SQL, CHAIN_SQL, E_SQL, P_SQL, box_pairs, crowns, nodes, plain_edges, walked
 from canopyflow.plans.series_queries import r9, rounded
 from canopyflow.session import table
 
@@ -70,8 +70,16 @@ v AS (SELECT *, 0.4 * greatest(0, 1 - distance / 75.0) + 0.2 * least(aa, ab) / g
 w AS (SELECT prev, curr, gap, similarity * exp(-0.9 * (gap - 1)) AS score FROM v WHERE (i / aa >= 0.48 OR i / ab >= 0.48) AND similarity >= 0.35)"""
 
 
+def widest(boxes: DataFrame) -> float:
+    """The greatest side of all boxes."""
+    return boxes.agg(F.max(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))).first()[0] or 0.0
+
+
 def virtual(spark: SparkSession, sf: str) -> DataFrame:
-    return M.virtual_pairs(crowns(spark, sf).drop("size", "brand"), overlap)
+    """Boxes one of which the other covers by the gate share a side of at least the gate times its own, so their centres lie
+    (a + b) / 2 - 0.48 min(a, b) apart along an axis at most: 0.52 times the widest."""
+    c = crowns(spark, sf).drop("size", "brand")
+    return M.virtual_pairs(c, overlap, reach=0.52 * widest(c) + 1e-6)
 
 
 @register("j15_virtual_pairs", f"WITH {VIRTUAL_SQL} SELECT prev, curr, gap::INTEGER AS gap, round(score, 9) AS score FROM w")
@@ -180,28 +188,22 @@ se AS (SELECT start, position, node, nxt, n.kind, round(n.similarity, 9) AS s FR
 ln AS (SELECT start, count(*) AS length FROM chains GROUP BY 1)"""
 
 
-def chained(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, edges (written once) and chains."""
-    n, e = nodes(spark, sf), written_edges(spark, sf)
-    return n, e, X.chains(n, e, 5)
-
-
 @register("g19_chain_lengths", f"WITH RECURSIVE {STEPS_SQL} SELECT length, count(*) AS n_chains FROM ln GROUP BY 1")
 def g19l(spark: SparkSession, sf: str) -> DataFrame:
-    return X.length_histogram(chained(spark, sf)[2])
+    return X.length_histogram(walked(spark, sf)[2])
 
 
 @register("x3_chain", f"WITH RECURSIVE {STEPS_SQL}, f AS (SELECT min(start) AS s FROM ln WHERE length = (SELECT max(length) FROM ln)) SELECT position::INTEGER AS position, node FROM chains JOIN f ON start = s")
 def x3(spark: SparkSession, sf: str) -> DataFrame:
-    c = chained(spark, sf)[2]
+    c = walked(spark, sf)[2]
     longest = c.groupBy("start").agg(F.count("*").alias("length")).orderBy(F.desc("length"), "start.crown_idx").limit(1)
-    return X.chain_of(c.join(longest.select("start"), "start"), F.col("start")).select("position", F.col("node.crown_idx").alias("node"))
+    return X.chain_of(c.join(F.broadcast(longest.select("start")), "start"), F.col("start")).select("position", F.col("node.crown_idx").alias("node"))
 
 
 @register("x5_backbones", f"""WITH RECURSIVE {STEPS_SQL}, o AS (SELECT chains.start, chains.position, n.curr, CASE kind WHEN 'one_to_one' THEN 3 WHEN 'containment' THEN 2 WHEN 'nearby' THEN 1 ELSE 0 END AS quality, round(similarity, 9) AS s FROM chains JOIN n ON n.prev = chains.node WHERE kind <> 'none')
 SELECT start, position::INTEGER AS position, curr, quality::INTEGER AS quality FROM (SELECT *, row_number() OVER (PARTITION BY start, position ORDER BY quality DESC, s DESC, curr) AS r FROM o) WHERE r = 1""")
 def x5(spark: SparkSession, sf: str) -> DataFrame:
-    _, e, c = chained(spark, sf)
+    _, e, c = walked(spark, sf, "backbone")
     return X.backbone(c, e).select(F.col("start.crown_idx").alias("start"), "position", F.col("curr.crown_idx").alias("curr"), "quality")
 
 
@@ -210,8 +212,8 @@ b AS (SELECT start, bool_or(i > 1 OR o > 1) AS branches FROM chains JOIN deg ON
 SELECT start, length, quality FROM (SELECT ln.start, length, CASE WHEN length >= 5 AND NOT branches THEN 'Clean' WHEN length >= 5 THEN 'Mixed' WHEN length >= 2 AND coalesce(ratio, 0) >= 0.5 THEN 'Pure' END AS quality FROM ln JOIN b ON b.start = ln.start LEFT JOIN q ON q.start = ln.start) WHERE quality IS NOT NULL""")
 def x8(spark: SparkSession, sf: str) -> DataFrame:
     """X6, X8, X10."""
-    n, e, c = chained(spark, sf)
-    made = X.consensus_sources(X.categories(c, X.degrees(n, e), 5), X.one_to_one_ratio(c, e), True, 2, 0.5)
+    degrees, e, c = walked(spark, sf)
+    made = X.consensus_sources(X.categories(c, degrees, 5), X.one_to_one_ratio(c, e), True, 2, 0.5)
     return made.select(F.col("start.crown_idx").alias("start"), "length", "quality")
 
 
@@ -225,13 +227,13 @@ def x17(spark: SparkSession, sf: str) -> DataFrame:
 
 @register("x18_longest_chains", f"WITH RECURSIVE {STEPS_SQL} SELECT node, start, length FROM (SELECT node, chains.start, length, row_number() OVER (PARTITION BY node ORDER BY length DESC, b.om_id, chains.start) AS r FROM chains JOIN ln ON ln.start = chains.start JOIN boxes b ON b.crown_idx = chains.start) WHERE r = 1")
 def x18(spark: SparkSession, sf: str) -> DataFrame:
-    made = X.longest_chain_of_node(chained(spark, sf)[2])
+    made = X.longest_chain_of_node(walked(spark, sf)[2])
     return made.select(F.col("node.crown_idx").alias("node"), F.col("start.crown_idx").alias("start"), "length")
 
 
 @register("x20_high_confidence", f"WITH RECURSIVE {STEPS_SQL} SELECT start FROM se GROUP BY 1 HAVING bool_and(coalesce(s >= 0.45 AND kind IN ('one_to_one', 'containment'), FALSE))")
 def x20(spark: SparkSession, sf: str) -> DataFrame:
-    _, e, c = chained(spark, sf)
+    _, e, c = walked(spark, sf)
     return X.high_confidence(c, e, 0.45, ["one_to_one", "containment"]).select(F.col("start.crown_idx").alias("start"))
 
 
@@ -252,9 +254,11 @@ def x9(spark: SparkSession, sf: str) -> DataFrame:
     c = D.rings(crowns(spark, sf)).select("om_id", "crown_idx", "x", "y", "area", "ring")
     kept, cut = c.where("crown_idx % 3 <> 0"), c.where("crown_idx % 3 = 0").withColumn("threshold", F.lit(0.25))
     cache = cut.unionByName(kept.where("crown_idx % 5 = 0").withColumn("threshold", F.lit(0.35)))
-    e = materialise(plain_edges(spark, sf).where("prev.crown_idx % 3 <> 0 and curr.crown_idx % 3 <> 0"), f"{shared_dir(spark)}/edges")
+    path, own = shared_dir(spark), "prev.crown_idx % 3 <> 0 and curr.crown_idx % 3 <> 0"
+    tops = materialise(X.edge_summary(plain_edges(spark, sf).where(own), similarity=F.col("similarity")), f"{path}/tops")
+    best = materialise(plain_edges(spark, sf, tops).where(own), f"{path}/best")
     n = kept.select(F.struct("om_id", "crown_idx").alias("node"))
-    made = X.fill_gaps(X.chains(n, e, 5), n.select(F.col("node").alias("start")), kept, cache, 5)
+    made = X.fill_gaps(X.chains(n, best, 5, reached=tops.where("in_degree > 0")), n.select(F.col("node").alias("start")), kept, cache, 5)
     return made.select(F.col("start.crown_idx").alias("start"), "om_id", "crown_idx", "threshold", r9("iou").alias("iou"), "direction")
 
 

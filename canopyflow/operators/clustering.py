@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -20,69 +22,87 @@ def dtw_batch(a: np.ndarray, b: np.ndarray, window: int = 2) -> np.ndarray:
     """The warping distances of the rows of a (pairs x n) from those of b (pairs x m), all pairs at once."""
     n, m = a.shape[1], b.shape[1]
     w = max(window, abs(n - m))
-    last = np.full((m + 1, len(a)), np.inf)
+    a, b = np.ascontiguousarray(a.T), np.ascontiguousarray(b.T)
+    last, row = np.full((m + 1, a.shape[1]), np.inf), np.full((m + 1, a.shape[1]), np.inf)
     last[0] = 0.0
     for i in range(1, n + 1):
-        row = np.full((m + 1, len(a)), np.inf)
-        for j in range(max(1, i - w), min(m, i + w) + 1):
-            row[j] = (a[:, i - 1] - b[:, j - 1]) ** 2 + np.minimum(np.minimum(last[j], row[j - 1]), last[j - 1])
-        last = row
+        lo, hi = max(1, i - w), min(m, i + w)
+        row[lo - 1] = np.inf
+        for j in range(lo, hi + 1):
+            step = a[i - 1] - b[j - 1]
+            row[j] = step * step + np.minimum(np.minimum(last[j], row[j - 1]), last[j - 1])
+        row[hi + 1 : hi + 2] = np.inf
+        last, row = row, last
     return np.sqrt(last[m])
 
 
-def _envelope(v: Column, window: int, end) -> Column:
-    """Per place of an array the extreme value within the window around it."""
-    size = 2 * window + 1
-    cut = lambda i: F.slice(v, F.greatest(i - window + 1, F.lit(1)), F.least(i + window + 1, F.lit(size)))
-    return F.transform(F.sequence(F.lit(0), F.size(v) - 1), lambda i: end(cut(i)))
+def _outside(v: np.ndarray, u: np.ndarray, window: int) -> np.ndarray:
+    """How far rows of v lie outside the envelopes of rows of u of their length: never more than their warping distances."""
+    total = np.zeros(len(v))
+    for i in range(v.shape[1]):
+        near = u[:, max(0, i - window) : i + window + 1]
+        low, high = near.min(1), near.max(1)
+        over = np.maximum(np.maximum(v[:, i] - high, low - v[:, i]), 0)
+        total += over * over
+    return np.sqrt(total)
 
 
-def _outside(v: Column, low: Column, high: Column) -> Column:
-    """How far an array lies outside an envelope: never more than its warping distance from the series of the envelope."""
-    over = lambda i: F.greatest(F.get(v, i) - F.get(high, i), F.get(low, i) - F.get(v, i), F.lit(0.0))
-    return F.sqrt(F.aggregate(F.sequence(F.lit(0), F.size(v) - 1), F.lit(0.0), lambda s, i: s + F.pow(over(i), F.lit(2.0))))
+def _alike(rows: pa.Table, arrays: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """Rows whose arrays have the same lengths: their numbers, and a matrix of each array."""
+    lists = [rows.column(f"__v{i}").combine_chunks() for i in range(arrays)]
+    sizes = np.stack([pc.list_value_length(x).to_numpy(zero_copy_only=False) for x in lists], 1)
+    out = []
+    for size in np.unique(sizes, axis=0):
+        at = np.flatnonzero((sizes == size).all(1))
+        out.append((at, [x.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), n) for x, n in zip(lists, size)]))
+    return out
 
 
-def dtw_pairs(series: DataFrame, key: str, arrays: list[str], window: int = 2, most: float | None = None, blocks: int = 64) -> DataFrame:
+def dtw_pairs(series: DataFrame, key: str, arrays: list[str], window: int = 2, most: float | None = None, block: int = 1024) -> DataFrame:
     """(key, key_b, distance) of every pair of series, key < key_b; the distance is the mean over the metrics.
 
-    series: one row a tree with an array for each metric. most: pairs farther apart are left out; those whose envelopes
-    show it (or whose ends, at unequal lengths) never run the dynamic programme. Pairs meet by an equi-join of blocks, whose number is bounded, so that
-    a series is copied at most `blocks` times. Series with a null key, or with a null or empty array, or one that
+    series: one row a tree with an array for each metric. most: pairs farther apart are left out; those whose ends or envelopes
+    show it never run the dynamic programme. Pairs meet by blocks of about `block` series, so a task holds two blocks
+    and their pairs at a time, and a series is copied once for each block. Series with a null key, or with a null or empty array, or one that
     holds null or NaN, take no part; keys are taken to be unique.
     """
     sound = F.col(key).isNotNull()
     for c in arrays:
         sound &= F.coalesce((F.size(c) > 0) & F.forall(F.col(c).cast("array<double>"), lambda x: x.isNotNull() & ~F.isnan(x)), F.lit(False))
     rows = series.where(sound).select(F.col(key).alias("__k"), *[F.col(c).cast("array<double>").alias(f"__v{i}") for i, c in enumerate(arrays)])
-    n = max(1, min(blocks, -(-rows.count() // 128)))
-    if most is not None:
-        rows = rows.withColumns({f"__{e}{i}": _envelope(F.col(f"__v{i}"), window, f) for i in range(len(arrays)) for e, f in (("low", F.array_min), ("high", F.array_max))})
+    rows = materialise(rows, f"{shared_dir(series.sparkSession)}/series")
+    n = max(1, -(-rows.count() // block))
     rows = rows.withColumn("__g", F.pmod(F.xxhash64("__k"), F.lit(n)).cast("int"))
     left = rows.withColumn("__h", F.explode(F.sequence(F.col("__g"), F.lit(n - 1))))
     right = rows.withColumnsRenamed({c: c + "b" for c in rows.columns}).withColumn("__other", F.explode(F.sequence(F.lit(0), F.col("__gb"))))
-    met = left.join(right, (F.col("__g") == F.col("__other")) & (F.col("__h") == F.col("__gb")) & ((F.col("__g") < F.col("__gb")) | (F.col("__k") < F.col("__kb"))))
-    if most is not None:
-        bound = F.lit(0.0)
-        for i in range(len(arrays)):
-            v, u = F.col(f"__v{i}"), F.col(f"__v{i}b")
-            ends = F.greatest(F.abs(F.get(v, F.lit(0)) - F.get(u, F.lit(0))), F.abs(F.element_at(v, -1) - F.element_at(u, -1)))
-            both = F.greatest(_outside(v, F.col(f"__low{i}b"), F.col(f"__high{i}b")), _outside(u, F.col(f"__low{i}"), F.col(f"__high{i}")))
-            bound = bound + F.when(F.size(v) == F.size(u), both).otherwise(ends)
-        met = met.where(bound / len(arrays) * (1 - 1e-12) <= most)
-
-    @F.pandas_udf("double")
-    def distance(a: pd.DataFrame, b: pd.DataFrame) -> pd.Series:
-        total = np.zeros(len(a))
-        for p, q in zip(a.columns, b.columns):
-            sizes = pd.DataFrame({"n": a[p].map(len).to_numpy(), "m": b[q].map(len).to_numpy()})
-            for _, at in sizes.groupby(["n", "m"]).indices.items():
-                total[at] += dtw_batch(np.stack(a[p].to_numpy()[at]), np.stack(b[q].to_numpy()[at]), window)
-        return pd.Series(total / len(a.columns))
-
-    values = lambda end: F.struct(*[f"__v{i}{end}" for i in range(len(arrays))])
-    out = met.select(F.least("__k", "__kb").alias(key), F.greatest("__k", "__kb").alias(f"{key}_b"), distance(values(""), values("b")).alias("distance"))
-    return out if most is None else out.where(F.col("distance") <= most)
+    kind, count = dict(rows.dtypes)["__k"], len(arrays)
+
+    def meet(p: pa.Table, q: pa.Table) -> pa.Table:
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        if len(p) and len(q):
+            same = p.column("__g")[0].as_py() == p.column("__h")[0].as_py()
+            q = p if same else q.rename_columns([c.removesuffix("b") for c in q.column_names])
+            for ii, v in _alike(p, count):
+                for jj, u in _alike(q, count):
+                    open_ = ii[:, None] < jj if same else np.ones((len(ii), len(jj)), bool)
+                    if most is not None:  # both ends of two series meet, whatever the warping
+                        open_ &= sum(np.maximum(np.abs(x[:, :1] - y[:, 0]), np.abs(x[:, -1:] - y[:, -1])) for x, y in zip(v, u)) * (1 - 1e-12) <= most * count
+                    a, b = np.nonzero(open_)
+                    for lo in range(0, len(a), 16_384):
+                        i, j = a[lo : lo + 16_384], b[lo : lo + 16_384]
+                        if most is not None and window and all(x.shape[1] == y.shape[1] for x, y in zip(v, u)):
+                            apart = sum(np.maximum(_outside(x[i], y[j], window), _outside(y[j], x[i], window)) for x, y in zip(v, u))
+                            near = apart * (1 - 1e-12) <= most * count
+                            i, j = i[near], j[near]
+                        d = sum(dtw_batch(x[i], y[j], window) for x, y in zip(v, u)) / count
+                        near = slice(None) if most is None else d <= most
+                        found.append((ii[i[near]], jj[j[near]], d[near]))
+        i, j, d = (np.concatenate(x) for x in zip(*found))
+        other = q.column("__k" if "__k" in q.column_names else "__kb")
+        return pa.table({"a": p.column("__k").combine_chunks().take(pa.array(i)), "b": other.combine_chunks().take(pa.array(j)), "distance": d})
+
+    met = left.groupBy("__g", "__h").cogroup(right.groupBy("__other", "__gb")).applyInArrow(meet, f"a {kind}, b {kind}, distance double")
+    return met.select(F.least("a", "b").alias(key), F.greatest("a", "b").alias(f"{key}_b"), "distance")
 
 
 def agglomerate(pairs: DataFrame, a: str = "a", b: str = "b", distance: str = "distance", method: str = "ward", small: int = SMALL, path: str | None = None) -> DataFrame:

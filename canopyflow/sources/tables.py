@@ -89,13 +89,18 @@ def downsample(pixels: DataFrame, keys: list[str], factor: int, bands: list[str]
 def clip_pixels(pixels: DataFrame, crowns: DataFrame, x: Column, y: Column, cell: float = 16.0) -> DataFrame:
     """Pixels whose centre lies in a crown's ring, with the crown's columns.
 
-    crowns: ring and keys. Both sides go to grid cells; a crown is copied to the cells that its bounds touch.
+    crowns: ring and keys. Both sides go to grid cells; a crown is copied to the cells that its bounds touch. Bounds are compared in the
+    join, rings only of crowns that are no boxes. The copied side is not broadcast, as Spark's estimate does not know of the copies.
     """
-    b = G.bounds(F.col("ring"))
+    ends = ("minx", "miny", "maxx", "maxy")
     at = lambda v: F.floor(v / cell).cast("int")
-    spread = crowns.withColumn("__gx", F.explode(F.sequence(at(b["minx"]), at(b["maxx"])))).withColumn("__gy", F.explode(F.sequence(at(b["miny"]), at(b["maxy"]))))
+    bounded = crowns.withColumns({"__b": G.bounds(F.col("ring")), "__box": G.is_box(F.col("ring"))}).withColumns({f"__{k}": F.col("__b")[k] for k in ends}).drop("__b")
+    spread = bounded.withColumn("__gx", F.explode(F.sequence(at(F.col("__minx")), at(F.col("__maxx"))))).withColumn("__gy", F.explode(F.sequence(at(F.col("__miny")), at(F.col("__maxy")))))
     placed = pixels.withColumns({"__x": x, "__y": y}).withColumns({"__gx": at(F.col("__x")), "__gy": at(F.col("__y"))})
-    return placed.join(spread, ["__gx", "__gy"]).where(G.contains_point(F.col("ring"), F.col("__x"), F.col("__y"))).drop("__gx", "__gy", "__x", "__y")
+    met = lambda some: placed.join(spread.where(some).hint("merge"), ["__gx", "__gy"])
+    boxes = met("__box").where("__x >= __minx and __x < __maxx and __y >= __miny and __y < __maxy")  # as casting a ray says
+    rings = met("not __box").where("__x >= __minx and __x <= __maxx and __y >= __miny and __y <= __maxy").where(G.contains_point(F.col("ring"), F.col("__x"), F.col("__y")))
+    return boxes.unionByName(rings).drop("__gx", "__gy", "__x", "__y", "__box", *[f"__{k}" for k in ends])
 
 
 def best_scenes(scenes: DataFrame, season: str = "season", max_cloud: float = 70.0, limit: int = 12) -> DataFrame:

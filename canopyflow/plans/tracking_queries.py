@@ -11,18 +11,10 @@ from canopyflow.operators import reports as P
 from canopyflow.operators import tracking_graph as X
 from canopyflow.plans import standins as D
 from canopyflow.plans.catalog import register
-from canopyflow.plans.geometry_queries import C_SQL, CHAIN_SQL, E_SQL, P_SQL, box_pairs, crowns, nodes, plain_edges, walked
+from canopyflow.plans.geometry_queries import BOX, C_SQL, CHAIN_SQL, E_SQL, P_SQL, box_pairs, crowns, nodes, overlap, plain_edges, walked, widest
 from canopyflow.plans.series_queries import r9, rounded
 from canopyflow.session import table
 
-BOX = ("minx", "miny", "maxx", "maxy")
-
-
-def overlap(a: str, b: str) -> F.Column:
-    """Shared area of the boxes of both sides of a pair, by their suffixes."""
-    return M.box_intersection({k: F.col(k + a) for k in BOX}, {k: F.col(k + b) for k in BOX})
-
-
 #: Pairs with the parts of the similarity, the centre factor and the balance.
 S_SQL = f"""{P_SQL}, k AS (SELECT *, greatest(0, 1 - distance / 30.0) AS spatial, least(aa, ab) / greatest(aa, ab) AS balance,
   greatest(0, 1 - least(1, distance / (greatest((sqrt(aa / pi()) + sqrt(ab / pi())) / 2, 1e-3) * 3))) AS centre FROM n)"""
@@ -70,11 +62,6 @@ v AS (SELECT *, 0.4 * greatest(0, 1 - distance / 75.0) + 0.2 * least(aa, ab) / g
 w AS (SELECT prev, curr, gap, similarity * exp(-0.9 * (gap - 1)) AS score FROM v WHERE (i / aa >= 0.48 OR i / ab >= 0.48) AND similarity >= 0.35)"""
 
 
-def widest(boxes: DataFrame) -> float:
-    """The greatest side of all boxes."""
-    return boxes.agg(F.max(F.greatest(F.col("maxx") - F.col("minx"), F.col("maxy") - F.col("miny")))).first()[0] or 0.0
-
-
 def virtual(spark: SparkSession, sf: str) -> DataFrame:
     """Boxes one of which the other covers by the gate share a side of at least the gate times its own, so their centres lie
     (a + b) / 2 - 0.48 min(a, b) apart along an axis at most: 0.52 times the widest."""
@@ -241,9 +228,8 @@ def x20(spark: SparkSession, sf: str) -> DataFrame:
 def u4(spark: SparkSession, sf: str) -> DataFrame:
     category = F.element_at(F.array(*[F.lit(k) for k in X.CATEGORY_WEIGHTS]), (F.col("crown_idx") % 5 + 1).cast("int"))
     c = crowns(spark, sf).select(F.col("crown_idx").alias("chain_id"), "x", "y", "area", *BOX, (F.col("size") % 6).cast("long").alias("chain_length"), category.alias("chain_category"))
-    pairs, i = M.near_pairs(c, c, 60.0, F.col("chain_id") < F.col("chain_id_b")), overlap("", "_b")
-    rated = pairs.select("chain_id", "chain_id_b", (i / (F.col("area") + F.col("area_b") - i)).alias("iou"), (i / F.col("area")).alias("share_a"), (i / F.col("area_b")).alias("share_b"))
-    return X.spatial_dedup_by_score(c, rated, 0.5, 0.2).select("chain_id", "area")
+    # boxes with a fifth of their union in common lie four fifths of the widest side apart along an axis at most, one half in another half of it
+    return X.spatial_dedup_by_score(c, M.Near(60.0, overlap, 0.8 * widest(c) + 1e-6), 0.5, 0.2).select("chain_id", "area")
 
 
 @register("x9_gap_fill")

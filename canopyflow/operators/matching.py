@@ -396,11 +396,22 @@ def reference_matches(references: DataFrame, crowns: DataFrame, intersection, ke
     return rated.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
-def mutual_nearest(left: DataFrame, right: DataFrame, radius: float, a: str = "id", b: str = "id", mutual: bool = True) -> DataFrame:
-    """For each left row its nearest right row within radius; mutual keeps pairs that are nearest both ways."""
-    pairs = near_pairs(left, right, radius, F.lit(True))
-    w = lambda k, other: F.row_number().over(W.partitionBy(k).orderBy("distance", other))
-    out = pairs.withColumns({"__a": w(a, b + "_b"), "__b": w(b + "_b", a)}).where("__a = 1")
+def mutual_nearest(left: DataFrame, right: DataFrame, radius: float, a: str = "id", b: str = "id", mutual: bool = True, path: str | None = None) -> DataFrame:
+    """For each left row its nearest right row within radius; mutual keeps pairs that are nearest both ways; the least partner on ties.
+
+    Pairs are met twice: for the least distance of every row, then for the pairs that reach one, which alone are dealt out and ranked.
+    So disk grows with the rows, not with the pairs. Rows without a key take no part. The least distances go below the shared folder.
+    """
+    from canopyflow.session import materialise, shared_dir
+
+    left, right, other = left.where(F.col(a).isNotNull()), right.where(F.col(b).isNotNull()), f"{b}_b"
+    met = near_pairs(left, right, radius, F.lit(True)).select(a, other, "distance")
+    least = materialise(met.groupingSets([[a], [other]], a, other).agg(F.min("distance").alias("__least")), f"{path or shared_dir(left.sparkSession)}/least")
+    own = lambda key, name: least.where(F.col(key).isNotNull()).select(F.col(key).alias(name), "__least").hint("merge")
+    pairs = near_pairs(left.join(own(a, a), a), right.join(own(other, b), b), radius, F.lit(True))
+    pairs = settled(pairs, "distance").where((F.col("distance") <= F.col("__least")) | (F.col("distance") <= F.col("__least_b"))).drop("__least", "__least_b")
+    w = lambda k, of: F.row_number().over(W.partitionBy(k).orderBy("distance", of))
+    out = pairs.withColumns({"__a": w(a, other), "__b": w(other, a)}).where("__a = 1")
     return (out.where("__b = 1") if mutual else out).drop("__a", "__b")
 
 

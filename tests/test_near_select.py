@@ -24,3 +24,18 @@ def test_selections_of_near_rows(spark):
     for near in (M.Near(60.0, shared), M.Near(60.0, shared, 16.0)):
         assert ids(X.spatial_dedup(c, near, 0.75)) == ids(X.spatial_dedup(c, all_pairs, 0.75))
         assert ids(X.spatial_dedup_by_score(c, near, 0.5, 0.2)) == ids(X.spatial_dedup_by_score(c, once, 0.5, 0.2))
+
+
+def test_nearest_pairs_are_found_among_few(spark):
+    from pyspark.sql import Window as W
+
+    r = random.Random(2)
+    rows = spark.createDataFrame([(k, float(r.randint(0, 40)), float(r.randint(0, 40))) for k in range(200)], "id long, x double, y double")
+    left, right = rows.where("id % 2 = 0"), rows.where("id % 2 = 1").withColumnsRenamed({"id": "k"})
+    pairs = M.near_pairs(left, right, 5.0, F.lit(True))
+    w = lambda k, other: F.row_number().over(W.partitionBy(k).orderBy("distance", other))
+    ranked = pairs.withColumns({"a": w("id", "k_b"), "b": w("k_b", "id")}).where("a = 1")
+    as_set = lambda d: {(x.id, x.k_b, x.distance) for x in d.collect()}
+    both = M.mutual_nearest(left, right, 5.0, "id", "k")
+    assert as_set(both) == as_set(ranked.where("b = 1")) and as_set(M.mutual_nearest(left, right, 5.0, "id", "k", mutual=False)) == as_set(ranked)
+    assert "__least" in both._jdf.queryExecution().optimizedPlan().toString()

@@ -138,32 +138,40 @@ def pca(rows: DataFrame, features: list[str], k: int = 6) -> DataFrame:
     return rows.sparkSession.createDataFrame(made, "component int, explained double, loadings array<double>")
 
 
-def knn_graph(rows: DataFrame, key: str, vector: str, k: int = 15, block: int = 4096) -> DataFrame:
+def knn_graph(rows: DataFrame, key: str, vector: str, k: int = 15, block: int = 16_384) -> DataFrame:
     """(a, b, weight): the k nearest rows of every row by Euclidean distance, weight 1 / (distance + 1e-8), made symmetric by the larger weight.
 
-    All rows meet all rows in blocks: the label-spreading input is the labelled set, whose size the caller bounds.
+    All rows meet all rows in blocks, each pair of blocks once for both sides, 512 rows of one at a time: the label-spreading input is the labelled
+    set, whose size the caller bounds. A row is copied for every block once, in its own type.
     """
     n = max(1, -(-rows.count() // block))
-    base = rows.select(F.col(key).alias("id"), F.col(vector).cast("array<double>").alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
-    left = base.select(F.col("id").alias("a"), F.col("v").alias("va"), F.col("block").alias("ga"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("gb"))
-    right = base.select("id", "v", F.col("block").alias("hb"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("ha"))
+    base = rows.select(F.col(key).alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
+    left = base.select("id", "v", F.col("block").alias("ga"), F.explode(F.sequence("block", F.lit(n - 1))).alias("gb"))
+    right = base.select(F.col("id").alias("id_b"), F.col("v").alias("v_b"), F.col("block").alias("hb"), F.explode(F.sequence(F.lit(0), "block")).alias("ha"))
     kind = dict(rows.dtypes)[key]
 
+    def nearest(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> list[pd.DataFrame]:
+        out, length = [], (y * y).sum(1)
+        for lo in range(0, len(a), 512):
+            u = x[lo : lo + 512]
+            d = np.sqrt(np.maximum((u * u).sum(1)[:, None] + length - 2 * u @ y.T, 0))
+            d[a[lo : lo + 512, None] == b] = np.inf
+            last = np.partition(d, k - 1, axis=1)[:, k - 1 : k] if len(b) > k else np.inf
+            i, j = np.nonzero((d <= last) & np.isfinite(d))  # with all that are as near as the last one
+            out.append(pd.DataFrame({"a": a[lo + i], "b": b[j], "distance": d[i, j]}))
+        return out
+
     def meet(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(p) or not len(q):
             return pd.DataFrame({"a": [], "b": [], "distance": []})
-        x, y = np.stack(p["va"].to_numpy()), np.stack(q["v"].to_numpy())
-        d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
-        d[p["a"].to_numpy()[:, None] == q["id"].to_numpy()] = np.inf
-        take = np.argsort(d, axis=1, kind="stable")[:, :k]
-        rows_, cols = np.repeat(np.arange(len(p)), take.shape[1]), take.ravel()
-        out = pd.DataFrame({"a": p["a"].to_numpy()[rows_], "b": q["id"].to_numpy()[cols], "distance": d[rows_, cols]})
-        return out[np.isfinite(out["distance"])]
+        a, b = p["id"].to_numpy(), q["id_b"].to_numpy()
+        x, y = np.stack(p["v"].to_numpy()).astype(float), np.stack(q["v_b"].to_numpy()).astype(float)
+        return pd.concat(nearest(a, x, b, y) + ([] if p["ga"].iloc[0] == p["gb"].iloc[0] else nearest(b, y, a, x)))
 
     found = left.groupBy("ga", "gb").cogroup(right.groupBy("ha", "hb")).applyInPandas(meet, f"a {kind}, b {kind}, distance double")
     near = found.withColumn("r", F.row_number().over(W.partitionBy("a").orderBy("distance", "b"))).where(F.col("r") <= k)
-    one = near.select("a", "b", (1.0 / (F.col("distance") + 1e-8)).alias("weight"))
-    return one.union(one.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")).groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    both = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return near.select(F.explode(both).alias("e"), (1.0 / (F.col("distance") + 1e-8)).alias("weight")).groupBy("e.a", "e.b").agg(F.max("weight").alias("weight"))
 
 
 def label_spreading(graph: DataFrame, labels: DataFrame, alpha: float = 0.2, rounds: int = 30, tolerance: float = 1e-5, path: str | None = None) -> DataFrame:
